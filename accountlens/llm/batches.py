@@ -28,3 +28,15 @@ def map_texts(df: DataFrame, key: str, text: str | Column, function: Callable, c
             yield pa.RecordBatch.from_arrays([batch.column("_key"), *map(pa.array, out)], ["_key", *names])
 
     return kept.mapInArrow(run, f"_key {kept.schema['_key'].dataType.simpleString()}, {columns}").withColumnRenamed("_key", key)
+
+
+def filter_texts(df: DataFrame, text: str, function: Callable, *, worker: Callable | None = None) -> DataFrame:
+    """The rows, all columns as they are, for whose texts the function's booleans are true. Nothing is joined or dealt anew."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = (worker(),) if worker else ()
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(pa.array(function(*own, batch.column(text).cast(pa.binary()).to_pylist()), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)

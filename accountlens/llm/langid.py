@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .batches import map_texts
+from .batches import filter_texts, map_texts
 
 SAMPLE_SYMBOLS, SAMPLE_ROWS, SAMPLE_BYTES = 240_000, 120, 8192
 LETTERS = 56
@@ -202,3 +202,13 @@ def identify(docs: DataFrame, samples: tuple[tuple[str, str], ...], id_col: str
         return list(p.predict(texts))
 
     return map_texts(docs, id_col, text_col, run, "lang_pred string, score double", worker=lambda: parser(samples))
+
+
+def keep(docs: DataFrame, samples: tuple[tuple[str, str], ...], least: float, text_col: str = "text") -> DataFrame:
+    """The rows whose whole text is in one of the learned languages: determined, with a score of at least ``least``."""
+
+    def run(p: CrossParser, texts: list) -> list:
+        languages, scores = p.predict(texts)
+        return [k != UNDETERMINED and s >= least for k, s in zip(languages, scores.tolist(), strict=True)]
+
+    return filter_texts(docs, text_col, run, worker=lambda: parser(samples))

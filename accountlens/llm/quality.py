@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .batches import map_texts
+from .batches import filter_texts, map_texts
 
 SAMPLE_ROWS, SAMPLE_BYTES = 3000, 4096
 HALF, EMBED, FILTERS = 8, 6, 24
@@ -156,3 +156,8 @@ def score(docs: DataFrame, net: ByteCNN, id_col: str = "doc_id", text_col: str =
         return [net.probability([t or b"" for t in texts])]
 
     return map_texts(docs, id_col, text_col, run, "score double")
+
+
+def keep(docs: DataFrame, net: ByteCNN, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """The rows whose whole text scores at least the threshold."""
+    return filter_texts(docs, text_col, lambda texts: net.probability([t or b"" for t in texts]) >= threshold)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, media, mixing, quality, simhash, token_counts, token_store, topk
+from . import bpe, chat, langid, media, mixing, quality, simhash, token_counts, token_store, topk
 from .storage import new_path
 
 
@@ -108,6 +108,12 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op10_chat_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recovers the roles of all conversations and renders their turns."""
+    found = chat.format_chats(table(spark, sf_dir, "conversations"))
+    return found.select("conv_id", "turn", "part", "role", "n_lines", F.sha2("rendered", 256).alias("rendered_sha256"), "copies")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_cnn": op1_quality_cnn,
     "op2_pfair_mix": op2_pfair_mix,
@@ -118,6 +124,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_token_counts": op7_token_counts,
     "op8_media": op8_media,
     "op9_simhash": op9_simhash,
+    "op10_chat_hmm": op10_chat_hmm,
 }
 
 ORACLE_SQL: dict[str, str] = {"op2_pfair_mix": OP2_SQL, "op6_maxscore": OP6_SQL}
