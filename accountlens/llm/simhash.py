@@ -225,10 +225,103 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, seed: int
     return marked.join(named, "fp").select(id_col, "fp", "component")
 
 
-def keep_first(docs: DataFrame, words: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component: that with the smallest id, or of rows that repeat it one. Rows without an id stay."""
-    found = near_duplicates(docs, words, radius, id_col=id_col, text_col=text_col)
-    drop = found.where(F.col(id_col) != F.col("component")).select(id_col).distinct()
+#: Samples of a document's shingles at each of two rates, and the most shingles that are compared one by one.
+SAMPLES, SKETCH = 20, 1024
+
+
+def shingle_set(text: bytes | None, words: int, seed: int = 42) -> np.ndarray:
+    """Distinct hashes of the shingles, ascending. A text without a word has the hash of nothing."""
+    parts = (text or b"").translate(_LOWER).split()
+    joined = b" ".join(parts)
+    digest = xxhash.xxh64_intdigest
+    if len(parts) <= words:
+        return np.array([digest(joined, seed)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
+    starts = np.concatenate([[0], ends[:-words] + 1])
+    hashes = np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts.tolist(), ends[words - 1 :].tolist(), strict=True)), np.uint64, len(starts))
+    return np.unique(hashes)
+
+
+def sample_keys(hashes: np.ndarray) -> list[int]:
+    """A key for each sample of two to eight shingles or so: sets that share a sample share its key."""
+    out = set()
+    rate = 1 << max(0, (len(hashes) // 4).bit_length() - 1)
+    mixed = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    for groups in {rate, max(1, rate // 2)}:
+        group = (hashes % np.uint64(groups)).astype(np.int64)
+        some = group < SAMPLES
+        total = np.zeros(min(groups, SAMPLES), np.uint64)
+        np.add.at(total, group[some], mixed[some])
+        full = np.bincount(group[some], minlength=len(total)) > 0
+        seed = np.uint64((groups * 0xC2B2AE3D27D4EB4F) % 2**64) + np.arange(len(total), dtype=np.uint64)
+        out.update(((total ^ (seed * np.uint64(0x165667B19E3779F9)))[full]).view(np.int64).tolist())
+    return sorted(out)
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sets of hashes, from their SKETCH smallest: exact up to that size."""
+    both = np.union1d(a, b)[:SKETCH]
+    return np.isin(both, np.intersect1d(a, b, assume_unique=True), assume_unique=True).mean()
+
+
+def similar_links(docs: DataFrame, words: int, least: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """((id, node), (a, b)): the node of every row, one for rows with equal shingles, and links of nodes of at least that similarity.
+
+    Sets as similar as that share the key of some of their many small samples, but
+    for a chance of under one in a hundred. Nodes under a key are compared with each
+    other, those nearly equal to one before only through it.
+    """
+
+    def sketch(texts: list) -> list:
+        sets = [shingle_set(t, words) for t in texts]
+        same = [int(np.bitwise_xor.reduce(x * np.uint64(0x9E3779B97F4A7C15)) ^ np.uint64(len(x))) for x in sets]
+        return [np.array(same, np.uint64).view(np.int64), [sample_keys(x) for x in sets], [x[:SKETCH].tobytes() for x in sets]]
+
+    seen = checkpointed(map_texts(docs, id_col, text_col, sketch, "same long, keys array<long>, sketch binary").where(F.col(id_col).isNotNull()))
+    nodes = seen.groupBy("same").agg(F.min(id_col).alias("node"))
+    members = seen.select(id_col, "same").join(nodes, "same").select(id_col, "node")
+    one = seen.join(nodes.select(F.col("node").alias(id_col)), id_col, "left_semi").select(F.col(id_col).alias("node"), "keys", "sketch")
+    keyed = one.select("node", F.explode("keys").alias("key"))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    wanted = keyed.join(shared, "key", "left_semi")
+    entries = wanted.join(one.select("node", "sketch"), "node").repartition("key").sortWithinPartitions("key", "node").select("key", "node", "sketch")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, kept = None, []
+        for batch in batches:
+            found: tuple[list, list] = ([], [])
+            for key, node, raw in zip(*(batch.column(c).to_pylist() for c in ("key", "node", "sketch")), strict=True):
+                if key != at:
+                    at, kept = key, []
+                own = np.frombuffer(raw, np.uint64)
+                nearly = False
+                for other, held in kept:
+                    if min(len(own), len(held)) >= least * max(len(own), len(held)) and (s := similarity(own, held)) >= least:
+                        found[0].append(max(node, other))
+                        found[1].append(min(node, other))
+                        if s >= 0.98:
+                            nearly = True
+                            break
+                if not nearly:
+                    kept.append((node, own))
+            if found[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["a", "b"])
+
+    return members, entries.mapInArrow(compare, "a long, b long").distinct()
+
+
+def keep_first(docs: DataFrame, words: int = 5, radius: int = 3, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each group: that with the smallest id, or of rows that repeat it one. Rows without an id stay.
+
+    Groups are joined by fingerprints within the radius, and by a similarity of at
+    least ``least`` between the sets of shingles, which at 0.8 leaves ten bits between
+    fingerprints or more.
+    """
+    found = near_duplicates(docs, words, radius, id_col=id_col, text_col=text_col).where(F.col(id_col).isNotNull())
+    near = found.where(F.col(id_col) != F.col("component")).select(F.col(id_col).alias("a"), F.col("component").alias("b"))
+    members, similar = similar_links(docs, words, least, id_col, text_col)
+    equal = members.where(F.col(id_col) != F.col("node")).select(F.col(id_col).alias("a"), F.col("node").alias("b"))
+    drop = components(near.unionAll(equal).unionAll(similar)).where("node <> component").select(F.col("node").alias(id_col)).distinct()
     kept = docs.join(drop, id_col, "left_anti")
     alone = F.when(F.col(id_col).isNull(), F.xxhash64(text_col))  # rows without an id need no common task
     once = kept.withColumn("_nth", F.row_number().over(Window.partitionBy(id_col, alone).orderBy(F.xxhash64(text_col))))
