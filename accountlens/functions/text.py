@@ -40,9 +40,12 @@ def canonical_url(url: Column) -> Column:
 def clean_text(text: Column, cap: int | Column = CAPS["website"]) -> Column:
     """White space collapsed in each line; no blank, banner or repeated line; at most cap characters."""
     lines = F.filter(F.transform(F.split(text, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"), collapse), lambda x: (x != "") & ~x.rlike(COOKIE_LINE))
-    keys = F.transform(lines, F.lower)
-    first = F.filter(F.transform(lines, lambda x, i: F.when(F.array_position(keys, F.lower(x)) == i + 1, x)), lambda x: x.isNotNull())
-    return F.regexp_replace(F.left(F.array_join(first, "\n"), F.lit(cap) if isinstance(cap, int) else cap), r"(?U)\s+$", "")
+    # Repeats are neighbours once sorted; the first of each goes back to its place. Nothing is looked up line by line.
+    order = F.array_sort(F.transform(lines, lambda x, i: F.struct(F.lower(x).alias("k"), i.alias("i"), x.alias("x"))))
+    before = F.concat(F.array(F.lit(None).cast("string")), F.transform(order, lambda r: r["k"]))
+    first = F.filter(F.zip_with(order, before, lambda r, k: F.when(r.isNotNull() & ~r["k"].eqNullSafe(k), F.struct(r["i"].alias("i"), r["x"].alias("x")))), lambda r: r.isNotNull())
+    kept = F.transform(F.array_sort(first), lambda r: r["x"])
+    return F.regexp_replace(F.left(F.array_join(kept, "\n"), F.lit(cap) if isinstance(cap, int) else cap), r"(?U)\s+$", "")
 
 
 def content_hash(text: Column) -> Column:
@@ -76,7 +79,11 @@ LANGUAGE_WORDS = {
 def guess_language(text: Column) -> Column:
     """By the most frequent short words among the first 400 characters; null under 40 characters or without any."""
     words = F.split(F.lower(F.left(text, F.lit(400))), r"(?U)\W+")
-    votes = [F.struct(F.size(F.filter(words, lambda w, ws=ws: w.isin(ws))).alias("n"), F.lit(-i).alias("i"), F.lit(k).alias("k")) for i, (k, ws) in enumerate(LANGUAGE_WORDS.items())]
+
+    def hits(known: list[str]) -> Column:
+        return F.size(F.filter(words, lambda w: w.isin(known)))
+
+    votes = [F.struct(hits(known).alias("n"), F.lit(-i).alias("i"), F.lit(k).alias("k")) for i, (k, known) in enumerate(LANGUAGE_WORDS.items())]
     best = F.array_max(F.array(*votes))
     return F.when((F.length(F.trim(text)) >= 40) & (best["n"] > 0), best["k"])
 
