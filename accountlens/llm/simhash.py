@@ -225,8 +225,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, seed: int
     return marked.join(named, "fp").select(id_col, "fp", "component")
 
 
-#: Samples of a document's shingles at each of two rates, and the most shingles that are compared one by one.
-SAMPLES, SKETCH = 20, 1024
+#: Samples of a document's shingles at each of two rates; bins of its sketch; error of the similarity of two sketches.
+SAMPLES, BINS, SLACK = 16, 512, 0.02
 
 
 def shingle_set(text: bytes | None, words: int, seed: int = 42) -> np.ndarray:
@@ -258,56 +258,83 @@ def sample_keys(hashes: np.ndarray) -> list[int]:
     return sorted(out)
 
 
-def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard similarity of two sets of hashes, from their SKETCH smallest: exact up to that size."""
-    both = np.union1d(a, b)[:SKETCH]
-    return np.isin(both, np.intersect1d(a, b, assume_unique=True), assume_unique=True).mean()
+def sketch(hashes: np.ndarray) -> bytes:
+    """The smallest hash of each of BINS bins, as a byte from 1; 0 where a bin is empty. hashes ascend."""
+    bins, first = np.unique((hashes % np.uint64(BINS)).astype(np.int64), return_index=True)
+    out = np.zeros(BINS, np.uint8)
+    out[bins] = 1 + ((hashes[first] >> np.uint64(20)) % np.uint64(255)).astype(np.uint8)
+    return out.tobytes()
+
+
+def similarities(own: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Jaccard similarity of a sketch with others (rows): the share of equal bins among those that are not empty in both."""
+    full = (own != 0) | (others != 0)
+    return ((own == others) & full).sum(axis=1) / np.maximum(full.sum(axis=1), 1)
 
 
 def similar_links(docs: DataFrame, words: int, least: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """((id, node), (a, b)): the node of every row, one for rows with equal shingles, and links of nodes of at least that similarity.
 
     Sets as similar as that share the key of some of their many small samples, but
-    for a chance of under one in a hundred. Nodes under a key are compared with each
-    other, those nearly equal to one before only through it.
+    for a chance of under one in a thousand. Nodes under a key are compared by their
+    sketches with each other, those nearly equal to an earlier one only through it.
     """
 
-    def sketch(texts: list) -> list:
+    def describe(texts: list) -> list:
         sets = [shingle_set(t, words) for t in texts]
         same = [int(np.bitwise_xor.reduce(x * np.uint64(0x9E3779B97F4A7C15)) ^ np.uint64(len(x))) for x in sets]
-        return [np.array(same, np.uint64).view(np.int64), [sample_keys(x) for x in sets], [x[:SKETCH].tobytes() for x in sets]]
+        return [np.array(same, np.uint64).view(np.int64), [sample_keys(x) for x in sets], [sketch(x) for x in sets]]
 
-    seen = checkpointed(map_texts(docs, id_col, text_col, sketch, "same long, keys array<long>, sketch binary").where(F.col(id_col).isNotNull()))
+    seen = checkpointed(map_texts(docs, id_col, text_col, describe, "same long, keys array<long>, sketch binary").where(F.col(id_col).isNotNull()))
     nodes = seen.groupBy("same").agg(F.min(id_col).alias("node"))
     members = seen.select(id_col, "same").join(nodes, "same").select(id_col, "node")
-    one = seen.join(nodes.select(F.col("node").alias(id_col)), id_col, "left_semi").select(F.col(id_col).alias("node"), "keys", "sketch")
-    keyed = one.select("node", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    wanted = keyed.join(shared, "key", "left_semi")
-    entries = wanted.join(one.select("node", "sketch"), "node").repartition("key").sortWithinPartitions("key", "node").select("key", "node", "sketch")
+    own = nodes.select(F.col("node").alias(id_col))
+    keyed = seen.select(id_col, "keys").join(own, id_col, "left_semi").select(F.col(id_col).alias("node"), F.explode("keys").alias("key"))
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None  # the key and node of the row before, and whether it has been sent
+        for batch in batches:
+            keys, ids = (batch.column(c).to_numpy() for c in ("key", "node"))
+            if last:
+                keys, ids = np.concatenate([[last[0]], keys]), np.concatenate([[last[1]], ids])
+            same = keys[1:] == keys[:-1]
+            out = np.zeros(len(keys), bool)
+            out[1:] |= same
+            out[:-1] |= same
+            done = bool(last and last[2])
+            if done:
+                out[0] = False
+            last = (keys[-1], ids[-1], bool(out[-1]) or (len(keys) == 1 and done))
+            if out.any():
+                yield pa.RecordBatch.from_arrays([pa.array(keys[out]), pa.array(ids[out])], ["key", "node"])
+
+    entries = keyed.repartition("key").sortWithinPartitions("key").select("key", "node").mapInArrow(shared, "key long, node long")
+    some = entries.join(seen.select(F.col(id_col).alias("node"), "sketch"), "node").repartition("key").sortWithinPartitions("key", "node").select("key", "node", "sketch")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, kept = None, []
+        at, ids, rows, n = None, [], np.zeros((16, BINS), np.uint8), 0
         for batch in batches:
             found: tuple[list, list] = ([], [])
             for key, node, raw in zip(*(batch.column(c).to_pylist() for c in ("key", "node", "sketch")), strict=True):
                 if key != at:
-                    at, kept = key, []
-                own = np.frombuffer(raw, np.uint64)
-                nearly = False
-                for other, held in kept:
-                    if min(len(own), len(held)) >= least * max(len(own), len(held)) and (s := similarity(own, held)) >= least:
-                        found[0].append(max(node, other))
-                        found[1].append(min(node, other))
-                        if s >= 0.98:
-                            nearly = True
-                            break
-                if not nearly:
-                    kept.append((node, own))
+                    at, ids, n = key, [], 0
+                mine = np.frombuffer(raw, np.uint8)
+                s = similarities(mine, rows[:n]) if n else np.zeros(0)
+                for i in np.flatnonzero(s >= least - SLACK).tolist():
+                    found[0].append(max(node, ids[i]))
+                    found[1].append(min(node, ids[i]))
+                    if s[i] >= 0.98:
+                        break
+                if not (s >= 0.98).any():
+                    if n == len(rows):
+                        rows = np.concatenate([rows, np.zeros_like(rows)])
+                    rows[n] = mine
+                    ids.append(node)
+                    n += 1
             if found[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["a", "b"])
 
-    return members, entries.mapInArrow(compare, "a long, b long").distinct()
+    return members, some.mapInArrow(compare, "a long, b long").distinct()
 
 
 def keep_first(docs: DataFrame, words: int = 5, radius: int = 3, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
