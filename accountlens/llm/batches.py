@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64())}
+
 
 def map_texts(df: DataFrame, key: str, text: str | Column, function: Callable, columns: str, *, worker: Callable | None = None) -> DataFrame:
     """(key, *columns) for each row.
@@ -16,7 +18,7 @@ def map_texts(df: DataFrame, key: str, text: str | Column, function: Callable, c
     texts as UTF-8 bytes, None among them, and returns one list or array for each of ``columns`` (DDL).
     ``worker`` makes what a task needs once, such as tables read from a file.
     """
-    names = [c.split()[0] for c in columns.split(", ")]
+    names, kinds = zip(*(c.split() for c in columns.split(", ")), strict=True)
     kept = df.select(F.col(f"`{key}`").alias("_key"), (F.col(f"`{text}`") if isinstance(text, str) else text).cast("string").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -25,7 +27,7 @@ def map_texts(df: DataFrame, key: str, text: str | Column, function: Callable, c
             if not batch.num_rows:
                 continue
             out = function(*own, batch.column("_text").cast(pa.binary()).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column("_key"), *map(pa.array, out)], ["_key", *names])
+            yield pa.RecordBatch.from_arrays([batch.column("_key"), *(pa.array(x, _ARROW[k]) for x, k in zip(out, kinds, strict=True))], ["_key", *names])
 
     return kept.mapInArrow(run, f"_key {kept.schema['_key'].dataType.simpleString()}, {columns}").withColumnRenamed("_key", key)
 

@@ -80,17 +80,19 @@ class CrossParser:
         for language in self.languages:
             text = self.compact([samples[language]])[0][:quota].tolist()
             go = suffix_automaton(text)
-            start = np.full(self.width, base * self.width * 2 + 1, np.int64)  # from the root: unknown letters are phrases of their own
+            alone = (base + len(go)) * self.width * 2  # the state after a letter that the text does not have: a phrase of its own
+            start = np.full(self.width, alone + 1, np.int64)  # a step that leaves the automaton begins a phrase at its root
             for c, to in go[0].items():
                 start[c] = (base + to) * self.width * 2 + 1
-            table = np.tile(start, (len(go), 1))
-            for state, out in enumerate(go):
+            table = np.tile(start, (len(go) + 1, 1))
+            table[0] -= 1  # the first phrase of a stretch has begun
+            for state, out in enumerate(go[1:], 1):
                 for c, to in out.items():
                     table[state, c] = (base + to) * self.width * 2
             tables.append(table.astype(np.int32))
             roots.append(base * self.width)
             self.log_size.append(np.log2(len(text) + 2))
-            base += len(go)
+            base += len(go) + 1
         self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
         self.roots = np.array(roots, np.intp)
         self.log_size = np.array(self.log_size)
