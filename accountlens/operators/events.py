@@ -168,9 +168,12 @@ def replay(events: DataFrame, after_id, run_id=None) -> DataFrame:
     return (rows if run_id is None else rows.where(F.col("run_id") == run_id)).dropDuplicates(["id"])
 
 
+TERMINAL = ["succeeded", "partial", "failed", "cancelled"]
+
+
 def event_name(stage: Column, status: Column) -> Column:
-    """E21."""
-    return F.when(status == "failed", "error").when(status == "done", F.concat(stage, F.lit(".done"))).otherwise(F.concat(stage, F.lit("."), status))
+    """What a run's listener is told."""
+    return F.when((stage == "run") & status.isin(TERMINAL), "run.finished").when(stage == "run", "run.progress").when(stage == "company", "company.done").otherwise("company.stage")
 
 
 def last_outcomes(events: DataFrame) -> DataFrame:
@@ -178,11 +181,14 @@ def last_outcomes(events: DataFrame) -> DataFrame:
     return events.groupBy("run_id", "company_id").agg(F.max_by("status", "id").alias("status"), F.max("id").alias("last_id"))
 
 
-def run_progress(events: DataFrame) -> DataFrame:
-    """Counters and status of each run."""
+def run_progress(events: DataFrame, totals: DataFrame | None = None) -> DataFrame:
+    """Counters and status of each run. totals: run_id, total; without it all that was begun is the total."""
     out = last_outcomes(events).groupBy("run_id").agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("done", "failed", "paused")])
-    state = F.when(F.col("paused") > 0, "paused").when(F.col("done") == 0, "failed").when(F.col("failed") > 0, "partial").otherwise("done")
-    return out.withColumn("state", state)
+    ended = F.col("done") + F.col("failed") + F.col("paused")
+    out = out.join(totals, "run_id", "left") if totals is not None else out.withColumn("total", ended)
+    bare = (F.col("done") == 0) & (F.col("paused") == 0)
+    state = F.when(ended < F.col("total"), "running").when(F.col("done") == F.col("total"), "succeeded").when(bare, "failed").otherwise("partial")
+    return out.withColumn("state", state).drop("total")
 
 
 def to_resume(events: DataFrame) -> DataFrame:

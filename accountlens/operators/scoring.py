@@ -20,9 +20,9 @@ class Profile:
     """Parameters of a score. The values are the defaults that hold where none are set."""
 
     weights: dict = field(default_factory=lambda: {"high": 3.0, "medium": 2.0, "low": 1.0})
-    strengths: dict = field(default_factory=lambda: {"weak": 0.3, "moderate": 0.6, "strong": 1.0})
-    reliability: dict = field(default_factory=lambda: {"registry": 1.0, "report": 0.95, "website": 0.9, "jobs": 0.9, "news": 0.8, "headline_only": 0.5})
-    half_life_days: dict = field(default_factory=lambda: {"jobs": 45, "news": 120, "website": 180, "report": 365})
+    strengths: dict = field(default_factory=lambda: {"weak": 0.35, "moderate": 0.65, "strong": 1.0})
+    reliability: dict = field(default_factory=lambda: {"website": 1.0, "report": 1.0, "jobs": 0.9, "incident": 0.9, "registry": 0.9, "news": 0.8, "derived": 0.7, "headline_only": 0.6})
+    half_life_days: dict = field(default_factory=lambda: {"jobs": 45, "news": 120, "website": 240, "report": 365, "incident": 270})
     tau_intent: float = 5.0
     tau_risk: float = 2.0
     fit_exponent: float = 0.4
@@ -33,7 +33,7 @@ class Profile:
     min_confidence: float = 0.5
     max_evidence: int = 3
     fit_floor: float = 20.0
-    undated_age_days: int = 180
+    undated_age_days: int = 90
 
 
 def lookup(values: dict, key: Column, default: float | None = None) -> Column:
@@ -213,8 +213,13 @@ def apply_rules(scores: DataFrame, hits: DataFrame) -> DataFrame:
 
 # Member states of the EU, and annexes of the NIS2 directive by industry.
 EU = ["AT", "BE", "BG", "HR", "CY", "CZ", "DK", "EE", "FI", "FR", "DE", "GR", "HU", "IE", "IT", "LV", "LT", "LU", "MT", "NL", "PL", "PT", "RO", "SK", "SI", "ES", "SE"]
-NIS2_ANNEX = {"energy_utilities": "I", "transport": "I", "banking": "I", "healthcare": "I", "pharma": "I", "water": "I", "it_services": "I", "postal_courier": "II", "chemicals": "II", "food": "II", "manufacturing": "II", "machinery": "II", "automobile": "II"}
-DORA = ["banking", "insurance", "financial_services"]
+NIS2_ANNEX = {
+    "energy_utilities": "I", "oil_gas": "I", "airlines": "I", "rail": "I", "logistics": "I", "banking": "I", "financial_markets": "I", "healthcare": "I", "pharma": "I", "water": "I",
+    "digital_infrastructure": "I", "telecom": "I", "public_sector": "I", "it_services": "I", "postal_courier": "II", "chemicals": "II", "food_beverage": "II", "manufacturing": "II", "automotive": "II", "medical_devices": "II",
+}
+DORA = ["banking", "insurance", "financial_markets"]
+# Strength of each scope, and the confidence of both.
+DERIVED_STRENGTH, DERIVED_CONFIDENCE = {"nis2": "weak", "dora": "moderate"}, 0.8
 
 
 def derived_signals(companies: DataFrame, questions: DataFrame, now: Column) -> DataFrame:
@@ -230,7 +235,7 @@ def derived_signals(companies: DataFrame, questions: DataFrame, now: Column) ->
     rows = companies.select("company_id", F.explode(F.filter(scopes, lambda s: s.isNotNull())).alias("s")).select("company_id", "s.*")
     out = rows.crossJoin(F.broadcast(first))  # a row for each service
     key = F.sha2(F.concat_ws(":", "company_id", "question_id", "source_name"), 256)
-    return out.select(key.alias("signal_id"), "company_id", "service_id", "question_id", "source_name", "quote", F.lit("derived").alias("source_type"), F.lit("strong").alias("strength"), F.lit(1.0).alias("confidence"), now.cast("date").alias("event_date"), F.lit("active").alias("status"))
+    return out.select(key.alias("signal_id"), "company_id", "service_id", "question_id", "source_name", "quote", F.lit("derived").alias("source_type"), F.when(F.col("source_name") == "nis2", DERIVED_STRENGTH["nis2"]).otherwise(DERIVED_STRENGTH["dora"]).alias("strength"), F.lit(DERIVED_CONFIDENCE).alias("confidence"), now.cast("date").alias("event_date"), F.lit("active").alias("status"))
 
 
 def refresh_derived(stored: DataFrame, fresh: DataFrame) -> DataFrame:

@@ -255,9 +255,10 @@ def replay(spark, d):
     return E.replay(r.unionByName(r), 5000).select("id", "run_id")
 
 
-@query("e21_event_names", "select case status when 'failed' then 'error' when 'done' then stage || '.done' else stage || '.' || status end as name, count(*) as n from run_event group by all", ("run_event",))
+@query("e21_event_names", "select case when stage = 'system' and status = 'failed' then 'run.finished' when stage = 'system' then 'run.progress' when stage = 'user' then 'company.done' else 'company.stage' end as name, count(*) as n from run_event group by all", ("run_event",))
 def event_names(spark, d):
-    return view(spark, d, "run_event").groupBy(E.event_name(F.col("stage"), F.col("status")).alias("name")).agg(F.count("*").alias("n"))
+    stage = F.when(F.col("stage") == "system", "run").when(F.col("stage") == "user", "company").otherwise("verify")
+    return view(spark, d, "run_event").groupBy(E.event_name(stage, F.col("status")).alias("name")).agg(F.count("*").alias("n"))
 
 
 LAST = "+ last as (select run_id, company_id, arg_max(status, id) as status, max(id) as last_id from (select id, id // 1000 as run_id, id % 37 as company_id, status from run_event) group by all)\n"
@@ -267,7 +268,7 @@ def runs(spark, d):
     return view(spark, d, "run_event").withColumn("run_id", F.floor(F.col("id") / 1000)).withColumn("company_id", F.col("id") % 37)
 
 
-@query("e22_run_progress", LAST + "select run_id, done, failed, paused, case when paused > 0 then 'paused' when done = 0 then 'failed' when failed > 0 then 'partial' else 'done' end as state from (select run_id, count(*) filter (where status = 'done') as done, count(*) filter (where status = 'failed') as failed, count(*) filter (where status = 'paused') as paused from last group by all)", ("run_event",))
+@query("e22_run_progress", LAST + "select run_id, done, failed, paused, case when failed + paused = 0 then 'succeeded' when done = 0 and paused = 0 then 'failed' else 'partial' end as state from (select run_id, count(*) filter (where status = 'done') as done, count(*) filter (where status = 'failed') as failed, count(*) filter (where status = 'paused') as paused from last group by all)", ("run_event",))
 def run_progress(spark, d):
     return E.run_progress(runs(spark, d))
 

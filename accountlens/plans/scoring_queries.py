@@ -32,10 +32,10 @@ def r6(*columns: str):
     return [F.round(c, 6).alias(c) for c in columns]
 
 
-AGE = "case when event_date is not null then greatest(0, date_diff('day', event_date, date '2024-01-31')) else greatest(date_diff('day', cast(detected_at as date), date '2024-01-31'), 180) end"
-DECAY = f"case source_type when 'jobs' then pow(0.5, ({AGE}) / 45.0) when 'news' then pow(0.5, ({AGE}) / 120.0) when 'website' then pow(0.5, ({AGE}) / 180.0) when 'report' then pow(0.5, ({AGE}) / 365.0) else 1.0 end"
-RELIABLE = "case source_type when 'registry' then 1.0 when 'report' then 0.95 when 'website' then 0.9 when 'jobs' then 0.9 when 'news' then 0.8 else 1.0 end"
-STRENGTH = "case strength when 'weak' then 0.3 when 'moderate' then 0.6 when 'strong' then 1.0 else 0.0 end"
+AGE = "case when event_date is not null then greatest(0, date_diff('day', event_date, date '2024-01-31')) else greatest(date_diff('day', cast(detected_at as date), date '2024-01-31'), 90) end"
+DECAY = f"case source_type when 'jobs' then pow(0.5, ({AGE}) / 45.0) when 'news' then pow(0.5, ({AGE}) / 120.0) when 'website' then pow(0.5, ({AGE}) / 240.0) when 'report' then pow(0.5, ({AGE}) / 365.0) else 1.0 end"
+RELIABLE = "case source_type when 'registry' then 0.9 when 'report' then 1.0 when 'website' then 1.0 when 'jobs' then 0.9 when 'news' then 0.8 else 1.0 end"
+STRENGTH = "case strength when 'weak' then 0.35 when 'moderate' then 0.65 when 'strong' then 1.0 else 0.0 end"
 VALUE = f"cast({STRENGTH} as double) * cast(confidence as double) * cast({RELIABLE} as double) * {DECAY}"
 WEIGHT = "case weight when 'high' then 3.0 when 'medium' then 2.0 else 1.0 end"
 SCORED = f"""+ valued as (select *, {VALUE} as value from signal where status = 'active' and confidence >= 0.5),
@@ -180,6 +180,8 @@ def what_if(spark, d):
 @query("g20_derived_signals", """select company_id, cast(s as bigint) as service_id, 'NIS2 annex II' as quote from company, range(2) t(s) where country_code = 'NA' and industry_id in ('machinery', 'automobile') and employees >= 50""", ("company",))
 def derived(spark, d):
     c = companies(spark, d).withColumn("country_code", F.when(F.col("country_code") == "NA", "NL").otherwise(F.col("country_code"))).withColumn("revenue_eur", F.lit(None).cast("bigint"))
+    sector = F.when(F.col("industry_id") == "machinery", "manufacturing").when(F.col("industry_id") == "automobile", "automotive").otherwise(F.col("industry_id"))
+    c = c.withColumn("industry_ids", F.array(sector))
     q = spark.range(2).select(F.col("id").alias("service_id"), F.lit(1).cast("bigint").alias("question_id"), F.lit(True).alias("is_active"), F.lit("positive").alias("polarity"), F.lit("compliance").alias("category"))
     return G.derived_signals(c, q, now()).select("company_id", "service_id", "quote")
 

@@ -21,7 +21,7 @@ def test_decay(spark):
     d = lambda s, a: value(spark, G.decay(F.lit(s), F.lit(a)))
     assert d("jobs", 45) == pytest.approx(0.5) and d("news", 240) == pytest.approx(0.25) and d("registry", 900) == 1.0
     assert value(spark, G.age_days(F.lit("2024-03-01").cast("date"), now(), now())) == 0
-    assert value(spark, G.age_days(F.lit(None).cast("date"), F.lit("2024-01-30").cast("timestamp"), now())) == 180
+    assert value(spark, G.age_days(F.lit(None).cast("date"), F.lit("2024-01-30").cast("timestamp"), now())) == 90
 
 
 def test_combination(spark):
@@ -56,7 +56,7 @@ def test_monotone(spark):
 
 
 def test_evidence_cap_and_full_value(spark):
-    rows = [(1, "strong", 1.0, "registry", day(0), "active")] + [(1, "weak", 0.6, "news", day(5), "active")] * 6
+    rows = [(1, "strong", 1.0, "report", day(0), "active")] + [(1, "weak", 0.6, "news", day(5), "active")] * 6
     assert lead(spark, rows).intent == pytest.approx(100 * (1 - 2.718281828 ** (-3 / 5)), abs=1e-4)
 
 
@@ -75,7 +75,7 @@ def test_fit_and_rules(spark):
 
 
 def test_derived_refresh_params_texts(spark):
-    c = spark.createDataFrame([(1, "DE", ["banking"], 60, None), (2, "US", ["banking"], 60, None), (3, "FR", ["food"], 5, 20_000_000)], "company_id long, country_code string, industry_ids array<string>, employees long, revenue_eur long")
+    c = spark.createDataFrame([(1, "DE", ["banking"], 60, None), (2, "US", ["banking"], 60, None), (3, "FR", ["food_beverage"], 5, 20_000_000)], "company_id long, country_code string, industry_ids array<string>, employees long, revenue_eur long")
     q = spark.createDataFrame([(7, 1, True, "positive", "compliance"), (5, 1, True, "negative", "compliance")], "question_id long, service_id long, is_active boolean, polarity string, category string")
     d = G.derived_signals(c, q, now())
     assert {(r.company_id, r.source_name, r.question_id) for r in d.collect()} == {(1, "nis2", 7), (1, "dora", 7), (3, "nis2", 7)}
