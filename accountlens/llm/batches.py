@@ -11,6 +11,15 @@ from pyspark.sql import functions as F
 _ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64())}
 
 
+#: Rows that are taken out of a batch at once.
+ROWS = 1024
+
+
+def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    for a in range(0, batch.num_rows, ROWS):
+        yield batch.slice(a, ROWS)
+
+
 def map_texts(df: DataFrame, key: str, text: str | Column, function: Callable, columns: str, *, worker: Callable | None = None) -> DataFrame:
     """(key, *columns) for each row.
 
@@ -24,10 +33,9 @@ def map_texts(df: DataFrame, key: str, text: str | Column, function: Callable, c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = (worker(),) if worker else ()
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            out = function(*own, batch.column("_text").cast(pa.binary()).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column("_key"), *(pa.array(x, _ARROW[k]) for x, k in zip(out, kinds, strict=True))], ["_key", *names])
+            for part in parts(batch):
+                out = function(*own, part.column("_text").cast(pa.binary()).to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column("_key"), *(pa.array(x, _ARROW[k]) for x, k in zip(out, kinds, strict=True))], ["_key", *names])
 
     return kept.mapInArrow(run, f"_key {kept.schema['_key'].dataType.simpleString()}, {columns}").withColumnRenamed("_key", key)
 
@@ -38,7 +46,7 @@ def filter_texts(df: DataFrame, text: str, function: Callable, *, worker: Callab
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = (worker(),) if worker else ()
         for batch in batches:
-            if batch.num_rows:
-                yield batch.filter(pa.array(function(*own, batch.column(text).cast(pa.binary()).to_pylist()), pa.bool_()))
+            for part in parts(batch):
+                yield part.filter(pa.array(function(*own, part.column(text).cast(pa.binary()).to_pylist()), pa.bool_()))
 
     return df.mapInArrow(run, df.schema)

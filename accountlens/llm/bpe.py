@@ -33,7 +33,7 @@ from .scan import TransitionScan
 SEPARATOR = 0xFF  # no byte of UTF-8: it separates the texts of a block
 BLOCK_BYTES = 1 << 19
 #: Distinct pieces kept in a worker's cache; it starts anew beyond them, which changes no result.
-CACHE_PIECES = 1_000_000
+CACHE_PIECES = 500_000
 #: Pieces of more bytes are merged one by one with a heap, in n log n.
 LONG_PIECE = 256
 NONE = np.int32(2**31 - 1)
@@ -381,7 +381,7 @@ class PieceEncoder:
             slot[todo] = (slot[todo] + 1) & ((1 << self.bits) - 1)
 
     def _grow(self, wanted: int) -> None:
-        while wanted * 5 > (2 << self.bits):
+        while wanted * 5 > (3 << self.bits):
             used = np.flatnonzero(self.high)
             old = self.low[used], self.high[used], self.numbers[used]
             self.bits += 1

@@ -10,7 +10,8 @@ so a letter is one lookup, for many stretches of text side by side.
 
 Learned on the driver from a sample of a fixed size: ``SAMPLE_SYMBOLS`` letters
 over all languages, from ``SAMPLE_ROWS`` rows a language, by the hash of the id,
-texts of up to ``SAMPLE_BYTES`` bytes first.
+texts of up to ``SAMPLE_BYTES`` bytes
+first (of longer ones at most 65,536 characters are sampled).
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; texts
 of any length are parsed whole, in stretches of ``STRETCH`` letters whose phrases
@@ -20,6 +21,7 @@ every text is ``und``; equal texts get equal results; an empty table gives no ro
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 from functools import lru_cache
 
@@ -29,41 +31,41 @@ from pyspark.sql import functions as F
 
 from .batches import filter_texts, map_texts
 
-SAMPLE_SYMBOLS, SAMPLE_ROWS, SAMPLE_BYTES = 240_000, 120, 8192
+SAMPLE_SYMBOLS, SAMPLE_ROWS, SAMPLE_BYTES = 120_000, 60, 8192
 LETTERS = 56
 STRETCH = 512
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 UNDETERMINED = "und"
 GAP, RARE = 0, 1
 
 
-def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
-    """Transitions of the automaton of all substrings; state 0 is the root."""
-    go: list[dict[int, int]] = [{}]
-    link, length, last = [-1], [0], 0
+def suffix_automaton(symbols: list[int], width: int) -> np.ndarray:
+    """(states, width) next state or -1 of the automaton of all substrings; state 0 is the root."""
+    blank = array("i", [-1]) * width
+    go, link, length, last = array("i", blank), [-1], [0], 0
     for c in symbols:
-        new, p = len(go), last
-        go.append({})
+        new, p = len(link), last
+        go.extend(blank)
         length.append(length[last] + 1)
         link.append(0)
-        while p >= 0 and c not in go[p]:
-            go[p][c] = new
+        while p >= 0 and go[p * width + c] < 0:
+            go[p * width + c] = new
             p = link[p]
         if p >= 0:
-            q = go[p][c]
+            q = go[p * width + c]
             if length[p] + 1 == length[q]:
                 link[new] = q
             else:
-                copy = len(go)
-                go.append(dict(go[q]))
+                copy = len(link)
+                go.extend(go[q * width : (q + 1) * width])
                 length.append(length[p] + 1)
                 link.append(link[q])
-                while p >= 0 and go[p].get(c) == q:
-                    go[p][c] = copy
+                while p >= 0 and go[p * width + c] == q:
+                    go[p * width + c] = copy
                     p = link[p]
                 link[q] = link[new] = copy
         last = new
-    return go
+    return np.frombuffer(go, np.int32).reshape(-1, width)
 
 
 class CrossParser:
@@ -79,17 +81,12 @@ class CrossParser:
         tables, roots, self.log_size, base = [], [], [], 0
         for language in self.languages:
             text = self.compact([samples[language]])[0][:quota].tolist()
-            go = suffix_automaton(text)
-            alone = (base + len(go)) * self.width * 2  # the state after a letter that the text does not have: a phrase of its own
-            start = np.full(self.width, alone + 1, np.int64)  # a step that leaves the automaton begins a phrase at its root
-            for c, to in go[0].items():
-                start[c] = (base + to) * self.width * 2 + 1
-            table = np.tile(start, (len(go) + 1, 1))
-            table[0] -= 1  # the first phrase of a stretch has begun
-            for state, out in enumerate(go[1:], 1):
-                for c, to in out.items():
-                    table[state, c] = (base + to) * self.width * 2
-            tables.append(table.astype(np.int32))
+            go = suffix_automaton(text, self.width)
+            alone = base + len(go)  # the state after a letter that the text does not have: a phrase of its own
+            start = np.where(go[0] >= 0, base + go[0], alone)  # a step that leaves the automaton begins a phrase at its root
+            table = np.where(go >= 0, (base + go) * (self.width * 2), start * (self.width * 2) + 1)
+            table[0] = start * (self.width * 2)  # the first phrase of a stretch has begun
+            tables.append(np.concatenate([table, start[None, :] * (self.width * 2) + 1]).astype(np.int32))
             roots.append(base * self.width)
             self.log_size.append(np.log2(len(text) + 2))
             base += len(go) + 1
@@ -173,9 +170,15 @@ def _letters(alphabet: tuple[str, ...]) -> np.ndarray:
     return out
 
 
-@lru_cache(maxsize=1)
+_PARSERS: dict[tuple, CrossParser] = {}
+
+
 def parser(samples: tuple[tuple[str, str], ...]) -> CrossParser:
-    return CrossParser(dict(samples))
+    """The worker's parser; one for other samples goes before the next is built."""
+    if samples not in _PARSERS:
+        _PARSERS.clear()
+        _PARSERS[samples] = CrossParser(dict(samples))
+    return _PARSERS[samples]
 
 
 def held_out(id_col: str = "doc_id", parts: int = 3, part: int = 1) -> Column:

@@ -40,19 +40,25 @@ _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
 
-def fingerprint(text: bytes | None, words: int = 3, seed: int = 42) -> int:
-    """The fingerprint of one text. bytes.split() splits at runs of 0x20 and 0x09 to 0x0D."""
+def shingle_hashes(text: bytes | None, words: int = 3, seed: int = 42) -> np.ndarray:
+    """Hash of each shingle, repeats included; none of a text without a word. bytes.split() splits at runs of 0x20 and 0x09 to 0x0D."""
     parts = (text or b"").translate(_LOWER).split()
     if not parts:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(parts)
     digest = xxhash.xxh64_intdigest
     if len(parts) <= words:
-        return digest(joined, seed)
+        return np.array([digest(joined, seed)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
-    starts = np.concatenate([[0], ends[: -words] + 1])
-    n = len(starts)
-    hashes = np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts.tolist(), ends[words - 1 :].tolist(), strict=True)), np.uint64, n)
+    starts = np.concatenate([[0], ends[:-words] + 1])
+    return np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts.tolist(), ends[words - 1 :].tolist(), strict=True)), np.uint64, len(starts))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of shingle hashes: bits that are set in over half of them."""
+    n = len(hashes)
+    if not n:
+        return 0
     each = hashes.view(np.uint8).reshape(n, 8)
     if n > 512:
         ones = np.concatenate([np.bincount(each[:, j], minlength=256) @ _BITS for j in range(8)])
@@ -61,6 +67,11 @@ def fingerprint(text: bytes | None, words: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: bytes | None, words: int = 3, seed: int = 42) -> int:
+    """The fingerprint of one text."""
+    return majority(shingle_hashes(text, words, seed))
+
+
 def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp): the fingerprint as a signed 64-bit integer."""
 
@@ -229,21 +240,10 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, seed: int
 SAMPLES, BINS, SLACK = 16, 512, 0.02
 
 
-def shingle_set(text: bytes | None, words: int, seed: int = 42) -> np.ndarray:
-    """Distinct hashes of the shingles, ascending. A text without a word has the hash of nothing."""
-    parts = (text or b"").translate(_LOWER).split()
-    joined = b" ".join(parts)
-    digest = xxhash.xxh64_intdigest
-    if len(parts) <= words:
-        return np.array([digest(joined, seed)], np.uint64)
-    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
-    starts = np.concatenate([[0], ends[:-words] + 1])
-    hashes = np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts.tolist(), ends[words - 1 :].tolist(), strict=True)), np.uint64, len(starts))
-    return np.unique(hashes)
-
-
 def sample_keys(hashes: np.ndarray) -> list[int]:
-    """A key for each sample of two to eight shingles or so: sets that share a sample share its key."""
+    """A key for each sample of two to eight shingles or so: sets that share a sample share its key. hashes are distinct."""
+    if not len(hashes):
+        return []
     out = set()
     rate = 1 << max(0, (len(hashes) // 4).bit_length() - 1)
     mixed = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
@@ -272,25 +272,31 @@ def similarities(own: np.ndarray, others: np.ndarray) -> np.ndarray:
     return ((own == others) & full).sum(axis=1) / np.maximum(full.sum(axis=1), 1)
 
 
-def similar_links(docs: DataFrame, words: int, least: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """((id, node), (a, b)): the node of every row, one for rows with equal shingles, and links of nodes of at least that similarity.
+def describe(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, fp, same, keys, sketch): fingerprint, hash of the set of shingles, keys of its samples, sketch."""
+
+    def run(texts: list) -> list:
+        out: tuple[list, ...] = ([], [], [], [])
+        for t in texts:
+            hashes = shingle_hashes(t, words)
+            distinct = np.unique(hashes)
+            same = int(np.bitwise_xor.reduce(distinct * np.uint64(0x9E3779B97F4A7C15))) ^ len(distinct) if len(distinct) else 0
+            for column, x in zip(out, (majority(hashes), same, sample_keys(distinct), sketch(distinct)), strict=True):
+                column.append(x)
+        return [np.array(out[0], np.uint64).view(np.int64), np.array(out[1], np.uint64).view(np.int64), out[2], out[3]]
+
+    return map_texts(docs, id_col, text_col, run, "fp long, same long, keys array<long>, sketch binary")
+
+
+def similar_links(nodes: DataFrame, least: float) -> DataFrame:
+    """(a, b) links of nodes of at least that similarity, a > b. nodes: node, keys, sketch, one for each set of shingles.
 
     Sets as similar as that share the key of some of their many small samples, but
     for a chance of under one in a thousand. Nodes under a key are compared by their
     sketches with each other, those nearly equal to an earlier one only through it.
+    Of a key's links a spanning forest is sent on, never its pairs.
     """
 
-    def describe(texts: list) -> list:
-        sets = [shingle_set(t, words) for t in texts]
-        same = [int(np.bitwise_xor.reduce(x * np.uint64(0x9E3779B97F4A7C15)) ^ np.uint64(len(x))) for x in sets]
-        return [np.array(same, np.uint64).view(np.int64), [sample_keys(x) for x in sets], [sketch(x) for x in sets]]
-
-    seen = checkpointed(map_texts(docs, id_col, text_col, describe, "same long, keys array<long>, sketch binary").where(F.col(id_col).isNotNull()))
-    nodes = seen.groupBy("same").agg(F.min(id_col).alias("node"))
-    members = seen.select(id_col, "same").join(nodes, "same").select(id_col, "node")
-    own = nodes.select(F.col("node").alias(id_col))
-    keyed = seen.select(id_col, "keys").join(own, id_col, "left_semi").select(F.col(id_col).alias("node"), F.explode("keys").alias("key"))
-
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None  # the key and node of the row before, and whether it has been sent
         for batch in batches:
@@ -308,33 +314,39 @@ def similar_links(docs: DataFrame, words: int, least: float, id_col: str, text_c
             if out.any():
                 yield pa.RecordBatch.from_arrays([pa.array(keys[out]), pa.array(ids[out])], ["key", "node"])
 
+    keyed = nodes.select("node", F.explode("keys").alias("key"))
     entries = keyed.repartition("key").sortWithinPartitions("key").select("key", "node").mapInArrow(shared, "key long, node long")
-    some = entries.join(seen.select(F.col(id_col).alias("node"), "sketch"), "node").repartition("key").sortWithinPartitions("key", "node").select("key", "node", "sketch")
+    some = entries.join(nodes.select("node", "sketch"), "node").repartition("key").sortWithinPartitions("key", "node").select("key", "node", "sketch")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, ids, rows, n = None, [], np.zeros((16, BINS), np.uint8), 0
+        at, ids, rows, n, parent = None, [], np.zeros((16, BINS), np.uint8), 0, []
         for batch in batches:
             found: tuple[list, list] = ([], [])
             for key, node, raw in zip(*(batch.column(c).to_pylist() for c in ("key", "node", "sketch")), strict=True):
                 if key != at:
-                    at, ids, n = key, [], 0
+                    at, ids, n, parent = key, [], 0, np.zeros(16, np.int64)
                 mine = np.frombuffer(raw, np.uint8)
                 s = similarities(mine, rows[:n]) if n else np.zeros(0)
-                for i in np.flatnonzero(s >= least - SLACK).tolist():
+                near = np.flatnonzero(s >= least - SLACK)
+                roots = parent[near]
+                groups, first = np.unique(roots, return_index=True)  # a link to each group that it joins
+                for i in near[first].tolist():
                     found[0].append(max(node, ids[i]))
                     found[1].append(min(node, ids[i]))
-                    if s[i] >= 0.98:
-                        break
-                if not (s >= 0.98).any():
+                if len(groups) > 1:
+                    parent[:n][np.isin(parent[:n], groups)] = groups[0]
+                if not (s >= 0.95).any():
                     if n == len(rows):
                         rows = np.concatenate([rows, np.zeros_like(rows)])
-                    rows[n] = mine
+                    if n == len(parent):
+                        parent = np.concatenate([parent, np.zeros_like(parent)])
+                    rows[n], parent[n] = mine, groups[0] if len(groups) else n
                     ids.append(node)
                     n += 1
             if found[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["a", "b"])
 
-    return members, some.mapInArrow(compare, "a long, b long").distinct()
+    return some.mapInArrow(compare, "a long, b long").distinct()
 
 
 def keep_first(docs: DataFrame, words: int = 5, radius: int = 3, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -342,13 +354,16 @@ def keep_first(docs: DataFrame, words: int = 5, radius: int = 3, least: float =
 
     Groups are joined by fingerprints within the radius, and by a similarity of at
     least ``least`` between the sets of shingles, which at 0.8 leaves ten bits between
-    fingerprints or more.
+    fingerprints or more. Texts are read once.
     """
-    found = near_duplicates(docs, words, radius, id_col=id_col, text_col=text_col).where(F.col(id_col).isNotNull())
-    near = found.where(F.col(id_col) != F.col("component")).select(F.col(id_col).alias("a"), F.col("component").alias("b"))
-    members, similar = similar_links(docs, words, least, id_col, text_col)
-    equal = members.where(F.col(id_col) != F.col("node")).select(F.col(id_col).alias("a"), F.col("node").alias("b"))
-    drop = components(near.unionAll(equal).unionAll(similar)).where("node <> component").select(F.col("node").alias(id_col)).distinct()
+    seen = checkpointed(describe(docs, words, id_col, text_col).where(F.col(id_col).isNotNull()).withColumnRenamed(id_col, "node"))
+    by_set = seen.groupBy("same").agg(F.min("node").alias("first"))
+    by_fp = seen.groupBy("fp").agg(F.min("node").alias("first"))
+    joined = [seen.select("node", k).join(first, k).where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")) for k, first in (("same", by_set), ("fp", by_fp))]
+    near = links(by_fp.select(F.col("first").alias("node"), "fp"), radius)
+    similar = similar_links(seen.join(by_set.select(F.col("first").alias("node")).distinct(), "node", "left_semi"), least)
+    found = components(joined[0].unionAll(joined[1]).unionAll(near).unionAll(similar))
+    drop = found.where("node <> component").select(F.col("node").alias(id_col)).distinct()
     kept = docs.join(drop, id_col, "left_anti")
     alone = F.when(F.col(id_col).isNull(), F.xxhash64(text_col))  # rows without an id need no common task
     once = kept.withColumn("_nth", F.row_number().over(Window.partitionBy(id_col, alone).orderBy(F.xxhash64(text_col))))

@@ -24,6 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .batches import parts
 from .bpe import json_codec
 
 #: A shard is closed when it holds so many ids or documents.
@@ -111,7 +112,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, i
         width = 2 if len(codec.tokens) <= 1 << 16 else 4
         end = np.array([end_id], np.int32)
         doc_ids, held, size = [], [], 0
-        for batch in batches:
+        for batch in (x for whole in batches for x in parts(whole)):
             texts = batch.column("_text").cast(pa.binary()).to_pylist()
             for doc_id, ids in zip(batch.column("_key").to_pylist(), codec.encode(texts), strict=True):
                 doc_ids.append(doc_id)

@@ -168,7 +168,7 @@ def test_simhash_query_is_brute_force(spark, sf_dir):
 
 
 def jaccard(a: str, b: str, words: int = 5) -> float:
-    x, y = (set(simhash.shingle_set(t.encode(), words).tolist()) for t in (a, b))
+    x, y = (set(simhash.shingle_hashes(t.encode(), words).tolist()) for t in (a, b))
     return len(x & y) / len(x | y)
 
 
