@@ -11,8 +11,18 @@ from pyspark.sql import functions as F
 _ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64())}
 
 
-#: Rows that are taken out of a batch at once.
-ROWS = 1024
+#: Rows that are taken out of a batch at once, and at most in a batch: whole texts are long, and a batch of the default
+#: 10,000 stands in memory on both sides.
+ROWS, BATCH_ROWS = 1024, 2048
+_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """The rows themselves, in a session whose Arrow batches have at most BATCH_ROWS rows."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(_SETTING)) <= BATCH_ROWS:
+        conf.set(_SETTING, str(BATCH_ROWS))
+    return df
 
 
 def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -28,7 +38,7 @@ def map_texts(df: DataFrame, key: str, text: str | Column, function: Callable, c
     ``worker`` makes what a task needs once, such as tables read from a file.
     """
     names, kinds = zip(*(c.split() for c in columns.split(", ")), strict=True)
-    kept = df.select(F.col(f"`{key}`").alias("_key"), (F.col(f"`{text}`") if isinstance(text, str) else text).cast("string").alias("_text"))
+    kept = bounded(df).select(F.col(f"`{key}`").alias("_key"), (F.col(f"`{text}`") if isinstance(text, str) else text).cast("string").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = (worker(),) if worker else ()
@@ -49,4 +59,4 @@ def filter_texts(df: DataFrame, text: str, function: Callable, *, worker: Callab
             for part in parts(batch):
                 yield part.filter(pa.array(function(*own, part.column(text).cast(pa.binary()).to_pylist()), pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return bounded(df).mapInArrow(run, df.schema)
