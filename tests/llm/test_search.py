@@ -208,3 +208,12 @@ def test_pipeline_stages(spark, sf_dir):
     empty = queries.table(spark, sf_dir, "documents").where("false")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, sf_dir).count() == 0
+
+
+def test_mixing_stage_keeps_every_document(spark, sf_dir):
+    rows = [(i, f"text {i}", "en", None if i < 3 else "rare" if i < 10 else "large", 6) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = [r.doc_id for r in corpus_pipeline.mix_to_weights(spark, docs, sf_dir).collect()]
+    assert sorted(got) == list(range(300))
+    order = mixing.mix(docs, mixing.tempered_weights(docs, 0.5)).orderBy("slot", "place").collect()
+    assert got == [r.doc_id for r in order]
