@@ -23,15 +23,16 @@ take no part in naming, and their rows get the component of their fingerprint
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .batches import map_texts
+from .batches import bounded, map_texts
 from .storage import checkpointed
 
 #: Fingerprints in a shard before it is split by further bands.
@@ -236,117 +237,143 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, seed: int
     return marked.join(named, "fp").select(id_col, "fp", "component")
 
 
-#: Samples of a document's shingles at each of two rates; bins of its sketch; error of the similarity of two sketches.
-SAMPLES, BINS, SLACK = 16, 512, 0.02
+#: Documents whose shingles are counted for the order of shingles, the least count that matters there, and shingles with a count at most. All three
+#: are for speed: with any order the candidates are complete.
+COUNTED_DOCS, OFTEN, COUNTED = 5_000, 3, 200_000
+#: Bits of a set's mark.
+MARK = 1024
+_TINY = 1e-9  # products of a similarity and a count may be off by less
 
 
-def sample_keys(hashes: np.ndarray) -> list[int]:
-    """A key for each sample of two to eight shingles or so: sets that share a sample share its key. hashes are distinct."""
-    if not len(hashes):
-        return []
-    out = set()
-    rate = 1 << max(0, (len(hashes) // 4).bit_length() - 1)
-    mixed = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    for groups in {rate, max(1, rate // 2)}:
-        group = (hashes % np.uint64(groups)).astype(np.int64)
-        some = group < SAMPLES
-        total = np.zeros(min(groups, SAMPLES), np.uint64)
-        np.add.at(total, group[some], mixed[some])
-        full = np.bincount(group[some], minlength=len(total)) > 0
-        seed = np.uint64((groups * 0xC2B2AE3D27D4EB4F) % 2**64) + np.arange(len(total), dtype=np.uint64)
-        out.update(((total ^ (seed * np.uint64(0x165667B19E3779F9)))[full]).view(np.int64).tolist())
-    return sorted(out)
+def frequent(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
+    """Frequent shingles, ascending, and their counts among some documents."""
+    every = max(1, -(-docs.count() // COUNTED_DOCS))
+    some = docs.where(F.pmod(F.xxhash64(id_col), F.lit(every)) == 0)
+
+    def run(texts: list) -> list:
+        return [[np.unique(shingle_hashes(t, words)).view(np.int64) for t in texts]]
+
+    each = map_texts(some, id_col, text_col, run, "keys array<long>").select(F.explode("keys").alias("key"))
+    counts = each.groupBy("key").count().where(F.col("count") >= OFTEN).orderBy(F.desc("count"), "key").limit(COUNTED).collect()
+    keys, n = np.array([r["key"] for r in counts], np.int64).view(np.uint64), np.array([r["count"] for r in counts], np.int64)
+    order = np.argsort(keys)
+    return keys[order], n[order]
+
+
+def prefix(hashes: np.ndarray, least: float, often: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first shingles of a set in the order of frequency, then hash: sets of at least that similarity share one of theirs. hashes are distinct."""
+    n = len(hashes)
+    if not n:
+        return hashes
+    count = np.zeros(n, np.int64)
+    if len(often[0]):
+        at = np.minimum(np.searchsorted(often[0], hashes), len(often[0]) - 1)
+        count = np.where(often[0][at] == hashes, often[1][at], 0)
+    return hashes[np.lexsort((hashes, count))[: n - math.ceil(least * n - _TINY) + 1]]
 
 
-def sketch(hashes: np.ndarray) -> bytes:
-    """The smallest hash of each of BINS bins, as a byte from 1; 0 where a bin is empty. hashes ascend."""
-    bins, first = np.unique((hashes % np.uint64(BINS)).astype(np.int64), return_index=True)
-    out = np.zeros(BINS, np.uint8)
-    out[bins] = 1 + ((hashes[first] >> np.uint64(20)) % np.uint64(255)).astype(np.uint8)
-    return out.tobytes()
+def set_hash(distinct: np.ndarray) -> int:
+    """Hash of a set of shingles."""
+    return int(np.bitwise_xor.reduce(distinct * np.uint64(0x9E3779B97F4A7C15))) ^ len(distinct) if len(distinct) else 0
 
 
-def similarities(own: np.ndarray, others: np.ndarray) -> np.ndarray:
-    """Jaccard similarity of a sketch with others (rows): the share of equal bins among those that are not empty in both."""
-    full = (own != 0) | (others != 0)
-    return ((own == others) & full).sum(axis=1) / np.maximum(full.sum(axis=1), 1)
+def mark(distinct: np.ndarray) -> bytes:
+    """Of each of MARK bins, whether it has an odd number of shingles: marks differ in no more bits than sets in shingles."""
+    odd = np.bincount((distinct % np.uint64(MARK)).astype(np.int64), minlength=MARK) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
-def describe(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp, same, keys, sketch): fingerprint, hash of the set of shingles, keys of its samples, sketch."""
+def describe(docs: DataFrame, words: int, least: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, fp, same, n, keys, mark): fingerprint, hash and size of the set of shingles, its prefix and mark."""
+    often = docs.sparkSession.sparkContext.broadcast(frequent(docs, words, id_col, text_col))
 
     def run(texts: list) -> list:
-        out: tuple[list, ...] = ([], [], [], [])
+        out: tuple[list, ...] = ([], [], [], [], [])
         for t in texts:
             hashes = shingle_hashes(t, words)
             distinct = np.unique(hashes)
-            same = int(np.bitwise_xor.reduce(distinct * np.uint64(0x9E3779B97F4A7C15))) ^ len(distinct) if len(distinct) else 0
-            for column, x in zip(out, (majority(hashes), same, sample_keys(distinct), sketch(distinct)), strict=True):
+            for column, x in zip(out, (majority(hashes), set_hash(distinct), len(distinct), prefix(distinct, least, often.value).view(np.int64), mark(distinct)), strict=True):
                 column.append(x)
-        return [np.array(out[0], np.uint64).view(np.int64), np.array(out[1], np.uint64).view(np.int64), out[2], out[3]]
+        return [np.array(out[0], np.uint64).view(np.int64), np.array(out[1], np.uint64).view(np.int64), *out[2:]]
 
-    return map_texts(docs, id_col, text_col, run, "fp long, same long, keys array<long>, sketch binary")
+    return map_texts(docs, id_col, text_col, run, "fp long, same long, n long, keys array<long>, mark binary")
 
 
-def similar_links(nodes: DataFrame, least: float) -> DataFrame:
-    """(a, b) links of nodes of at least that similarity, a > b. nodes: node, keys, sketch, one for each set of shingles.
+def shingle_sets(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(same, shingles): the set of shingles of each of an id's different texts, its hashes ascending in 8 bytes each."""
+
+    def run(texts: list) -> list:
+        sets = [np.unique(shingle_hashes(t, words)) for t in texts]
+        return [np.array([set_hash(s) for s in sets], np.uint64).view(np.int64), [s.tobytes() for s in sets]]
+
+    once = docs.select(id_col, text_col, F.xxhash64(text_col).alias("_hash")).dropDuplicates([id_col, "_hash"])
+    return map_texts(once, id_col, text_col, run, "same long, shingles binary").select("same", "shingles")
 
-    Sets as similar as that share the key of some of their many small samples, but
-    for a chance of under one in a thousand. Nodes under a key are compared by their
-    sketches with each other, those nearly equal to an earlier one only through it.
-    Of a key's links a spanning forest is sent on, never its pairs.
-    """
 
-    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # the key and node of the row before, and whether it has been sent
+def alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) of sets of at least that similarity, by the number of shingles in both."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, ids = (batch.column(c).to_numpy() for c in ("key", "node"))
-            if last:
-                keys, ids = np.concatenate([[last[0]], keys]), np.concatenate([[last[1]], ids])
-            same = keys[1:] == keys[:-1]
-            out = np.zeros(len(keys), bool)
-            out[1:] |= same
-            out[:-1] |= same
-            done = bool(last and last[2])
-            if done:
-                out[0] = False
-            last = (keys[-1], ids[-1], bool(out[-1]) or (len(keys) == 1 and done))
-            if out.any():
-                yield pa.RecordBatch.from_arrays([pa.array(keys[out]), pa.array(ids[out])], ["key", "node"])
-
-    keyed = nodes.select("node", F.explode("keys").alias("key"))
-    entries = keyed.repartition("key").sortWithinPartitions("key").select("key", "node").mapInArrow(shared, "key long, node long")
-    some = entries.join(nodes.select("node", "sketch"), "node").repartition("key").sortWithinPartitions("key", "node").select("key", "node", "sketch")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, ids, rows, n, parent = None, [], np.zeros((16, BINS), np.uint8), 0, []
+            ok = []
+            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
+                one, two = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(one, two, assume_unique=True))
+                ok.append(both >= least * (len(one) + len(two) - both) - _TINY)
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    one, two = (sets.select(F.col("same").alias(k), F.col("shingles").alias(v)) for k, v in (("a", "x"), ("b", "y")))
+    return bounded(pairs.join(one, "a").join(two, "b")).select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def possible_by_marks(pairs: DataFrame, marks: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) without those that differ in too many bits to be of that similarity. marks: (same, n, mark)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: tuple[list, list] = ([], [])
-            for key, node, raw in zip(*(batch.column(c).to_pylist() for c in ("key", "node", "sketch")), strict=True):
-                if key != at:
-                    at, ids, n, parent = key, [], 0, np.zeros(16, np.int64)
-                mine = np.frombuffer(raw, np.uint8)
-                s = similarities(mine, rows[:n]) if n else np.zeros(0)
-                near = np.flatnonzero(s >= least - SLACK)
-                roots = parent[near]
-                groups, first = np.unique(roots, return_index=True)  # a link to each group that it joins
-                for i in near[first].tolist():
-                    found[0].append(max(node, ids[i]))
-                    found[1].append(min(node, ids[i]))
-                if len(groups) > 1:
-                    parent[:n][np.isin(parent[:n], groups)] = groups[0]
-                if not (s >= 0.95).any():
-                    if n == len(rows):
-                        rows = np.concatenate([rows, np.zeros_like(rows)])
-                    if n == len(parent):
-                        parent = np.concatenate([parent, np.zeros_like(parent)])
-                    rows[n], parent[n] = mine, groups[0] if len(groups) else n
-                    ids.append(node)
-                    n += 1
-            if found[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["a", "b"])
+            one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("x", "y"))
+            n = batch.column("n").to_numpy() + batch.column("m").to_numpy()
+            ok = np.bitwise_count(one ^ two).sum(axis=1, dtype=np.int64) <= n * ((1 - least) / (1 + least)) + _TINY
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    one, two = (marks.select(F.col("same").alias(k), F.col("n").alias(n), F.col("mark").alias(v)) for k, n, v in (("a", "n", "x"), ("b", "m", "y")))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a long, b long")
 
-    return some.mapInArrow(compare, "a long, b long").distinct()
+
+def similar_links(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], least: float) -> DataFrame:
+    """(a, b) links whose components are those of all pairs of at least that similarity. nodes: (same, n, keys, mark), same distinct; sets: (same, shingles) of sets (same).
+
+    Two such sets share a key, since the keys are prefixes in one order, and each
+    pair is decided by its shingles. First every set meets the smallest one under
+    each of its keys; then sets under a key meet where they are not joined yet. A
+    group of near copies is so joined without all of its pairs.
+    """
+    nodes = checkpointed(nodes)
+    entries = nodes.select("same", "n", F.posexplode("keys").alias("at", "key"))
+    shared = entries.groupBy("key").agg(F.count("*").alias("_rows"), F.min(F.struct("same", "n", "at")).alias("first")).where("_rows > 1").drop("_rows")
+    held = checkpointed(entries.join(shared, "key"))
+
+    def possible(n: Column, at: Column, m: Column, to: Column) -> Column:
+        """Whether sets of n and m shingles that share those at these places can have enough in common: before the places and from them on."""
+        return F.least(at, to) + F.least(n - at, m - to) >= F.ceil((n + m) * F.lit(least / (1 + least)) - F.lit(_TINY))
+
+    def decided(pairs: DataFrame) -> DataFrame:
+        some = checkpointed(possible_by_marks(pairs, nodes, least))
+        found = sets(some.select(F.explode(F.array("a", "b")).alias("same")).distinct())
+        return checkpointed(alike(some, found, least))
+
+    stars = held.where((F.col("same") != F.col("first.same")) & possible(F.col("n"), F.col("at"), F.col("first.n"), F.col("first.at")))
+    stars = checkpointed(stars.select(F.greatest("same", "first.same").alias("a"), F.least("same", "first.same").alias("b")).distinct())
+    linked = decided(stars)
+    named = held.drop("first").join(components(linked).withColumnRenamed("node", "same"), "same", "left").withColumn("component", F.coalesce("component", "same"))
+    named = checkpointed(named)
+    apart = named.groupBy("key").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low <> _high").select("key")
+    some = named.join(apart, "key", "left_semi")
+    x, y = some.alias("x"), some.alias("y")
+    fits = possible(F.col("x.n"), F.col("x.at"), F.col("y.n"), F.col("y.at"))
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & fits)
+    pairs = met.select(F.greatest("x.same", "y.same").alias("a"), F.least("x.same", "y.same").alias("b")).distinct()
+    return linked.unionAll(decided(pairs.join(stars, ["a", "b"], "left_anti")))
 
 
 def keep_first(docs: DataFrame, words: int = 5, radius: int = 3, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -354,14 +381,21 @@ def keep_first(docs: DataFrame, words: int = 5, radius: int = 3, least: float =
 
     Groups are joined by fingerprints within the radius, and by a similarity of at
     least ``least`` between the sets of shingles, which at 0.8 leaves ten bits between
-    fingerprints or more. Texts are read once.
+    fingerprints or more. Texts of sets that share a key are read twice.
     """
-    seen = checkpointed(describe(docs, words, id_col, text_col).where(F.col(id_col).isNotNull()).withColumnRenamed(id_col, "node"))
+    seen = checkpointed(describe(docs, words, least, id_col, text_col).where(F.col(id_col).isNotNull()).withColumnRenamed(id_col, "node"))
     by_set = seen.groupBy("same").agg(F.min("node").alias("first"))
     by_fp = seen.groupBy("fp").agg(F.min("node").alias("first"))
     joined = [seen.select("node", k).join(first, k).where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")) for k, first in (("same", by_set), ("fp", by_fp))]
     near = links(by_fp.select(F.col("first").alias("node"), "fp"), radius)
-    similar = similar_links(seen.join(by_set.select(F.col("first").alias("node")).distinct(), "node", "left_semi"), least)
+
+    def sets(some: DataFrame) -> DataFrame:
+        ids = by_set.join(some, "same").select(F.col("first").alias(id_col)).distinct()
+        return shingle_sets(docs.join(ids, id_col, "left_semi"), words, id_col, text_col)
+
+    pairs = similar_links(seen.select("same", "n", "keys", "mark").dropDuplicates(["same"]), sets, least)
+    one, two = (by_set.select(F.col("same").alias(k), F.col("first").alias(v)) for k, v in (("a", "x"), ("b", "y")))
+    similar = pairs.join(one, "a").join(two, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     found = components(joined[0].unionAll(joined[1]).unionAll(near).unionAll(similar))
     drop = found.where("node <> component").select(F.col("node").alias(id_col)).distinct()
     kept = docs.join(drop, id_col, "left_anti")

@@ -217,3 +217,31 @@ def test_mixing_stage_keeps_every_document(spark, sf_dir):
     assert sorted(got) == list(range(300))
     order = mixing.mix(docs, mixing.tempered_weights(docs, 0.5)).orderBy("slot", "place").collect()
     assert got == [r.doc_id for r in order]
+
+
+def test_stage_decides_short_texts_and_close_pairs_like_brute_force(spark):
+    rng = random.Random(11)
+    rows = []
+    for _ in range(90):
+        size = rng.choice([5, 8, 10, 11, 13, 18, 34, 64, 500])
+        words = [rng.choice(["a", "b", "c"]) if rng.random() < 0.1 else f"w{rng.randrange(10**6)}" for _ in range(size)]
+        rows.append(" ".join(words))
+        rows.append(" ".join(words[: size - rng.randrange(1, 3)]))  # the longest change at an end: 6 of 7 shingles and so on
+        cut = round((size - 4) * rng.uniform(0.17, 0.23))
+        rows.append(" ".join(words[: size - cut]))
+    rows = list(enumerate(rows))
+    rng.shuffle(rows)
+    sets = {i: frozenset(simhash.shingle_hashes(t.encode(), 5).tolist()) for i, t in rows}
+    fps = {i: simhash.fingerprint(t.encode(), 5) for i, t in rows}
+    label = {i: i for i in sets}
+    close = 0
+    for i in sorted(sets):
+        for j in range(i):
+            s = len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+            close += 0.8 <= s < 0.84
+            if s >= 0.8 or (fps[i] ^ fps[j]).bit_count() <= 3:
+                low, high = sorted((label[i], label[j]))
+                label = {k: low if c == high else c for k, c in label.items()}
+    assert close > 20
+    kept = {r.doc_id for r in simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == set(label.values())
