@@ -240,3 +240,21 @@ def test_leads_and_events(spark, tmp_path):
     found = spark.createDataFrame([(1, 1), (1, 2)], "rule_id int, company_id int")
     sent = spark.createDataFrame([(1, 1, "2024-01-30")], "rule_id int, company_id int, notified_at string")
     assert [r.company_id for r in E.once_per_window(found, sent, F.lit("2024-01-29")).collect()] == [2]
+
+
+def test_fuzzy_quotes_are_the_best_of_all_windows():
+    rng = random.Random(5)
+    filler = lambda n: " ".join("".join(rng.choices("abcdefghij", k=rng.randint(2, 8))) for _ in range(n))
+    found = 0
+    for _ in range(60):
+        quote = filler(9)
+        near = list(quote)
+        for k in range(3, len(near), 17):
+            near[k] = "x"
+        text = f"{filler(12)} {''.join(near)} {filler(12)} {quote[:25]} {filler(12)}"
+        body, wanted = V.normal_with_map(text)[0], V.normal_with_map(quote)[0]
+        n = len(wanted)
+        best, at = max((V.indel_ratio(wanted, body[s : s + n]), -s) for s in range(len(body) - n + 1))
+        assert V.find_fuzzy(text, quote) == ((-at, -at + n) if best >= 90 else None)
+        found += best >= 90
+    assert found > 50
