@@ -35,3 +35,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner remove shuffle files that no table refers to any more: it does so as the driver's JVM collects garbage."""
+    spark.sparkContext._jvm.System.gc()
