@@ -1,13 +1,16 @@
 """Exact top-k search by inner product, with MaxScore over shards.
 
 Vectors become whole numbers, floor(scale * x). A dimension is a query term and its
-column of a shard the posting list; its bound for a query is the largest product
-that any vector of the shard can add. Per query block and shard, terms are taken in
-order of their bounds: the essential terms are traversed for all vectors, and of
-those only the ones that can still reach the query's k-th best score, partial score
-plus the bounds of the other terms, are probed further, group of terms by group,
-until the scores are exact. Shards return k candidates a query, which a window
-merges.
+column of a shard the posting list, in blocks of ``POSTINGS`` vectors with the
+largest and the smallest value of each. A term's bound for a query is the largest
+product that any vector of the shard can add, and its floor the smallest. Blocks
+are visited in the order of their own bounds, those that cannot reach the query's
+k-th best score so far are passed over. For each query and step the terms are
+split: the non-essential ones are as many of the smallest spreads (bound less
+floor) as leave a vector that has only these below that score; the postings of the
+essential ones are traversed, and the others are probed, largest spread first, for
+vectors that are still competitive. Every scored vector raises the score to beat.
+Shards return k candidates a query, which a window merges.
 
 Queries meet candidates in blocks: a shard of at most about ``SHARD`` vectors and a
 block of at most about ``QUERIES`` queries are one task's group, so a group's size
@@ -16,8 +19,8 @@ is bounded whatever the table's size.
 Defined cases: null vectors and vectors with null or non-finite components take no
 part, nor do components too large for a long; vectors of different lengths do not
 meet; ties go to the smaller id; rows that repeat an id are candidates each, and
-queries once; empty vectors score 0; an empty table gives no rows; other columns do
-not matter.
+the least of their vectors is the query; empty vectors score 0; scores beyond a
+long are its ends; an empty table gives no rows; other columns do not matter.
 """
 
 from __future__ import annotations
@@ -29,8 +32,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SHARD, QUERIES = 8192, 2048
-GROUP = 16
+SHARD, QUERIES = 8192, 16_384
+#: Vectors in a block of postings, blocks visited at a time, and terms probed at a time.
+POSTINGS, STEP, PROBES = 32, 16, 8
 #: Whole numbers below this are exact in a double.
 EXACT = 2**53
 
@@ -48,60 +52,85 @@ def matrix(table: pa.Table) -> np.ndarray:
     return table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(n, -1) if n else np.zeros((0, 0), np.int64)
 
 
-def _dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact products of all rows of a with all rows of b."""
-    if not a.size or not b.size:
-        return np.zeros((len(a), len(b)), np.int64)
-    if float(np.abs(a).max()) * float(np.abs(b).max()) * a.shape[1] < EXACT:
-        return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    out = a.astype(object) @ b.astype(object).T
-    return np.clip(out, -(2**63), 2**63 - 1).astype(np.int64)
+def coherent(vectors: np.ndarray) -> np.ndarray:
+    """An order in which like vectors stand together, so that the blocks' bounds are tight: halves along the widest dimension, again and again."""
+    out, todo = [], [np.arange(len(vectors))]
+    while todo:
+        some = todo.pop()
+        if len(some) <= POSTINGS or not vectors.shape[1]:
+            out.append(some)
+            continue
+        held = vectors[some]
+        widest = int((held.max(axis=0) - held.min(axis=0)).argmax())
+        half = len(some) // (2 * POSTINGS) * POSTINGS or POSTINGS
+        parts = np.argpartition(held[:, widest], half)
+        todo += [some[parts[half:]], some[parts[:half]]]
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
+class Shard:
+    """Postings of a shard's vectors. ``read`` counts the postings that searches traversed or probed."""
+
+    def __init__(self, vectors: np.ndarray, ids: np.ndarray, largest_query: int):
+        exact = float(np.abs(vectors).max(initial=0)) * float(largest_query) * max(1, vectors.shape[1]) < EXACT
+        self.kind = np.float64 if exact else object  # whole numbers of any size, where a double is too short
+        self.order = coherent(vectors)
+        self.ids = ids[self.order]
+        self.columns = np.ascontiguousarray(vectors[self.order].T).astype(self.kind)
+        self.starts = np.arange(0, len(ids), POSTINGS)
+        self.high = np.maximum.reduceat(self.columns, self.starts, axis=1)
+        self.low = np.minimum.reduceat(self.columns, self.starts, axis=1)
+        self.read = 0
+
+    def search(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Positions and scores of the k best vectors, ties to the smaller id; those of the query's own id are left out."""
+        q = query.astype(self.kind)
+        best, worst = np.maximum(q[:, None] * self.high, q[:, None] * self.low), np.minimum(q[:, None] * self.high, q[:, None] * self.low)
+        bound = best.sum(axis=0)  # of each block
+        top, floor = best.max(axis=1), worst.min(axis=1)  # of each term
+        terms = np.argsort(-(top - floor).astype(np.float64), kind="stable")
+        after = np.append(np.cumsum(top[terms][::-1])[::-1], 0)  # what the terms from a place on can add
+        spread = np.append(np.cumsum((top - floor)[terms][::-1])[::-1], 0)
+        visit = np.argsort(-bound.astype(np.float64), kind="stable")
+        places, scores = np.zeros(0, np.int64), np.zeros(0, self.kind)
+        beat = None  # the k-th best score so far
+        for a in range(0, len(visit), STEP):
+            some = visit[a : a + STEP]
+            if beat is not None:
+                some = some[bound[some] >= beat]
+                if not len(some):
+                    break  # the blocks that follow have smaller bounds
+            at = (self.starts[some][:, None] + np.arange(POSTINGS)).ravel()
+            at = at[at < len(self.ids)]
+            at = at[self.ids[at] != own]
+            # The first place from which all terms together lift no vector from the floor of all to the score to beat.
+            cut = len(terms) if beat is None else int(np.argmax(spread < beat - floor.sum())) if (spread < beat - floor.sum()).any() else len(terms)
+            essential = terms[:cut]
+            partial = q[essential] @ self.columns[np.ix_(essential, at)] if len(essential) else np.zeros(len(at), self.kind)
+            self.read += len(essential) * len(at)
+            while cut < len(terms):
+                stay = partial + after[cut] >= beat
+                at, partial = at[stay], partial[stay]
+                if not len(at):
+                    break
+                probed = terms[cut : cut + PROBES]
+                partial = partial + q[probed] @ self.columns[np.ix_(probed, at)]
+                self.read += len(probed) * len(at)
+                cut += len(probed)
+            places, scores = np.append(places, at), np.append(scores, partial)
+            ranked = np.lexsort((self.ids[places], -scores))[:k]
+            places, scores = places[ranked], scores[ranked]
+            if len(places) == k:
+                beat = scores[-1]
+        return self.order[places], np.clip(scores, -(2**63), 2**63 - 1) if self.kind is object else scores
 
 
 def best_of_shard(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query row, vector row, score) of each query's k best of a shard, its own id left out."""
-    order = np.argsort(ids, kind="stable")  # so that the first of equal scores has the smaller id
-    vectors, ids = vectors[order], ids[order]
-    low, high = vectors.min(axis=0), vectors.max(axis=0)
-    wide = float(np.abs(vectors).max(initial=0)) * float(np.abs(queries).max(initial=0)) * max(1, vectors.shape[1]) >= EXACT
-    rows, cols, scores = [], [], []
-    for a in range(0, len(queries), 256):
-        q, own = queries[a : a + 256], query_ids[a : a + 256]
-        if wide or len(ids) <= 64:
-            full = _dot(q, vectors)
-            r, c = np.nonzero(own[:, None] != ids[None, :])
-            s = full[r, c]
-        else:
-            r, c, s = _maxscore(q, own, vectors, ids, low, high, k)
-        ranked = np.lexsort((c, -s, r))
-        r, c, s = r[ranked], c[ranked], s[ranked]
-        first = np.searchsorted(r, np.arange(len(q)))
-        keep = np.arange(len(r)) - first[r] < k
-        rows.append(r[keep] + a), cols.append(order[c[keep]]), scores.append(s[keep])
-    return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (rows, cols, scores))
-
-
-def _maxscore(q, own, vectors, ids, low, high, k):
-    bounds = np.maximum(q * low[None, :], q * high[None, :])  # of each query and term
-    terms = np.argsort(-(bounds - np.minimum(q * low[None, :], q * high[None, :])).sum(axis=0), kind="stable")
-    seeds = _dot(q, vectors[:: max(1, len(ids) // 512)]).astype(np.float64)
-    seeds[own[:, None] == ids[None, :: max(1, len(ids) // 512)]] = -np.inf
-    floor = np.partition(seeds, max(0, seeds.shape[1] - k), axis=1)[:, max(0, seeds.shape[1] - k)] if seeds.shape[1] >= k else np.full(len(q), -np.inf)
-    essential, rest = terms[: 2 * GROUP], terms[2 * GROUP :]
-    partial = _dot(q[:, essential], vectors[:, essential])
-    alive = (partial + bounds[:, rest].sum(axis=1)[:, None] >= floor[:, None]) & (own[:, None] != ids[None, :])
-    if alive.mean() > 0.1:  # most compete: the other terms for all at once
-        partial += _dot(q[:, rest], vectors[:, rest])
-        r, c = np.nonzero(alive & (partial >= floor[:, None]))
-        return r, c, partial[r, c]
-    r, c = np.nonzero(alive)
-    s = partial[r, c]
-    for g in range(0, len(rest), GROUP):  # probe the other terms while competitive
-        some, after = rest[g : g + GROUP], rest[g + GROUP :]
-        s = s + np.einsum("ij,ij->i", q[np.ix_(r, some)] if len(r) else np.zeros((0, len(some)), np.int64), vectors[np.ix_(c, some)] if len(c) else np.zeros((0, len(some)), np.int64))
-        stay = s + bounds[:, after].sum(axis=1)[r] >= floor[r]
-        r, c, s = r[stay], c[stay], s[stay]
-    return r, c, s
+    shard = Shard(vectors, ids, int(np.abs(queries).max(initial=0)))
+    found = [shard.search(q, own, k) for q, own in zip(queries, query_ids.tolist(), strict=True)]
+    rows = np.repeat(np.arange(len(found)), [len(places) for places, _ in found])
+    return rows, np.concatenate([places for places, _ in found]), np.concatenate([s for _, s in found]).astype(np.int64)
 
 
 def top_k(df: DataFrame, k: int = 5, every: int = 50, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -114,7 +143,7 @@ def top_k(df: DataFrame, k: int = 5, every: int = 50, scale: int = 256, id_col:
     mine = F.pmod(F.xxhash64("id", "v"), F.lit(shards)).cast("int").alias("shard")
     candidates = vectors.select("id", "v", dim, mine, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block")
-    queries = vectors.where(is_query).dropDuplicates(["id", "v"]).select("id", "v", dim, block, F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
+    queries = vectors.where(is_query).groupBy("id").agg(F.min("v").alias("v")).select("id", "v", dim, block, F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
     out = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("score", pa.int64())])
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:

@@ -51,6 +51,30 @@ def test_maxscore_of_a_shard(seed):
     assert got == want
 
 
+def test_maxscore_passes_over_postings_that_cannot_compete():
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(40, 64)) * 300
+    v = np.floor(np.repeat(centres, 200, axis=0) + rng.normal(size=(8000, 64)) * 20).astype(np.int64)
+    ids = rng.permutation(8000)
+    shard = topk.Shard(v, ids, int(np.abs(v).max()))
+    for i in range(0, 8000, 397):
+        places, scores = shard.search(v[i], int(ids[i]), 5)
+        want = sorted((-int(v[i] @ v[j]), int(ids[j])) for j in range(8000) if j != i)[:5]
+        assert sorted(zip((-scores).astype(int).tolist(), ids[places].tolist(), strict=True)) == want
+    assert shard.read < 0.1 * 21 * v.size  # of all postings
+
+
+def test_top_k_of_numbers_beyond_doubles_and_repeated_queries(spark):
+    rows = [(i, [float(2**30 + i), -(2.0**29) * i]) for i in range(60)] + [(50, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = [(i, [int(256 * x) for x in v]) for i, v in rows]
+    queries_of = {0: whole[0][1], 50: min(v for i, v in whole if i == 50)}
+    clip = lambda x: max(-(2**63), min(2**63 - 1, x))
+    want = [(q, n + 1, i, -s) for q, a in queries_of.items() for n, (s, i) in enumerate(sorted((-clip(sum(x * y for x, y in zip(a, b, strict=True))), i) for i, b in whole if i != q)[:5])]
+    got = sorted(map(tuple, topk.top_k(df).collect()))
+    assert [(q, r, s) for q, r, _, s in got] == [(q, r, s) for q, r, _, s in sorted(want)]
+
+
 # Mixing
 def test_schedule_stays_within_one_block(spark):
     w = spark.createDataFrame([("a", 5.0), ("b", 3.0), (None, 1.0), ("d", 0.7), ("e", 0.3)], "source string, weight double")
