@@ -19,6 +19,7 @@ import heapq
 import json
 import re
 import unicodedata
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -82,6 +83,58 @@ def codepoint_symbols() -> np.ndarray:
     return out
 
 
+# The pattern of the rank files.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Code points from here on are no letters or numbers in any version of Unicode so far.
+PROBED = 0x40000
+
+
+def _probe_text() -> tuple[str, np.ndarray]:
+    """Each code point after a letter and after a sign, and which these are."""
+    cps = np.array([i for i in range(0x80, PROBED) if not 0xD800 <= i < 0xE000 and i not in WHITE_SPACE])
+    return "".join(f"a{chr(i)}!{chr(i)}\n" for i in cps.tolist()), cps
+
+
+def _classes(cps: np.ndarray, breaks: np.ndarray) -> bytes:
+    """Classes as a worker gets them. breaks: whether a piece starts at each character of the probe text."""
+    out = codepoint_symbols().copy()
+    letter, other = ~breaks[1::5], ~breaks[3::5]
+    out[cps] = np.where(letter, S_LETTER, np.where(other, S_OTHER, S_NUMBER))
+    return zlib.compress(out.tobytes())
+
+
+@lru_cache(maxsize=2)
+def ranks_classes(pattern: str = PATTERN) -> bytes:
+    """The classes of code points that tiktoken splits by: its tables are of another version of Unicode than Python's."""
+    import tiktoken
+
+    text, cps = _probe_text()
+    pairs = [bytes([a, lead]) for a in b"a!" for lead in range(0xC2, 0xF5)]
+    ranks = {x: i for i, x in enumerate([*(bytes([i]) for i in range(256)), *pairs])}  # a piece shows as a pair across its characters
+    ids = np.array(tiktoken.Encoding("probe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary(text))
+    starts = np.zeros(len(text.encode()) + 1, bool)
+    starts[np.concatenate([[0], np.cumsum(np.where(ids < 256, 1, 2))])] = True
+    first = (np.frombuffer(text.encode(), np.uint8) & 0xC0) != 0x80
+    return _classes(cps, starts[:-1][first])
+
+
+@lru_cache(maxsize=2)
+def json_classes(path: str) -> bytes:
+    """The same of the tokenizers library and the file's pre-tokenizer."""
+    from tokenizers import Tokenizer
+
+    split = Tokenizer.from_file(path).pre_tokenizer
+    text, cps = _probe_text()
+    breaks = np.zeros(len(text) + 1, bool)
+    for a in range(0, len(text), 50_000):  # whole groups of five characters
+        breaks[[a + x[1][0] for x in split.pre_tokenize_str(text[a : a + 50_000])]] = True
+    return _classes(cps, breaks[:-1])
+
+
+def class_table(classes: bytes | None) -> np.ndarray:
+    return codepoint_symbols() if classes is None else np.frombuffer(zlib.decompress(classes), np.uint8)
+
+
 @lru_cache(maxsize=1)
 def _byte_symbols() -> bytes:
     table = codepoint_symbols()[:256].copy()
@@ -98,7 +151,7 @@ def _codepoints_at(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.where(a < 0xE0, two, np.where(a < 0xF0, three, four)) % 0x110000
 
 
-def characters(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+def characters(data: bytes, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
     """Symbol and first byte of each character, and where they start (None: everywhere)."""
     raw = np.frombuffer(data, np.uint8)
     symbol = np.frombuffer(bytearray(data.translate(_byte_symbols())), np.uint8)
@@ -107,7 +160,7 @@ def characters(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
     at = np.flatnonzero(symbol != INSIDE)
     symbol = symbol[at]
     longer = np.flatnonzero(symbol == LEAD)
-    symbol[longer] = codepoint_symbols()[_codepoints_at(raw, at[longer])]
+    symbol[longer] = table[_codepoints_at(raw, at[longer])]
     return symbol, raw[at], at
 
 
@@ -132,10 +185,10 @@ def changes(symbol: np.ndarray, marked: np.ndarray) -> np.ndarray:
     return np.flatnonzero(keep)
 
 
-def token_starts(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+def token_starts(data: bytes, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Byte offsets where tokens start, and which of these are of separators. The texts stand between separators."""
     scan, starts = _boundary_automaton()
-    symbol, first, at = characters(data)
+    symbol, first, at = characters(data, table)
     space = symbol == S_INNER
     solid = ~space & (symbol != S_END)
     last = np.flatnonzero(space[:-1] & solid[1:])
@@ -305,7 +358,7 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 class PieceEncoder:
-    """Ids of byte pieces, by cached pair merging. ``last_byte_ids``: first ids of bytes that end a piece, where they differ.
+    """Ids of byte pieces, by cached pair merging.
 
     Pieces of at most 15 bytes are found by two words that hold their bytes and
     length, in an open-addressed table; longer ones in a dict.
@@ -313,8 +366,8 @@ class PieceEncoder:
 
     MASKS = np.array([(1 << (8 * i)) - 1 for i in range(8)] + [(1 << 64) - 1] * 9, np.uint64)
 
-    def __init__(self, pairs: PairTable, byte_ids: np.ndarray, last_byte_ids: np.ndarray | None = None):
-        self.pairs, self.byte_ids, self.last_byte_ids = pairs, byte_ids, last_byte_ids
+    def __init__(self, pairs: PairTable, byte_ids: np.ndarray):
+        self.pairs, self.byte_ids = pairs, byte_ids
         self._clear()
 
     def _clear(self) -> None:
@@ -327,8 +380,6 @@ class PieceEncoder:
 
     def _add(self, raw: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> None:
         ids = self.byte_ids.take(raw.take(ragged(starts, lens)))
-        if self.last_byte_ids is not None:
-            ids[np.cumsum(lens) - 1] = self.last_byte_ids.take(raw.take(starts + lens - 1))
         if (lens > LONG_PIECE).any():
             cut = np.split(ids, np.cumsum(lens)[:-1])
             short = np.flatnonzero(lens <= LONG_PIECE)
@@ -342,6 +393,10 @@ class PieceEncoder:
             ids, lens = np.concatenate(merged), np.array([len(x) for x in merged], np.int64)
         else:
             ids, lens = self.pairs.merge(ids, lens)
+        self._keep(ids, lens)
+
+    def _keep(self, ids: np.ndarray, lens: np.ndarray) -> None:
+        """The ids of new pieces, one after the other."""
         first, n = int(self.offsets[self.known]), len(ids)
         while first + n > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
@@ -436,6 +491,21 @@ class PieceEncoder:
         return self.flat.take(ragged(self.offsets.take(numbers), counts))
 
 
+class LibraryPieces(PieceEncoder):
+    """Ids of byte pieces by the model of the tokenizers library, each different piece once."""
+
+    def __init__(self, model):
+        self.model = model
+        self.shown = "".join(byte_characters())
+        self._clear()
+
+    def _add(self, raw: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> None:
+        text = raw[ragged(starts, lens)].tobytes().decode("latin-1").translate(dict(enumerate(self.shown)))
+        ends = np.cumsum(lens).tolist()
+        found = [[t.id for t in self.model.tokenize(text[a:b])] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        self._keep(np.array([i for x in found for i in x], np.int32), np.array([len(x) for x in found], np.int64))
+
+
 def gathered(texts: list[bytes], size: int = BLOCK_BYTES) -> Iterator[list[tuple[int, bytes]]]:
     """Groups of (number of the text, part of it) of about a block together; texts of more than two blocks come in parts."""
     group: list[tuple[int, bytes]] = []
@@ -451,14 +521,25 @@ def gathered(texts: list[bytes], size: int = BLOCK_BYTES) -> Iterator[list[tuple
         yield group
 
 
+def split_specials(text: bytes, specials) -> list[bytes]:
+    """The text between special strings and the strings themselves, in turn."""
+    parts, at = [], 0
+    while True:
+        found = min(((i, -len(s), s) for s in specials if (i := text.find(s, at)) >= 0), default=None)
+        if found is None:
+            return [*parts, text[at:]]
+        parts += [text[at : found[0]], found[2]]
+        at = found[0] - found[1]
+
+
 class ByteLevelBPE:
     """Encodes lists of texts into ids, and decodes ids."""
 
-    def __init__(self, tokens: list[bytes], encoder: PieceEncoder, specials: dict[bytes, int] | None = None):
-        self.tokens, self.encoder, self.specials = tokens, encoder, specials or {}
+    def __init__(self, tokens: list[bytes], encoder: PieceEncoder, specials: dict[bytes, int] | None = None, classes: bytes | None = None):
+        self.tokens, self.encoder, self.specials, self.classes = tokens, encoder, specials or {}, class_table(classes)
 
     @classmethod
-    def from_ranks(cls, path: str) -> ByteLevelBPE:
+    def from_ranks(cls, path: str, classes: bytes | None = None) -> ByteLevelBPE:
         """A rank file: two tokens merge if their bytes together are a token, lowest rank first."""
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
@@ -471,13 +552,14 @@ class ByteLevelBPE:
                 if a is not None and b is not None:
                     left.append(a), right.append(b), rank.append(r)
         byte_ids = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
-        return cls(tokens, PieceEncoder(PairTable(left, right, rank, rank, len(tokens)), byte_ids))
+        return cls(tokens, PieceEncoder(PairTable(left, right, rank, rank, len(tokens)), byte_ids), classes=classes)
 
     @classmethod
-    def from_json(cls, path: str) -> ByteLevelBPE:
-        """A JSON file with vocabulary, ordered merges and added tokens."""
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+    def from_json(cls, path: str, classes: bytes | None = None) -> ByteLevelBPE:
+        """A file of the tokenizers library, whose model encodes the pieces."""
+        from tokenizers import Tokenizer
+
+        spec = read_json(path)
         vocab, shown = spec["model"]["vocab"], byte_characters()
         specials = {t["content"].encode(): t["id"] for t in spec["added_tokens"]}
         back = {c: i for i, c in enumerate(shown)}
@@ -486,20 +568,7 @@ class ByteLevelBPE:
             tokens[i] = bytes(back[c] for c in word) if all(c in back for c in word) else word.encode()
         for word, i in specials.items():
             tokens[i] = word
-        suffix = spec["model"].get("end_of_word_suffix") or ""
-        byte_ids = np.array([vocab[c] for c in shown], np.int32)
-        last = np.array([vocab[c + suffix] for c in shown], np.int32) if suffix else None
-        return cls(tokens, PieceEncoder(merge_table(spec["model"], len(tokens)), byte_ids, last), specials)
-
-    def split_specials(self, text: bytes) -> list[bytes]:
-        """The text between special strings and the strings themselves, in turn."""
-        parts, at = [], 0
-        while True:
-            found = min(((i, -len(s), s) for s in self.specials if (i := text.find(s, at)) >= 0), default=None)
-            if found is None:
-                return [*parts, text[at:]]
-            parts += [text[at : found[0]], found[2]]
-            at = found[0] - found[1]
+        return cls(tokens, LibraryPieces(Tokenizer.from_file(path).model), specials, classes)
 
     def encode(self, texts: list[bytes | None]) -> Iterator[np.ndarray]:
         """Ids of each text (UTF-8), in order."""
@@ -508,7 +577,7 @@ class ByteLevelBPE:
         for k, text in enumerate(texts):
             text = text or b""
             if any(s in text for s in self.specials):
-                for j, part in enumerate(self.split_specials(text)):
+                for j, part in enumerate(split_specials(text, self.specials)):
                     parts.append(b"" if j % 2 else part)
                     owners.append((k, self.specials[part] if j % 2 else -1))
             else:
@@ -530,7 +599,7 @@ class ByteLevelBPE:
         data = b"\xff".join(parts)
         if not data:
             return [np.zeros(0, np.int32) for _ in parts]
-        starts, closing = token_starts(data)
+        starts, closing = token_starts(data, self.classes)
         lens = np.diff(np.append(starts, len(data)))
         words = ~closing
         numbers = self.encoder.number(data, starts[words], lens[words])
@@ -548,13 +617,9 @@ def _joined(parts: list[np.ndarray]) -> np.ndarray:
     return parts[0] if len(parts) == 1 else np.concatenate([np.zeros(0, np.int32), *parts])
 
 
-def merge_table(model: dict, n_ids: int) -> PairTable:
-    """Of a JSON file's model: merges in order of rank. The suffix of word ends stands once, at the right."""
-    vocab = model["vocab"]
-    prefix = len(model.get("continuing_subword_prefix") or "")
-    pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-    merged = [vocab[a + b[prefix:]] for a, b in pairs]
-    return PairTable([vocab[a] for a, _ in pairs], [vocab[b] for _, b in pairs], range(len(pairs)), merged, n_ids)
+def read_json(path: str) -> dict:
+    with open(path, encoding="utf-8") as f:
+        return json.load(f)
 
 
 @lru_cache(maxsize=1)
@@ -569,22 +634,23 @@ def byte_characters() -> list[str]:
 
 
 @lru_cache(maxsize=2)
-def ranks_codec(path: str) -> ByteLevelBPE:
-    return ByteLevelBPE.from_ranks(path)
+def ranks_codec(path: str, classes: bytes | None = None) -> ByteLevelBPE:
+    return ByteLevelBPE.from_ranks(path, classes)
 
 
 @lru_cache(maxsize=2)
-def json_codec(path: str) -> ByteLevelBPE:
-    return ByteLevelBPE.from_json(path)
+def json_codec(path: str, classes: bytes | None = None) -> ByteLevelBPE:
+    return ByteLevelBPE.from_json(path, classes)
 
 
 def encode_column(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids array<int>) of every whole text."""
+    classes = ranks_classes()
 
     def run(codec: ByteLevelBPE, texts: list) -> list:
         return [[ids.tolist() for ids in codec.encode(texts)]]
 
-    return map_texts(df, id_col, text_col, run, "ids array<int>", worker=lambda: ranks_codec(vocabulary))
+    return map_texts(df, id_col, text_col, run, "ids array<int>", worker=lambda: ranks_codec(vocabulary, classes))
 
 
 def decode_column(df: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -602,6 +668,7 @@ def decode_column(df: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_co
 
 def round_trip(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes and decodes every whole text; returns (id, n_tokens, ids_sha256, decoded_sha256)."""
+    classes = ranks_classes()
 
     def run(codec: ByteLevelBPE, texts: list) -> list:
         n, ids_sha, decoded_sha = [], [], []
@@ -611,4 +678,4 @@ def round_trip(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col:
             decoded_sha.append(hashlib.sha256(codec.decode(ids)).hexdigest())
         return [n, ids_sha, decoded_sha]
 
-    return map_texts(df, id_col, text_col, run, "n_tokens long, ids_sha256 string, decoded_sha256 string", worker=lambda: ranks_codec(vocabulary))
+    return map_texts(df, id_col, text_col, run, "n_tokens long, ids_sha256 string, decoded_sha256 string", worker=lambda: ranks_codec(vocabulary, classes))

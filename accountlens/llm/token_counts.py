@@ -3,11 +3,10 @@
 The tokenizer is compiled into a cascade of two deterministic transducers. The
 first reads characters; its transitions are annotated with what they emit: the
 start of a word, or nothing. It runs in chunks side by side, whose state maps
-compose through a parallel prefix scan (:mod:`.scan`). The second reads words and
-emits the number of their tokens; it is determinised as far as words occur: a word
-that comes up for the first time is merged once, with all new ones of its block,
-and is a transition with a count from then on. Counts add up per document; no ids
-are kept.
+compose through a parallel prefix scan (:mod:`.scan`). The second reads the bytes
+of words and emits numbers of tokens (:mod:`.transducer`); as it is at its start
+after every word, the map of a chunk that begins with a word is constant, and chunks
+run side by side without one. Counts add up per document; no ids are kept.
 
 Defined cases: null and empty texts have 0 tokens; special strings inside a text
 count as one token each, as the library takes them by default; texts of any length
@@ -26,9 +25,10 @@ from pyspark.sql import functions as F
 from . import bpe
 from .batches import map_texts
 from .scan import TransitionScan
+from .transducer import compiled
 
-# Letters that str.lower takes by their place in a word, or does not know yet.
-LOWER = [("\u03a3", "\u03c3"), ("\ua7cb", "\u0264"), ("\ua7dc", "\u019b")]
+# A letter that str.lower takes by its place in a word.
+SIGMA = ("\u03a3", "\u03c3")
 
 FRESH, IN_LETTERS, IN_OTHERS, ONE_LEFT, TWO_LEFT = range(5)
 
@@ -50,10 +50,10 @@ def _word_transducer() -> tuple[TransitionScan, np.ndarray]:
     return TransitionScan(delta), emits.ravel()
 
 
-def words(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(data: bytes, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and lengths of the words of normalised texts that stand between separators; the text of each word."""
     scan, emits = _word_transducer()
-    symbol, first, at = bpe.characters(data)
+    symbol, first, at = bpe.characters(data, table)
     marked = bpe.mark_contractions(symbol, first)
     keep = np.ones(len(symbol), bool)
     np.not_equal(symbol[1:], symbol[:-1], out=keep[1:])
@@ -71,21 +71,32 @@ def words(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return begin[word], lens[word], np.cumsum(read[edge] == bpe.S_END)[word]
 
 
-def normalise(text: bytes) -> bytes:
-    """NFC, then lower case letter by letter. White space is left: it ends words, one or many."""
-    if text.isascii():
-        return text.lower()
-    s = text.decode("utf-8", "replace")
-    if not unicodedata.is_normalized("NFC", s):
-        s = unicodedata.normalize("NFC", s)
-    for upper, lower in LOWER:
-        s = s.replace(upper, lower)
-    return s.lower().encode()
+@lru_cache(maxsize=1)
+def _unassigned() -> np.ndarray:
+    """Code points that Python does not know yet."""
+    return np.array([unicodedata.category(chr(i)) == "Cn" for i in range(0x110000)])
 
 
 class TokenCounter:
-    def __init__(self, codec: bpe.ByteLevelBPE):
-        self.codec = codec
+    def __init__(self, vocabulary: str, classes: bytes | None = None):
+        from tokenizers import Tokenizer
+
+        spec = bpe.read_json(vocabulary)
+        self.specials = [t["content"].encode() for t in spec["added_tokens"]]
+        self.machine = compiled(spec["model"], bpe.byte_characters())
+        self.table = bpe.class_table(classes)
+        self.normalizer = Tokenizer.from_file(vocabulary).normalizer
+
+    def normalise(self, text: bytes) -> bytes:
+        """NFC, then lower case letter by letter. White space is left: it ends words, one or many. What Python does not know goes to the library."""
+        if text.isascii():
+            return text.lower()
+        s = text.decode("utf-8", "replace")
+        if _unassigned().take(np.frombuffer(s.encode("utf-32-le"), np.uint32)).any():
+            return self.normalizer.normalize_str(s).encode()
+        if not unicodedata.is_normalized("NFC", s):
+            s = unicodedata.normalize("NFC", s)
+        return s.replace(*SIGMA).lower().encode()
 
     def count(self, texts: list[bytes | None]) -> np.ndarray:
         """Tokens of each text."""
@@ -94,30 +105,36 @@ class TokenCounter:
         owners: list[int] = []
         for k, text in enumerate(texts):
             text = text or b""
-            if any(s in text for s in self.codec.specials):
-                split = self.codec.split_specials(text)
+            if any(s in text for s in self.specials):
+                split = bpe.split_specials(text, self.specials)
                 out[k] += len(split) // 2
                 parts += split[::2]
                 owners += [k] * len(split[::2])
             else:
                 parts.append(text)
                 owners.append(k)
-        encoder = self.codec.encoder
         for group in bpe.gathered(parts):
-            data = b"\xff".join(normalise(x) for _, x in group)
+            data = b"\xff".join(self.normalise(x) for _, x in group)
             if data:
-                starts, lens, of = words(data)
-                counts = encoder.counts(encoder.number(data, starts, lens))
+                starts, lens, of = words(data, self.table)
+                counts = self.machine.counts(data, starts, lens)
                 per = np.bincount(of, counts, minlength=len(group)).astype(np.int64)
                 np.add.at(out, np.array([owners[j] for j, _ in group]), per)
         return out
 
 
+@lru_cache(maxsize=1)
+def counter_of(vocabulary: str, classes: bytes | None = None) -> TokenCounter:
+    return TokenCounter(vocabulary, classes)
+
+
 def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, n_tokens, over_limit) of every whole text."""
 
+    classes = bpe.json_classes(vocabulary)
+
     def run(counter: TokenCounter, texts: list) -> list:
         return [[len(t or b"") for t in texts], counter.count(texts)]
 
-    out = map_texts(docs, id_col, text_col, run, "n_bytes long, n_tokens long", worker=lambda: TokenCounter(bpe.json_codec(vocabulary)))
+    out = map_texts(docs, id_col, text_col, run, "n_bytes long, n_tokens long", worker=lambda: counter_of(vocabulary, classes))
     return out.withColumn("over_limit", F.col("n_tokens") > limit)

@@ -8,7 +8,7 @@ without decoding the rest. Spark's writer commits the files, so the dataset lies
 in any store that Spark writes, and lost tasks are repeated.
 
 Defined cases: null and empty texts hold only the end id; documents follow each
-other by ascending id, null ids first, ties by text; a text of any length stays
+other by ascending id, null ids first, ties by the hash of the text; a text of any length stays
 in one shard; an empty table gives an empty dataset; other columns do not matter.
 """
 
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .batches import parts
-from .bpe import json_codec
+from .bpe import json_classes, json_codec
 
 #: A shard is closed when it holds so many ids or documents.
 SHARD_IDS, SHARD_DOCS = 1 << 20, 1 << 14
@@ -106,9 +106,10 @@ def _shard(part: int, seq: int, doc_ids: list, ids: list[np.ndarray], width: int
 def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encodes every whole text, appends the end id, and writes the shards in ascending order of the documents' ids."""
     arrow = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("width", pa.int32()), ("n_null", pa.int64()), ("doc_ids", pa.binary()), ("ends", pa.binary()), ("ids", pa.binary())])
+    classes = json_classes(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, part, seq = json_codec(vocabulary), TaskContext.get().partitionId(), 0
+        codec, part, seq = json_codec(vocabulary, classes), TaskContext.get().partitionId(), 0
         width = 2 if len(codec.tokens) <= 1 << 16 else 4
         end = np.array([end_id], np.int32)
         doc_ids, held, size = [], [], 0
@@ -124,8 +125,9 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, i
         if held:
             yield pa.RecordBatch.from_pylist([_shard(part, seq, doc_ids, held, width)], arrow)
 
-    kept = docs.select(F.col(f"`{id_col}`").cast("long").alias("_key"), F.col(f"`{text_col}`").cast("string").alias("_text"))
-    kept.repartitionByRange("_key").sortWithinPartitions("_key", "_text").mapInArrow(run, SCHEMA).write.parquet(path)
+    kept = docs.select(F.col(f"`{id_col}`").cast("long").alias("_key"), F.col(f"`{text_col}`").cast("string").alias("_text")).withColumn("_hash", F.xxhash64("_text"))
+    # By id and hash, so that rows without an id, or of one, spread over tasks too.
+    kept.repartitionByRange("_key", "_hash").sortWithinPartitions("_key", "_hash", "_text").select("_key", "_text").mapInArrow(run, SCHEMA).write.parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:

@@ -16,7 +16,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from accountlens.llm import bpe, queries, token_counts, token_store
+from accountlens.llm import bpe, queries, token_counts, token_store, transducer
 from accountlens.llm.scan import TransitionScan
 
 PARTS = ["'s", "'t", "'re", "'ve", "'ll", "'d", "'m", "'", " ", "  ", "\n", "\t", "\r\n", " ", "　", "a", "É", "ß", "the", "1", "²", "½", "٣", "!", "==", "日本", "👍🏽", "é", "\x1c", "\x85", "<|endoftext|>", "<|startoftext|>", "S", "'S", "Σ", "0" * 40, "a" * 300]
@@ -73,7 +73,7 @@ def test_counts_are_the_librarys():
     t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
     some = texts(800)
     want = [len(e.ids) for e in t.encode_batch(some, add_special_tokens=False)]
-    got = token_counts.TokenCounter(bpe.json_codec(P.path("word_bpe_49k.json"))).count([x.encode() for x in some])
+    got = token_counts.TokenCounter(P.path("word_bpe_49k.json")).count([x.encode() for x in some])
     assert got.tolist() == want
 
 
@@ -114,7 +114,7 @@ def test_store_of_odd_rows(spark, tmp_path, monkeypatch):
     path = f"file://{tmp_path}/store"
     token_store.write_tokens(table(spark), path, P.path("byte_bpe_50k.json"))
     t, start, want = Tokenizer.from_file(P.path("byte_bpe_50k.json")), 0, []
-    for r in sorted(table(spark).collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.text or "")):
+    for r in sorted(table(spark).collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0)):
         ids = [*t.encode(r.text or "", add_special_tokens=False).ids, 0]
         want.append((r.doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
@@ -151,3 +151,33 @@ def test_queries_over_the_whole_table(spark, sf_dir, library):
 def test_schema_of_keys_is_kept(spark):
     df = spark.range(3).select(F.col("id").cast("string").alias("doc_id"), F.lit("t").alias("text"))
     assert dict(bpe.round_trip(df, P.path("byte_bpe_50k.tiktoken")).dtypes)["doc_id"] == "string"
+
+
+def every_kind(n: int) -> list[str]:
+    """Random strings over all assigned planes, with what patterns treat apart."""
+    rng = random.Random(8)
+    points = [c for c in range(0x20, 0x34000) if not 0xD800 <= c < 0xE000]
+    mixed = ["".join(rng.choice(PARTS) if rng.random() < 0.5 else chr(rng.choice(points)) for _ in range(rng.randint(1, 25))) for _ in range(n)]
+    return mixed + ["".join(rng.choice("abcdeabnt ") for _ in range(rng.randint(1, 40))) for _ in range(n)] + ["a" * k for k in range(1, 130)]
+
+
+def test_all_three_follow_the_libraries_over_all_code_points(library):
+    some = every_kind(3000)
+    data = [x.encode() for x in some]
+    codec = bpe.ranks_codec(P.path("byte_bpe_50k.tiktoken"), bpe.ranks_classes())
+    assert [x.tolist() for x in codec.encode(data)] == [library.encode_ordinary(t) for t in some]
+    path = P.path("byte_bpe_50k.json")
+    want = Tokenizer.from_file(path).encode_batch(some, add_special_tokens=False)
+    assert [x.tolist() for x in bpe.json_codec(path, bpe.json_classes(path)).encode(data)] == [e.ids for e in want]
+    path = P.path("word_bpe_49k.json")
+    want = Tokenizer.from_file(path).encode_batch(some, add_special_tokens=False)
+    assert token_counts.TokenCounter(path, bpe.json_classes(path)).count(data).tolist() == [len(e.ids) for e in want]
+
+
+def test_counts_when_the_machine_starts_anew(monkeypatch):
+    monkeypatch.setattr(transducer, "STATES", 40)
+    path = P.path("word_bpe_49k.json")
+    some = ["".join(random.Random(i).choice("abcdefgh1 ") for _ in range(400)) for i in range(30)] + ["q" * 500 + "antidis" * 90]
+    want = Tokenizer.from_file(path).encode_batch(some, add_special_tokens=False)
+    counter = token_counts.TokenCounter(path)
+    assert [int(counter.count([t.encode()])[0]) for t in some] == [len(e.ids) for e in want]
