@@ -2,8 +2,9 @@
 
 A conversation is a transcript of lines. A line shows a speaker marker (the row's
 role on its first line, or a prefix such as "User:") or none, and features (length,
-question, first of its row). Hidden states are the roles; emissions and transitions
-are counted over all rows whose role is known. Viterbi finds the likeliest roles,
+question, first of its row). Hidden states are the roles; starts, transitions and
+the emissions of markers and features are counted over all rows whose role is
+known, markers on top of ``PRIOR``. Viterbi finds the likeliest roles,
 and each stretch of one role within a row is rendered as a turn.
 
 Conversations are cut into blocks of ``BLOCK`` turn numbers, so that one of any
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .storage import checkpointed
@@ -44,15 +45,17 @@ _ROLE_OF = {w: ROLES.index(role) for role, words in SPEAKERS.items() for w in wo
 _PREFIX = re.compile(r"^\s*(?:\*\*|\[|<\|?|#+\s*)?(" + "|".join(sorted(_ROLE_OF, key=len, reverse=True)) + r")(?:\*\*|\]|\|?>)?\s*[:>]\s*", re.IGNORECASE)
 NONE = -1
 SHAPES = 8
-MARKED, UNMARKED = np.log(1 - 2e-7), np.log(1e-7)
+#: What a marker counts before any is seen: that it names its role, or another.
+PRIOR = 5.0, 0.01
 LEAST = 1e-3
+_BLANK = " \t\n\x0b\f\r"
 KEYS = ["_conv", "_alone", "_block"]
 
 
 def shape(line: str) -> int:
     """Length in four steps, and whether it asks."""
     n = len(line)
-    return 2 * ((n >= 40) + (n >= 160) + (n >= 480)) + line.rstrip().endswith("?")
+    return 2 * ((n >= 40) + (n >= 160) + (n >= 480)) + line.rstrip(_BLANK).endswith("?")
 
 
 def observe(role: str | None, text: str | None) -> list[tuple[int, int, int, str]]:
@@ -67,9 +70,9 @@ def observe(role: str | None, text: str | None) -> list[tuple[int, int, int, str
 
 
 class RoleModel:
-    """Log probabilities: start (K), between rows (K x K), within a row (K x K), shapes (K x SHAPES)."""
+    """Log probabilities: start (K), between rows (K x K), within a row (K x K), shapes (K x SHAPES), a row's and a line's marker (K x K)."""
 
-    def __init__(self, starts: dict, moves: dict, shapes: dict):
+    def __init__(self, starts: dict, moves: dict, shapes: dict, own: dict | None = None, marks: dict | None = None):
         k = len(ROLES)
 
         def logs(counts: np.ndarray) -> np.ndarray:
@@ -84,13 +87,21 @@ class RoleModel:
             seen[a, s] = n
         self.start = logs(np.array([starts.get(a, 0) for a in range(k)], float))
         self.between, self.shapes = logs(grid), logs(seen)
+        self.own, self.marks = (np.log(m / m.sum(axis=1, keepdims=True)) for m in (self._markers(own, k), self._markers(marks, k)))
         self.within = np.log(np.where(np.eye(k, dtype=bool), 1 - (k - 1) * LEAST, LEAST))
 
+    @staticmethod
+    def _markers(seen: dict | None, k: int) -> np.ndarray:
+        out = np.where(np.eye(k, dtype=bool), *PRIOR)
+        for (role, marker), n in (seen or {}).items():
+            out[role, marker] += n
+        return out
+
     def emission(self, own: int, mark: int, form: int) -> np.ndarray:
         out = self.shapes[:, form].copy()
-        for m in (own, mark):
+        for m, seen in ((own, self.own), (mark, self.marks)):
             if m != NONE:
-                out += np.where(np.arange(len(ROLES)) == m, MARKED, UNMARKED)
+                out += seen[:, m]
         return out
 
     def steps(self, rows: list[list[tuple]], first: bool) -> list[np.ndarray]:
@@ -162,19 +173,29 @@ def _known(role: Column) -> Column:
 
 
 def learn(rows: DataFrame) -> RoleModel:
-    """Counts over all rows with a known role: moves from row to row inside blocks, shapes of lines, roles that start."""
+    """Counts over all rows with a known role: roles that start a conversation, moves from row to row, shapes and markers of lines."""
     known = rows.withColumn("_k", _known(F.col("_role")))
     n = F.length("_line")
-    form = 2 * (F.when(n >= 40, 1).otherwise(0) + F.when(n >= 160, 1).otherwise(0) + F.when(n >= 480, 1).otherwise(0)) + F.rtrim("_line").endswith("?").cast("int")
+    form = 2 * (F.when(n >= 40, 1).otherwise(0) + F.when(n >= 160, 1).otherwise(0) + F.when(n >= 480, 1).otherwise(0)) + F.col("_line").rlike(r"\?[ \t\n\x0b\f\r]*$").cast("int")
     lines = known.where("_k is not null").select("_k", F.explode(F.split(F.coalesce("_text", F.lit("")), "\n")).alias("_line"))
-    shapes = {(r[0], r[1]): r[2] for r in lines.groupBy("_k", form.alias("_form")).count().collect()}  # roles x SHAPES rows
+    mark = _known(F.regexp_extract("_line", "(?i)" + _PREFIX.pattern, 1))
+    shapes, marks = {}, {}
+    for k, shape_of, marked, count in lines.groupBy("_k", form.alias("_form"), mark.alias("_mark")).count().collect():  # roles x SHAPES x markers rows at most
+        shapes[k, shape_of] = shapes.get((k, shape_of), 0) + count
+        if marked is not None:
+            marks[k, marked] = marks.get((k, marked), 0) + count
     ordered = F.array_sort(F.collect_list(F.struct("_turn", "_k")))
     once = known.select(*KEYS, "_turn", "_k", "_hash").distinct()
-    blocks = once.groupBy(*KEYS).agg(ordered.alias("t"))  # at most BLOCK turn numbers
-    pairs = blocks.where("size(t) > 1").select(F.explode(F.expr("transform(sequence(1, size(t) - 1), i -> struct(t[i - 1]._k as a, t[i]._k as b))")).alias("p"))
-    moves = {(r[0], r[1]): r[2] for r in pairs.where("p.a is not null and p.b is not null").groupBy("p.a", "p.b").count().collect()}
-    starts = {r[0]: r[1] for r in known.where("_turn = 0 and _k is not null").groupBy("_k").count().collect()}
-    return RoleModel(starts, moves, shapes)
+    blocks = checkpointed(once.groupBy(*KEYS).agg(ordered.alias("t")))  # at most BLOCK turn numbers
+    inside = blocks.where("size(t) > 1").select(F.explode(F.expr("transform(sequence(1, size(t) - 1), i -> struct(t[i - 1]._k as a, t[i]._k as b))")).alias("p")).select("p.a", "p.b")
+    ends = blocks.select(*KEYS, F.col("t")[0]["_k"].alias("b"), F.element_at("t", -1)["_k"].alias("_last"))
+    order = Window.partitionBy(*KEYS[:2]).orderBy("_block")
+    across = ends.select(F.lag("_last").over(order).alias("a"), "b", (F.row_number().over(order) == 1).alias("_opens"))
+    pairs = inside.unionByName(across.where("not _opens").select("a", "b"))
+    moves = {(r[0], r[1]): r[2] for r in pairs.where("a is not null and b is not null").groupBy("a", "b").count().collect()}
+    starts = {r[0]: r[1] for r in across.where("_opens and b is not null").groupBy("b").count().collect()}
+    own = {(r[0], r[0]): r[1] for r in known.where("_k is not null").groupBy("_k").count().collect()}
+    return RoleModel(starts, moves, shapes, own, marks)
 
 
 def format_chats(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:

@@ -196,10 +196,24 @@ def test_hidden_roles_are_recovered(spark):
     assert np.mean([r.found == r.role for r in got]) > 0.9
 
 
-def test_chat_query_keeps_given_roles(spark, sf_dir):
-    c = {(r.conv_id, r.turn): r for r in spark.read.parquet(f"{sf_dir}/conversations.parquet").collect()}
-    got = queries.op10_chat_hmm(spark, sf_dir).collect()
+def test_chat_query_recovers_hidden_speakers(spark):
+    d = "/root/testdata/sf0.01"
+    c = {(r.conv_id, r.turn): r for r in spark.read.parquet(f"{d}/conversations.parquet").collect()}
+    got = queries.op10_chat_hmm(spark, d).collect()
     assert {(r.conv_id, r.turn) for r in got} == set(c)
-    for r in got:
-        t = c[r.conv_id, r.turn]
-        assert r.role == t.role and r.rendered_sha256 == hashlib.sha256(chat.turn_text(t.role, t.text.split("\n")).encode()).hexdigest()
+    kept = [r for r in got if not r.held_out]
+    assert all(r.role == c[r.conv_id, r.turn].role for r in kept)
+    assert all(r.rendered_sha256 == hashlib.sha256(chat.turn_text(r.role, c[r.conv_id, r.turn].text.split("\n")).encode()).hexdigest() for r in kept)
+    hidden = [r for r in got if r.held_out and r.part == 0]
+    right = np.mean([r.role == c[r.conv_id, r.turn].role for r in hidden])
+    majority = np.mean([c[r.conv_id, r.turn].role == "user" for r in hidden])
+    in_turn = np.mean([c[r.conv_id, r.turn].role == ("assistant" if r.turn % 2 else "user") for r in hidden])
+    print(f"hidden {len(hidden)}: found {right:.3f}, majority {majority:.3f}, in turn {in_turn:.3f}")
+    assert len(hidden) > 50 and right > 0.93 and right > in_turn > majority - 0.1
+
+
+def test_markers_are_learned(spark):
+    rows = [(i, t, "user" if t % 2 else "assistant", f"{'Bot' if t % 2 else 'User'}: word {t}") for i in range(60) for t in range(4)]  # whose prefixes name the other side
+    rows += [(99, 0, "assistant", "User: word 0"), (99, 1, None, "Bot: word")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    assert chat.format_chats(df).where("conv_id = 99 and turn = 1").first().role == "user"
