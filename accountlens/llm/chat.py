@@ -46,7 +46,7 @@ _PREFIX = re.compile(r"^\s*(?:\*\*|\[|<\|?|#+\s*)?(" + "|".join(sorted(_ROLE_OF,
 NONE = -1
 SHAPES = 8
 #: What a marker counts before any is seen: that it names its role, or another.
-PRIOR = 5.0, 0.01
+PRIOR = 20.0, 0.001
 LEAST = 1e-3
 _BLANK = " \t\n\x0b\f\r"
 KEYS = ["_conv", "_alone", "_block"]

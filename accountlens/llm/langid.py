@@ -6,7 +6,11 @@ phrase before ended; the number of phrases, normalised by log2 of the training
 length over the document's length, estimates the bits a letter costs in that
 language, and the language that needs fewest wins. All automata are one dense
 table: a step that leaves the automaton goes on from its root and counts a phrase,
-so a letter is one lookup, for many stretches of text side by side.
+so a letter is one lookup, for many stretches of text side by side. A stretch is
+read from the root first, and again from the state in which the one before it ends
+until both runs are in one state, so the phrases are those of the whole text. The
+``LETTERS`` most frequent letters are symbols of their own; any other letter, of
+whatever script, is spelled by ``DIGITS`` more after an escape, so none are mixed up.
 
 Learned on the driver from a sample of a fixed size: ``SAMPLE_SYMBOLS`` letters
 over all languages, from ``SAMPLE_ROWS`` rows a language, by the hash of the id,
@@ -14,8 +18,7 @@ texts of up to ``SAMPLE_BYTES`` bytes
 first (of longer ones at most 65,536 characters are sampled).
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; texts
-of any length are parsed whole, in stretches of ``STRETCH`` letters whose phrases
-add up; ties go to the language that comes first by name; with no labelled row
+of any length are parsed whole; ties go to the language that comes first by name; with no labelled row
 every text is ``und``; equal texts get equal results; an empty table gives no rows.
 """
 
@@ -32,11 +35,11 @@ from pyspark.sql import functions as F
 from .batches import filter_texts, map_texts
 
 SAMPLE_SYMBOLS, SAMPLE_ROWS, SAMPLE_BYTES = 120_000, 60, 8192
-LETTERS = 56
+LETTERS, DIGITS = 56, 3
 STRETCH = 512
 BLOCK = 1 << 20
 UNDETERMINED = "und"
-GAP, RARE = 0, 1
+GAP, ESCAPE = 0, 1
 
 
 def suffix_automaton(symbols: list[int], width: int) -> np.ndarray:
@@ -75,8 +78,9 @@ class CrossParser:
         self.languages = sorted(samples)
         seen = Counter(c for s in samples.values() for c in s.lower() if c.isalpha())
         self.alphabet = [c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:LETTERS]]
-        self.width = len(self.alphabet) + 2
-        self.symbols = self._symbols()
+        self.alphabet += [chr(i) for i in range(0xE000, 0xE000 + LETTERS - len(self.alphabet))]  # symbols that only spell
+        self.width = LETTERS + 2
+        self.symbols, self.spelling = _letters(tuple(self.alphabet))
         quota = SAMPLE_SYMBOLS // max(1, len(self.languages))
         tables, roots, self.log_size, base = [], [], [], 0
         for language in self.languages:
@@ -94,10 +98,6 @@ class CrossParser:
         self.roots = np.array(roots, np.intp)
         self.log_size = np.array(self.log_size)
 
-    def _symbols(self) -> np.ndarray:
-        """Symbol of each code point: the gap for all that is no letter, the same for both cases."""
-        return _letters(tuple(self.alphabet))
-
     def compact(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Symbols of all texts, runs of gaps as one and none at the start, and how many each text has."""
         cp = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -108,8 +108,14 @@ class CrossParser:
         starts = np.cumsum(lens) - lens
         before[starts[lens > 0]] = GAP
         keep = (symbol != GAP) | (before != GAP)
-        total = np.concatenate([[0], np.cumsum(keep)])
-        return symbol[keep], total[starts + lens] - total[starts]
+        rare = symbol == ESCAPE
+        total = np.concatenate([[0], np.cumsum(keep + rare * DIGITS)])
+        n = total[starts + lens] - total[starts]
+        out = symbol[keep]
+        if rare.any():
+            rare = np.flatnonzero(out == ESCAPE)
+            out = np.insert(out, np.repeat(rare + 1, DIGITS), self.spelling[np.searchsorted(self.spelling[:, 0], cp[keep][rare]), 1:].ravel())
+        return out, n
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(languages, texts) phrases, and symbols of each text."""
@@ -122,31 +128,57 @@ class CrossParser:
         order = np.argsort(-lens, kind="stable")
         starts, ordered = starts[order], lens[order]
         state = np.repeat(self.roots[:, None], len(order), axis=1)
-        breaks = np.zeros(state.shape, np.int32)
+        trace = np.zeros((len(self.languages), len(symbol)), np.int32)  # what each step gave
         active = np.searchsorted(-ordered, -np.arange(int(ordered.max(initial=0))), side="left")
         for j, a in enumerate(active.tolist()):
             step = self.table.take(state[:, :a] + symbol.take(starts[:a] + j))
-            breaks[:, :a] += step & 1
+            trace[:, starts[:a] + j] = step
             state[:, :a] = step >> 1
-        out = np.zeros((len(self.languages), len(texts)), np.int64)
-        for k in range(len(self.languages)):
-            out[k] = np.bincount(owner[order], breaks[k] + 1, minlength=len(texts))
-        return out, n
-
-    def predict(self, texts: list[bytes | None]) -> tuple[list[str], np.ndarray]:
-        """Language and score of each text: by how much of the second best language's bits the best needs fewer."""
-        languages, scores = [UNDETERMINED] * len(texts), np.zeros(len(texts))
+        self._join(trace, symbol, np.cumsum(n) - n, n)
+        total = np.concatenate([np.zeros((len(self.languages), 1), np.int64), np.cumsum(trace & 1, axis=1, dtype=np.int64)], axis=1)
+        ends = np.cumsum(n)
+        return np.where(n > 0, total[:, ends] - total[:, ends - n] + 1, 0), n
+
+    def _join(self, trace: np.ndarray, symbol: np.ndarray, first: np.ndarray, n: np.ndarray) -> None:
+        """Reads each stretch but a text's first again from the state before it, until it is in the state that it was in; as long as any end changes."""
+        pieces = np.maximum(-(-n // STRETCH) - 1, 0)
+        nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces) + 1
+        start = np.repeat(first, pieces) + nth * STRETCH
+        end = np.minimum(start + STRETCH, np.repeat(first + n, pieces))
+        language, which = (x.ravel() for x in np.meshgrid(np.arange(len(self.languages)), np.arange(len(start)), indexing="ij"))
+        todo = np.arange(len(which))
+        while len(todo):
+            changed = []
+            lang, at, stop = language[todo], start[which[todo]], end[which[todo]]
+            state = trace[lang, at - 1] >> 1
+            while len(todo):
+                step = self.table.take(state + symbol.take(at))
+                same = step >> 1 == trace[lang, at] >> 1
+                trace[lang, at] = step
+                state = step >> 1
+                at = at + 1
+                over = at == stop
+                changed.append(todo[~same & over])
+                go = ~same & ~over
+                todo, lang, at, stop, state = todo[go], lang[go], at[go], stop[go], state[go]
+            follow = np.concatenate(changed) + 1  # the stretch after it, if of the same text
+            follow = follow[follow < len(which)]
+            todo = np.sort(follow[nth[which[follow]] > 1])
+
+    def predict(self, texts: list[bytes | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Of each text the language, the score (by how much of the second best language's bits the best needs fewer) and the bits a letter of the best."""
+        languages, scores, costs = [UNDETERMINED] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
         group: list[int] = []
         held = 0
         for k, text in enumerate(texts):
             group.append(k)
             held += len(text or b"")
             if held >= BLOCK or k == len(texts) - 1:
-                self._predict(group, [(texts[i] or b"").decode("utf-8", "replace") for i in group], languages, scores)
+                self._predict(group, [(texts[i] or b"").decode("utf-8", "replace") for i in group], languages, scores, costs)
                 group, held = [], 0
-        return languages, scores
+        return languages, scores, costs
 
-    def _predict(self, group: list[int], texts: list[str], languages: list[str], scores: np.ndarray) -> None:
+    def _predict(self, group: list[int], texts: list[str], languages: list[str], scores: np.ndarray, costs: np.ndarray) -> None:
         if not self.languages:
             return
         counts, n = self.phrases(texts)
@@ -157,17 +189,33 @@ class CrossParser:
             if n[i]:
                 languages[k] = self.languages[best[i]]
                 scores[k] = 1.0 if len(bits) == 1 else 1 - order[0, i] / order[1, i]
+                costs[k] = (counts[best[i], i] - 1) * self.log_size[best[i]] / max(1, sum(map(str.isalpha, texts[i])))
+
+    def limits(self, others: dict[str, str]) -> dict[str, float]:
+        """Bits a letter beyond which a text is in no learned language: halfway from what other text of the language costs to a phrase a letter."""
+        out = {}
+        for k, language in enumerate(self.languages):
+            text = others.get(language, "")
+            counts, n = self.phrases([text])
+            own = counts[k, 0] * self.log_size[k] / max(1, sum(map(str.isalpha, text))) if n[0] else 0.0
+            out[language] = (own + self.log_size[k]) / 2
+        return out
 
 
 @lru_cache(maxsize=1)
-def _letters(alphabet: tuple[str, ...]) -> np.ndarray:
+def _letters(alphabet: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Symbol of each code point: the gap for all that is no letter, the same for both cases; and the other letters with their spelling."""
     known = {c: i + 2 for i, c in enumerate(alphabet)}
-    out = np.zeros(0x110000, np.uint8)
+    out, others = np.zeros(0x110000, np.uint8), {}
     for i in range(0x110000):
         c = chr(i)
         if c.isalpha():
-            out[i] = known.get(c.lower(), RARE)
-    return out
+            low = c.lower()
+            out[i] = known.get(low, ESCAPE)
+            if out[i] == ESCAPE:
+                others[i] = ord(low[0])
+    digits = {x: [2 + (k // LETTERS**d) % LETTERS for d in range(DIGITS)] for k, x in enumerate(sorted(set(others.values())))}  # fewer than LETTERS ** DIGITS
+    return out, np.array([[i, *digits[x]] for i, x in others.items()], np.int64)
 
 
 _PARSERS: dict[tuple, CrossParser] = {}
@@ -186,12 +234,12 @@ def held_out(id_col: str = "doc_id", parts: int = 3, part: int = 1) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % parts == part, F.lit(True))
 
 
-def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[tuple[str, str], ...]:
-    """(language, sample of its text): what the automata are built from."""
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", skip: int = 0) -> tuple[tuple[str, str], ...]:
+    """(language, sample of its text): what the automata are built from; with ``skip``, from the rows after so many."""
     known = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     first = known.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), (F.octet_length(text_col) > SAMPLE_BYTES).alias("_long"))
     order = Window.partitionBy("_lang").orderBy("_long", F.xxhash64("_id"), "_id")  # few rows a language leave each task
-    picked = first.withColumn("_nth", F.row_number().over(order)).where(F.col("_nth") <= SAMPLE_ROWS).select("_id", "_lang", "_nth").distinct()
+    picked = first.withColumn("_nth", F.row_number().over(order)).where((F.col("_nth") > skip) & (F.col("_nth") <= skip + SAMPLE_ROWS)).select("_id", "_lang", "_nth").distinct()
     text = F.substring(text_col, 1, 8 * SAMPLE_BYTES).alias("_text")
     rows = docs.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), text).join(F.broadcast(picked), ["_id", "_lang"]).select("_lang", "_nth", "_text").collect()
     parts: dict[str, list[str]] = {}
@@ -204,16 +252,16 @@ def identify(docs: DataFrame, samples: tuple[tuple[str, str], ...], id_col: str
     """(id, lang_pred, score) of every whole text."""
 
     def run(p: CrossParser, texts: list) -> list:
-        return list(p.predict(texts))
+        return list(p.predict(texts)[:2])
 
     return map_texts(docs, id_col, text_col, run, "lang_pred string, score double", worker=lambda: parser(samples))
 
 
-def keep(docs: DataFrame, samples: tuple[tuple[str, str], ...], least: float, text_col: str = "text") -> DataFrame:
-    """The rows whose whole text is in one of the learned languages: determined, with a score of at least ``least``."""
+def keep(docs: DataFrame, samples: tuple[tuple[str, str], ...], limits: dict[str, float], text_col: str = "text") -> DataFrame:
+    """The rows whose whole text is in one of the learned languages: determined, at no more bits a letter than the language's limit."""
 
     def run(p: CrossParser, texts: list) -> list:
-        languages, scores = p.predict(texts)
-        return [k != UNDETERMINED and s >= least for k, s in zip(languages, scores.tolist(), strict=True)]
+        languages, _, costs = p.predict(texts)
+        return [k != UNDETERMINED and c <= limits[k] for k, c in zip(languages, costs.tolist(), strict=True)]
 
     return filter_texts(docs, text_col, run, worker=lambda: parser(samples))

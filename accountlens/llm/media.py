@@ -1,8 +1,8 @@
 """Media columns: 8-bit WAV, short-time Fourier transforms, spectral-peak pairs.
 
 A payload becomes the samples of a mono WAV file, written and read back by the wave
-module. Frames of ``FRAME`` samples, every ``HOP``, are transformed at ``BINS``
-frequencies; in each band the strongest bin is a peak if it stands out, and peaks
+module. Frames of ``FRAME`` samples, every ``HOP``, are transformed at all their
+``BINS`` frequencies; in each band the strongest bin is a peak if it stands out, and peaks
 of a frame pair with those of the next ``REACH`` frames. A fingerprint is two
 arrays: the frame of each pair's first peak, and the pair (bin, bin, distance).
 
@@ -32,9 +32,9 @@ from pyspark.sql import functions as F
 from .batches import map_texts
 
 UNIT, FILL, RATE = 576, 255, 8000
-FRAME, HOP, BINS, REACH = 576, 288, 64, 2
-BANDS = [(0, 16), (16, 40), (40, 64)]
-FRAMES_AT_ONCE = 4096
+FRAME, HOP, BINS, REACH = 576, 288, 288, 2
+BANDS = [(0, 32), (32, 96), (96, 288)]
+FRAMES_AT_ONCE = 1024
 
 
 def padded(text: bytes | None) -> bytes:
@@ -62,7 +62,7 @@ def from_wav(media: bytes) -> bytes:
 def _table() -> np.ndarray:
     """(FRAME, 2 * BINS): Hann-windowed cosines and sines, rounded to whole numbers of at most 127."""
     t = np.arange(FRAME)
-    angle = 2 * np.pi * t[:, None] * np.arange(1, BINS + 1)[None, :] * 4 / FRAME
+    angle = 2 * np.pi * t[:, None] * np.arange(1, BINS + 1)[None, :] / FRAME
     window = 63.5 * (1 - np.cos(2 * np.pi * t / FRAME))[:, None]
     return np.round(np.concatenate([window * np.cos(angle), window * np.sin(angle)], axis=1)).astype(np.float32)
 
@@ -112,7 +112,7 @@ def _fingerprints(payloads: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarra
         follow = np.minimum(np.arange(n) + d, n - 1)
         for i in range(len(BANDS)):
             for j in range(len(BANDS)):
-                codes.append((bins[:, i] << 8) | (bins[follow, j] << 2) | d)
+                codes.append((bins[:, i] << 11) | (bins[follow, j] << 2) | d)
                 valid.append(strong[:, i] & strong[follow, j] & (left >= d))
     code, ok = np.stack(codes, axis=1), np.stack(valid, axis=1)
     for s, c in zip(starts.tolist(), counts.tolist(), strict=True):

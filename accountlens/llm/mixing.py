@@ -80,7 +80,9 @@ def schedule(parts: DataFrame) -> DataFrame:
 def numbered(docs: DataFrame, source_col: str, id_col: str) -> DataFrame:
     """docs with _n: 0, 1, ... within each source by the hash of the id, then the id."""
     key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    hashed = docs.withColumn("_key", key).withColumn("_hash", F.conv(F.substring("_key", 1, 8), 16, 10).cast("long"))
+    own = F.shiftrightunsigned(F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)), 32)  # rows without an id come first, by the hash of all they have
+    hashed = docs.withColumn("_key", F.when(F.col(id_col).isNull(), F.format_string("%016x", own)).otherwise(key))
+    hashed = hashed.withColumn("_hash", F.when(F.col(id_col).isNull(), own - F.lit(1 << 32)).otherwise(F.conv(F.substring("_key", 1, 8), 16, 10).cast("long")))
     per = math.ceil(docs.count() / BUCKET_DOCS)
     bits = max(2, math.ceil(math.log2(max(per, 1))) + 1)  # the largest source's buckets stay below BUCKET_DOCS
     bits += bits % 2

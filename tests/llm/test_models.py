@@ -94,7 +94,27 @@ def test_phrases_are_longest_matches(monkeypatch):
     for k, language in enumerate(p.languages):
         sample = p.compact([{"de": "der hund und die katze " * 3 + "das haus am see", "en": "the cat and the dog " * 3 + "a house by the sea"}[language]])[0].tolist()
         for i, t in enumerate(texts):
-            assert got[k, i] == brute_phrases(sample, p.compact([t])[0].tolist(), 50)
+            assert got[k, i] == brute_phrases(sample, p.compact([t])[0].tolist(), 10**6)
+
+
+def test_phrases_go_on_over_stretches_and_rare_letters(monkeypatch):
+    monkeypatch.setattr(langid, "STRETCH", 7)
+    rng = np.random.default_rng(5)
+    make = lambda n: "".join(rng.choice(list("abc жщ日本ß"), n))
+    samples = {"x": make(300), "y": make(200)}
+    p = langid.CrossParser(samples)
+    texts = [make(int(n)) for n in rng.integers(0, 120, 25)]
+    got, n = p.phrases(texts)
+    for k, language in enumerate(p.languages):
+        sample = p.compact([samples[language]])[0].tolist()
+        assert [brute_phrases(sample, p.compact([t])[0].tolist(), 10**6) for t in texts] == got[k].tolist()
+
+
+def test_letters_of_any_script_are_told_apart():
+    everything = "".join(chr(i) for i in range(0x3041, 0x3097)) + "".join(chr(i) for i in range(0x4E00, 0x4F00))
+    p = langid.CrossParser({"a": "abc " * 20, "b": everything})
+    codes = [tuple(p.compact([c])[0].tolist()) for c in everything]
+    assert len(set(codes)) == len(everything) and p.predict([everything[90:140].encode()])[0] == ["b"]
 
 
 def test_language_of_odd_rows(spark):
@@ -116,6 +136,18 @@ def test_language_query_held_out(spark):
     assert np.mean([r.lang_pred == r.lang for r in held]) >= 0.97
 
 
+def test_language_stage_keeps_the_learned_languages_and_no_other(spark):
+    d = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", "lang")
+    foreign = ["Съешь же ещё этих мягких французских булок да выпей чаю, пожалуйста", "See https://example.org/abc page: Съешь же ещё этих мягких французских булок, выпей чаю", "日本語のテキストはここにあります", "Ταχίστη αλώπηξ βαφής ψημένη γη", "12 34", "", None]
+    both = docs.unionByName(spark.createDataFrame([(-i, t, None) for i, t in enumerate(foreign, 1)], "doc_id long, text string, lang string"))
+    samples = langid.learn(both)
+    limits = langid.parser(samples).limits(dict(langid.learn(both, skip=langid.SAMPLE_ROWS)))
+    kept = {r.doc_id for r in langid.keep(both, samples, limits).collect()}
+    lettered = {r.doc_id for r in docs.collect() if r.text and any(map(str.isalpha, r.text))}
+    assert kept == lettered
+
+
 # Media
 def slow_pairs(payload: bytes) -> list[tuple[int, int]]:
     x = np.frombuffer(payload, np.uint8).astype(float) - 128
@@ -129,7 +161,7 @@ def slow_pairs(payload: bytes) -> list[tuple[int, int]]:
     for t in range(n):
         for d, i, j in itertools.product(range(1, media.REACH + 1), range(len(media.BANDS)), range(len(media.BANDS))):
             if t + d < n and peaks[t][i][1] and peaks[t + d][j][1]:
-                out.append((t, peaks[t][i][0] << 8 | peaks[t + d][j][0] << 2 | d))
+                out.append((t, peaks[t][i][0] << 11 | peaks[t + d][j][0] << 2 | d))
     return out
 
 
@@ -142,6 +174,14 @@ def test_fingerprints_against_one_frame_at_a_time():
     assert len(next(media.fingerprints([tone]))[0]) > 0
 
 
+def test_a_tone_at_every_frequency_is_a_peak():
+    t = np.arange(media.FRAME * 2)
+    for f in range(1, media.BINS):
+        bins, strong = media.peaks((128 + 90 * np.cos(2 * np.pi * t * f / media.FRAME)).astype(np.uint8))
+        band = next(k for k, (low, high) in enumerate(media.BANDS) if low <= f - 1 < high)
+        assert strong[:, band].all() and (abs(bins[:, band] - (f - 1)) <= 1).all(), f
+
+
 def test_media_round_trip_and_digests(spark):
     rows = {(r.doc_id, r.n_bytes): r for r in media.digests(odd(spark)).collect()}
     assert len(rows) == len(ODD) - 1  # a repeated row
