@@ -17,6 +17,14 @@ _MARKED = "àáâãäåāăąçćĉċčďđèéêëēĕėęěĝğġģĥħìíî
 _PLAIN = "aaaaaaaaacccccddeeeeeeeeegggghhiiiiiiiiijklllllnnnnoooooooooorrrsssstttuuuuuuuuuuwyyyzzz"[: len(_MARKED)]
 
 
+def casefold(text: Column) -> Column:
+    """Lower case in which letters of one kind are one: sharp s, final sigma, long s and the ligatures of f."""
+    out = F.translate(F.lower(text), "ςſ", "σs")
+    for a, b in (("ß", "ss"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"), ("ﬃ", "ffi"), ("ﬄ", "ffl")):
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return out
+
+
 def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, SPACES, " "))
 
@@ -41,7 +49,7 @@ def clean_text(text: Column, cap: int | Column = CAPS["website"]) -> Column:
     """White space collapsed in each line; no blank, banner or repeated line; at most cap characters."""
     lines = F.filter(F.transform(F.split(text, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"), collapse), lambda x: (x != "") & ~x.rlike(COOKIE_LINE))
     # Repeats are neighbours once sorted; the first of each goes back to its place. Nothing is looked up line by line.
-    order = F.array_sort(F.transform(lines, lambda x, i: F.struct(F.lower(x).alias("k"), i.alias("i"), x.alias("x"))))
+    order = F.array_sort(F.transform(lines, lambda x, i: F.struct(casefold(x).alias("k"), i.alias("i"), x.alias("x"))))
     before = F.concat(F.array(F.lit(None).cast("string")), F.transform(order, lambda r: r["k"]))
     first = F.filter(F.zip_with(order, before, lambda r, k: F.when(r.isNotNull() & ~r["k"].eqNullSafe(k), F.struct(r["i"].alias("i"), r["x"].alias("x")))), lambda r: r.isNotNull())
     kept = F.transform(F.array_sort(first), lambda r: r["x"])
@@ -50,7 +58,7 @@ def clean_text(text: Column, cap: int | Column = CAPS["website"]) -> Column:
 
 def content_hash(text: Column) -> Column:
     """C03."""
-    return F.sha2(F.lower(collapse(text)), 256)
+    return F.sha2(casefold(collapse(text)), 256)
 
 
 def clean_title(title: Column) -> Column:
@@ -155,12 +163,12 @@ def source_key(url: Column, document_id: Column) -> Column:
 
 
 def numbers(text: Column) -> Column:
-    """The numbers of a text, without separators of thousands."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"(\d[\d.,]*\d|\d)"), F.lit(1)), lambda n: F.regexp_replace(n, r"[.,](?=\d{3}(\D|$))", "")))
+    """The numbers of a text, without separators."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"(\d+(?:[.,]\d+)*)"), F.lit(1)), lambda n: F.translate(n, ".,", "")))
 
 
 def numbers_agree(a: Column, b: Column) -> Column:
-    """One set holds the other."""
+    """One set holds the other; a text without numbers agrees with any."""
     x, y = numbers(a), numbers(b)
     return (F.size(F.array_except(x, y)) == 0) | (F.size(F.array_except(y, x)) == 0)
 

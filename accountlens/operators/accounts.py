@@ -50,26 +50,28 @@ def country_match(df: DataFrame, countries: DataFrame, column: str = "country_co
 
 
 def industry_match(df: DataFrame, industries: DataFrame, column: str = "industry", least: float = 85.0) -> DataFrame:
-    """Id of an exact id, label or alias, else of the label most alike, from a ratio of ``least`` on. industries: key (folded), id; a few dozen rows."""
-    table = [(r["key"], r["id"]) for r in industries.select("key", "id").orderBy("key", "id").limit(10_000).collect()]
+    """Id of an exact id, label or alias, else of the label most alike, from a ratio of ``least`` on. industries: key (folded), id.
 
-    @F.pandas_udf("string")
-    def nearest(values: pd.Series) -> pd.Series:
-        memo = {}
+    Each different unknown value meets the keys of lengths that allow the ratio, and the
+    best one is kept; neither table passes through the driver.
+    """
 
-        def find(v: str | None) -> str | None:
-            if v and v not in memo:
-                best = max(((max(token_sort_ratio(v, k), indel_ratio(v, k)), i) for k, i in table), key=lambda x: x[0], default=(0.0, None))
-                memo[v] = best[1] if best[0] >= least else None
-            return memo.get(v) if v else None
-
-        return values.map(find)
+    @F.pandas_udf("double")
+    def likeness(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([max(token_sort_ratio(x, y), indel_ratio(x, y)) for x, y in zip(a, b, strict=True)], dtype=float)
 
     key = F.trim(fold(F.col(column)))
     exact = df.withColumn("_key", key).join(F.broadcast(industries.select(F.col("key").alias("_key"), F.col("id").alias("_id")).dropDuplicates(["_key"])), "_key", "left")
     done = exact.where("_id is not null or _key is null").withColumn("industry_id", F.col("_id"))
-    rest = exact.where("_id is null and _key is not null").withColumn("industry_id", nearest("_key"))
-    return done.unionByName(rest).drop("_key", "_id")
+    rest = exact.where("_id is null and _key is not null")
+    unknown = rest.select("_key", F.length("_key").alias("_n")).distinct()
+    # lengths n, m allow a ratio r only if 200 * min(n, m) / (n + m) >= r
+    low, high = F.ceil(F.col("_n") * least / (200 - least)), F.floor(F.col("_n") * (200 - least) / least)
+    by_length = unknown.withColumn("_m", F.explode(F.sequence(low, F.greatest(low, high))))
+    labels = industries.where("key is not null").select(F.col("key").alias("_label"), F.length("key").cast("long").alias("_m"), F.col("id").alias("_other"))
+    close = by_length.join(labels, "_m").withColumn("_r", likeness("_key", "_label")).where(F.col("_r") >= least)
+    best = close.groupBy("_key").agg(F.max_by("_other", F.struct("_r", F.length("_label").alias("l"), "_label")).alias("industry_id"))
+    return done.unionByName(rest.join(best, "_key", "left")).drop("_key", "_id")
 
 
 def validate(rows: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -12,6 +12,9 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import casefold, source_key
+from .verify import candidate_pairs, cluster_leads, similar_pairs, single_linkage
+
 KEYS = ["company_id", "service_id"]
 
 
@@ -103,11 +106,30 @@ def valued(signals: DataFrame, now: Column, p: Profile = Profile()) -> DataFrame
     date = evidence_date(F.col("event_date"), F.col("published_at") if "published_at" in signals.columns else F.lit(None))
     seen = F.col("fetched_at") if "fetched_at" in signals.columns else F.col("detected_at")
     out = signals.withColumn("age", age_days(date, seen, now, p.undated_age_days)).withColumn("decay", decay(F.col("source_type"), F.col("age"), p))
-    return out.withColumn("value", signal_value(F.col("strength"), F.col("confidence"), reliability(F.col("source_type"), None, None, p), F.col("decay"), p))
+    flags, stored = (F.col(c) if c in signals.columns else None for c in ("flags", "reliability"))
+    return out.withColumn("value", signal_value(F.col("strength"), F.col("confidence"), reliability(F.col("source_type"), flags, stored, p), F.col("decay"), p))
+
+
+def corroborated(values: DataFrame) -> DataFrame:
+    """(company, service, question, signal_id, value): clusters of signals of one event, by their leads, with the confidence of all their sources.
+
+    Signals without quotes are clusters of their own. Sources are told apart by
+    source_key, or url and document_id, where these are there.
+    """
+    keys = [*KEYS, "question_id"]
+    if "quote" not in values.columns:
+        return values.select(*keys, "signal_id", "value")
+    document = F.col("document_id").cast("string") if "document_id" in values.columns else F.col("signal_id").cast("string")
+    source = F.col("source_key") if "source_key" in values.columns else source_key(F.col("url"), document) if "url" in values.columns else document
+    date = evidence_date(F.col("event_date"), F.col("published_at") if "published_at" in values.columns else F.lit(None))
+    summary = F.col("summary") if "summary" in values.columns else F.lit(None).cast("string")
+    s = values.select(*keys, "signal_id", "value", "confidence", "quote", date.alias("date"), summary.alias("summary"), document.alias("document_id"), source.alias("source_key"))
+    pairs = similar_pairs(candidate_pairs(s, keys))
+    return cluster_leads(single_linkage(s, pairs, keys), keys).select(*keys, F.col("lead").alias("signal_id"), "value")
 
 
 def question_strength(values: DataFrame, p: Profile = Profile()) -> DataFrame:
-    """(company, service, question, s): noisy-OR of the best clusters of a question.
+    """(company, service, question, s): noisy-OR of the best clusters (corroborated()) of a question.
 
     The best of a question are kept by a rank of at most max_evidence, which Spark
     applies before the exchange, so a question with many signals stays small.
@@ -179,18 +201,26 @@ def fit(companies: DataFrame, icp: dict, p: Profile = Profile()) -> DataFrame:
     return out.withColumn("fit", F.when(F.size("failed") > 0, 0.0).otherwise(p.fit_floor + (100 - p.fit_floor) * share))
 
 
+def firmographic_list_rule(op: Column, values: Column, wanted: Column) -> Column:
+    """G16 for a list of values: in, eq and intersects are one; null and empty lists never fire. Case does not matter."""
+    meets = F.arrays_overlap(F.transform(values, casefold), F.transform(wanted, casefold))
+    fires = F.when(op.isin("in", "eq", "intersects"), meets).when(op == "not_in", ~meets).otherwise(F.lit(False))
+    return F.coalesce((F.size(values) > 0) & fires, F.lit(False))
+
+
 def firmographic_rule(op: Column, value: Column, wanted: Column) -> Column:
-    """G16 for one value: wanted is an array of strings; null never fires."""
+    """G16 for one value: wanted is an array of strings; null never fires. Case does not matter."""
     one = F.element_at(wanted, 1)
-    inside = F.array_contains(wanted, value.cast("string"))
+    inside = F.array_contains(F.transform(wanted, casefold), casefold(value.cast("string")))
     number = one.try_cast("double")
     fires = F.when(op == "lt", value.try_cast("double") < number).when(op == "gt", value.try_cast("double") > number)
     return F.coalesce(fires.when(op.isin("eq", "in", "intersects"), inside).when(op == "not_in", ~inside).otherwise(F.lit(False)), F.lit(False))
 
 
 def list_rule(domain: Column, own_domains: Column, listed: Column) -> Column:
-    """G17."""
-    return F.arrays_overlap(F.array_append(F.coalesce(own_domains, F.array().cast("array<string>")), domain), listed)
+    """Domains in lower case, without www."""
+    bare = lambda d: F.regexp_replace(F.lower(F.trim(d)), r"^www\.", "")
+    return F.arrays_overlap(F.transform(F.array_append(F.coalesce(own_domains, F.array().cast("array<string>")), domain), bare), F.transform(listed, bare))
 
 
 def signal_rule(strengths: DataFrame, rules: DataFrame) -> DataFrame:
@@ -205,8 +235,8 @@ def apply_rules(scores: DataFrame, hits: DataFrame) -> DataFrame:
         F.min(F.when(F.col("action") == "cap", F.col("cap_value"))).alias("cap"),
         F.array_sort(F.collect_set("name")).alias("hits"),
     )
-    out = scores.join(each, KEYS, "left")
-    excluded = F.coalesce("excluded", F.lit(False)) | (F.col("disqualified") if "disqualified" in scores.columns else F.lit(False))
+    out = scores.drop("disqualified", "hits").join(each, KEYS, "left")
+    excluded = F.coalesce("excluded", F.lit(False))
     capped = F.least(F.col("priority"), F.coalesce("cap", F.lit(100.0)))
     return out.withColumn("disqualified", excluded).withColumn("priority", F.when(F.col("disqualified"), 0.0).otherwise(capped)).drop("excluded", "cap")
 
@@ -246,9 +276,19 @@ def refresh_derived(stored: DataFrame, fresh: DataFrame) -> DataFrame:
     return stored.where("source_type <> 'derived'").unionByName(new, allowMissingColumns=True)
 
 
+def fit_reasons(fits: DataFrame) -> DataFrame:
+    """(company, reasons): must-haves that fail, and what is unknown. fits: from fit()."""
+    outside = F.transform("failed", lambda x: F.concat(F.lit("Outside ICP: "), x))
+    gaps = F.when(F.size("data_gaps") > 0, F.array(F.concat(F.lit("Unknown: "), F.array_join("data_gaps", ", ")))).otherwise(F.array().cast("array<string>"))
+    return fits.select("company_id", F.concat(outside, gaps).alias("reasons"))
+
+
 def why_now(points: DataFrame, values: DataFrame, scores: DataFrame, least_risk: float = 20.0, n: int = 3) -> DataFrame:
-    """(company, service, why_now): the strongest signal of the three best positive questions, and of the worst negative one if risk is high."""
-    best = values.groupBy(*KEYS, "question_id").agg(F.max_by("signal_id", F.struct("value", (-F.col("signal_id")).alias("i"))).alias("signal_id"))
+    """(company, service, why_now): the lead of the best cluster of the three best positive questions, and of the worst negative one if risk is high.
+
+    values: from corroborated(). What the fit adds is in fit_reasons().
+    """
+    best = values.where("value > 0").groupBy(*KEYS, "question_id").agg(F.max_by("signal_id", F.struct("value", (-F.col("signal_id")).alias("i"))).alias("signal_id"))
     shown = points.where(F.bround("points", 2) > 0).join(best, [*KEYS, "question_id"])
     order = Window.partitionBy(*KEYS, "polarity").orderBy(F.desc(F.bround("points", 2)), "question_id")
     top = shown.withColumn("nth", F.row_number().over(order)).join(scores.select(*KEYS, "risk"), KEYS)
@@ -257,23 +297,38 @@ def why_now(points: DataFrame, values: DataFrame, scores: DataFrame, least_risk:
     return kept.groupBy(*KEYS).agg(rows.alias("_rows")).select(*KEYS, F.transform("_rows", lambda r: F.concat_ws(":", r["question_key"], r["signal_id"].cast("string"))).alias("why_now"))
 
 
-def score(companies: DataFrame, signals: DataFrame, questions: DataFrame, now: Column, p: Profile = Profile()) -> DataFrame:
-    """(company, service, fit, intent, risk, priority, tier) of every pair that has signals. companies: company_id and fit."""
-    points = question_points(question_strength(valued(scorable(signals, p), now, p), p), questions, p)
-    both = intent_risk(points, p).join(companies.select("company_id", "fit"), "company_id")
-    out = both.withColumn("priority", priority(F.col("fit"), F.col("intent"), F.col("risk"), p)).withColumn("disqualified", F.col("fit") == 0)
-    return out.withColumn("tier", tier(F.col("priority"), F.col("disqualified"), p)).select(*KEYS, "fit", "intent", "risk", "priority", "disqualified", "tier")
+def score(companies: DataFrame, signals: DataFrame, questions: DataFrame, now: Column, p: Profile = Profile(), *, hits: DataFrame | None = None, services: DataFrame | None = None) -> DataFrame:
+    """(company, service, fit, intent, risk, priority, disqualified, tier, hits, outside_icp) of every company and service, figures to one digit.
+
+    companies: company_id, fit, and failed must-haves where fit() found them; services:
+    service_id, by default those of the signals; hits: of rules (G16-G18). Only a rule
+    that excludes disqualifies; a failed must-have is listed as a hit.
+    """
+    points = question_points(question_strength(corroborated(valued(scorable(signals, p), now, p)), p), questions, p)
+    services = signals.select("service_id").distinct() if services is None else services.select("service_id").distinct()
+    failed = F.col("failed") if "failed" in companies.columns else F.array().cast("array<string>")
+    pairs = companies.select("company_id", "fit", failed.alias("_failed")).crossJoin(services)  # every service for each company: the result itself
+    both = pairs.join(intent_risk(points, p), KEYS, "left").fillna(0.0, ["intent", "risk"])
+    ranked = both.withColumn("priority", priority(F.col("fit"), F.col("intent"), F.col("risk"), p))
+    if hits is None:
+        ruled = ranked.withColumn("disqualified", F.lit(False)).withColumn("hits", F.array().cast("array<string>"))
+    else:
+        ruled = apply_rules(ranked, hits).withColumn("hits", F.coalesce("hits", F.array().cast("array<string>")))
+    outside = F.size("_failed") > 0
+    icp = F.when(outside, F.array(F.concat(F.lit("Outside ICP: "), F.array_join("_failed", "; ")))).otherwise(F.array().cast("array<string>"))
+    out = ruled.withColumn("hits", F.concat("hits", icp)).withColumn("outside_icp", outside).withColumn("tier", tier(F.col("priority"), F.col("disqualified"), p))
+    return out.select(*KEYS, *[F.bround(c, 1).alias(c) for c in ("fit", "intent", "risk", "priority")], "disqualified", "tier", "hits", "outside_icp")
 
 
 def what_if(companies: DataFrame, signals: DataFrame, questions: DataFrame, now: Column, variants: dict[str, dict], p: Profile = Profile()) -> DataFrame:
     """Scores under several profiles at once; only weights, taus and penalties differ, so evidence is valued once."""
-    strengths = question_strength(valued(scorable(signals, p), now, p), p)
+    strengths = question_strength(corroborated(valued(scorable(signals, p), now, p)), p)
     out = None
     for name, change in variants.items():
         q = replace(p, **change)
         both = intent_risk(question_points(strengths, questions, q), q).join(companies.select("company_id", "fit"), "company_id")
         one = both.withColumn("priority", priority(F.col("fit"), F.col("intent"), F.col("risk"), q)).withColumn("profile", F.lit(name))
-        one = one.withColumn("tier", tier(F.col("priority"), F.col("fit") == 0, q))
+        one = one.withColumn("tier", tier(F.col("priority"), F.lit(False), q))
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -300,9 +355,17 @@ def score_changes(scores: DataFrame, value: str = "priority") -> DataFrame:
 
 
 def ranking(scores: DataFrame, companies: DataFrame) -> DataFrame:
-    """G27."""
+    """All scores with their place, by priority, intent, fit, name, then ids.
+
+    Scores have one digit, so their priorities are at most 1,001 groups: places are
+    counted within a group, and the groups' sizes give where each begins.
+    """
     named = scores.join(companies.select("company_id", "name"), "company_id")
-    return named.orderBy(F.desc("priority"), F.desc("intent"), F.desc("fit"), F.lower("name"), "company_id")
+    sizes = named.groupBy("priority").agg(F.count("*").alias("_n"))
+    order = Window.orderBy(F.desc("priority")).rowsBetween(Window.unboundedPreceding, -1)  # a row for each priority
+    first = sizes.select("priority", F.coalesce(F.sum("_n").over(order), F.lit(0)).alias("_first"))
+    inside = Window.partitionBy("priority").orderBy(F.desc("intent"), F.desc("fit"), casefold(F.col("name")), "company_id", "service_id")
+    return named.join(F.broadcast(first), "priority").withColumn("place", F.col("_first") + F.row_number().over(inside)).drop("_first")
 
 
 def resolve_params(profiles: DataFrame, column: str = "params", p: Profile = Profile()) -> DataFrame:

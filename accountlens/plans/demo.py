@@ -57,8 +57,8 @@ select conv_id * 100 + turn as id, conv_id as run_id, conv_id % 50 as company_id
        case when turn % 5 = 4 then 'failed' when turn % 3 = 2 then 'paused' else 'done' end as status, length(text) as n_chars
 from conversations""",
     "rejected": """
-select l_orderkey as rejected_id, case l_linenumber when 1 then 'quote_not_found' when 2 then 'wrong_company' when 3 then 'stale'
-       when 4 then 'low_confidence' else 'no_evidence_for_yes' end as reason from lineitem where l_linenumber <= 5""",
+select l_orderkey as rejected_id, case l_linenumber when 1 then 'quote_not_found' when 2 then 'wrong_subject' when 3 then 'stale'
+       when 4 then 'below_confidence' else 'no_evidence_for_yes' end as reason from lineitem where l_linenumber <= 5""",
     "rule": """
 select r_regionkey as rule_id, r_regionkey % 2 as service_id, case r_regionkey when 0 then 'country' when 1 then 'employees_lt' when 2 then 'employees_gt' when 3 then 'industry' else 'question' end as kind,
        case r_regionkey when 0 then 'exclude' when 1 then 'cap' when 2 then 'flag' when 3 then 'cap' else 'flag' end as action,

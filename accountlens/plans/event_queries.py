@@ -336,7 +336,7 @@ def cache_split(spark, d):
     return D.cache_split(s.where("signal_id >= 500"), cache)[1].groupBy("key").agg(F.count("*").alias("n"))
 
 
-@query("s29_append_new", "+ h as (select company_id, sha256(lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))) as content_hash from document), k as (select company_id, sha256(lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))) as content_hash from document where doc_id % 3 = 0) select distinct company_id, content_hash from h where (company_id, content_hash) not in (select company_id, content_hash from k)", ("document",))
+@query("s29_append_new", "+ h as (select company_id, sha256(replace(replace(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), 'ß', 'ss'), 'ς', 'σ')) as content_hash from document), k as (select company_id, sha256(replace(replace(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), 'ß', 'ss'), 'ς', 'σ')) as content_hash from document where doc_id % 3 = 0) select distinct company_id, content_hash from h where (company_id, content_hash) not in (select company_id, content_hash from k)", ("document",))
 def append_new(spark, d):
     from ..functions.text import content_hash
 

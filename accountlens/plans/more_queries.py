@@ -236,18 +236,19 @@ def parse_answers(spark, d):
     return V.parse_answers(raw).select("company_id", F.col("question_id").cast("bigint").alias("question_id"), "quote")
 
 
-@query("v04_subject_check", "select signal_id, signal_id % 5 = 0 or abs(signal_id % 1000 - 500) < 300 or (signal_id % 3 = 0 and signal_id % 1000 < 300) as ok from signal", ("signal",))
+@query("v04_subject_check", "select signal_id, signal_id % 5 = 0 or abs(signal_id % 1000 - 500) < 300 or (signal_id % 3 = 0 and signal_id % 1000 <= 300) as ok from signal", ("signal",))
 def subject_check(spark, d):
     at = (F.col("signal_id") % 1000).cast("int")
     mention = F.array(F.struct(F.lit(500).alias("s"), F.lit(500).alias("e")))
     return signals(spark, d).select("signal_id", V.subject_ok(F.col("signal_id") % 5 == 0, mention, F.col("signal_id") % 3 == 0, at, at).alias("ok"))
 
 
-@query("v09_keep_clusters", """+ m as (select signal_id, company_id, evidence_key as cluster, confidence as value from signal where status = 'active'),
-l as (select company_id, cluster, max(value) as v, count(*) as n from m group by company_id, cluster qualify row_number() over (partition by company_id order by v desc, cluster) <= 3)
+@query("v09_keep_clusters", """+ m as (select signal_id, company_id, evidence_key as cluster, cast(confidence as double) as value, source_type from signal where status = 'active'),
+b as (select company_id, cluster, source_type, max(value) as c from m group by all),
+l as (select company_id, cluster, case when count(*) > 1 then greatest(max(c), least(0.98, 1 - product(1 - c))) else max(c) end as v, count(*) as n from b group by company_id, cluster qualify row_number() over (partition by company_id order by round(v, 9) desc, cluster) <= 3)
 select signal_id, company_id, n > 1 as corroborated from m join l using (company_id, cluster) qualify row_number() over (partition by company_id, cluster order by value desc, signal_id) <= 3""", ("signal",))
 def keep_clusters(spark, d):
-    m = signals(spark, d).where("status = 'active'").select("signal_id", "company_id", F.col("evidence_key").alias("cluster"), F.col("confidence").alias("value"), "confidence")
+    m = signals(spark, d).where("status = 'active'").select("signal_id", "company_id", F.col("evidence_key").alias("cluster"), F.col("confidence").alias("value"), "confidence", F.col("source_type").alias("source_key"))
     return V.keep_clusters(m, V.cluster_leads(m, ["company_id"]), ["company_id"]).select("signal_id", "company_id", "corroborated")
 
 

@@ -39,15 +39,23 @@ STRENGTH = "case strength when 'weak' then 0.35 when 'moderate' then 0.65 when '
 VALUE = f"cast({STRENGTH} as double) * cast(confidence as double) * cast({RELIABLE} as double) * {DECAY}"
 WEIGHT = "case weight when 'high' then 3.0 when 'medium' then 2.0 else 1.0 end"
 SCORED = f"""+ valued as (select *, {VALUE} as value from signal where status = 'active' and confidence >= 0.5),
-top as (select *, row_number() over (partition by company_id, service_id, question_id order by value desc, signal_id) as nth from valued),
+stepped as (select *, bool_or(event_date is null) over g as loose, lag(event_date) over (partition by company_id, service_id, question_id, quote order by event_date, signal_id) as before
+  from valued window g as (partition by company_id, service_id, question_id, quote)),
+islands as (select *, case when loose then 0 else sum(case when event_date - before > 14 then 1 else 0 end) over (partition by company_id, service_id, question_id, quote order by event_date, signal_id rows unbounded preceding) end as island from stepped),
+per_source as (select company_id, service_id, question_id, quote, island, document_id, max(cast(confidence as double)) as c from islands group by all),
+sure as (select company_id, service_id, question_id, quote, island, case when count(*) > 1 then greatest(max(c), least(0.98, 1 - product(1 - c))) else max(c) end as confidence from per_source group by all),
+led as (select company_id, service_id, question_id, quote, island, arg_max({{'id': signal_id, 'v': value, 'c': cast(confidence as double)}}, (value, cast(confidence as double), -signal_id)) as l from islands group by all),
+clusters as (select company_id, service_id, question_id, l.id as signal_id, case when l.c > 0 then l.v / l.c * confidence else 0 end as value from led join sure using (company_id, service_id, question_id, quote, island)),
+top as (select *, row_number() over (partition by company_id, service_id, question_id order by value desc, signal_id) as nth from clusters),
 strengths as (select company_id, service_id, question_id, 1 - product(1 - least(greatest(value, 0), 1)) as s, count(*) as n_evidence from top where nth <= 3 group by all),
 points as (select s.*, question_key, polarity, weight, {WEIGHT} * s as points from strengths s join question using (question_id) where is_active),
 sums as (select company_id, service_id, coalesce(sum(points) filter (where polarity = 'positive'), 0) as pos, coalesce(sum(points) filter (where polarity = 'negative'), 0) as neg from points group by all),
 sides as (select company_id, service_id, 100 * (1 - exp(-pos / 5.0)) as intent, 100 * (1 - exp(-neg / 2.0)) as risk from sums),
 fits as (select company_id, name, domain, country_code, industry_id, employees, is_tracked,
   case when employees is not null and employees < 500 then 0.0 else 20 + 80 * (case when industry_id in ('machinery', 'building') then 1.0 else 0.0 end * 2.0 / 3.0 + 0.5 * 1.0 / 3.0 * 0 + case when country_code in ('NA') then 1.0 else 0.0 end * 1.0 / 3.0) end as fit from company),
-scored as (select company_id, service_id, fit, intent, risk, 100 * pow(fit / 100, 0.4) * pow(intent / 100, 0.6) * (1 - 0.5 * risk / 100) as priority, fit = 0 as disqualified from sides join fits using (company_id)),
-tiers as (select *, case when disqualified then 'disqualified' when round_even(priority, 1) >= 65 then 'hot' when round_even(priority, 1) >= 40 then 'warm' else 'cold' end as tier from scored)
+whole as (select company_id, s.service_id, fit, coalesce(intent, 0) as i, coalesce(risk, 0) as r, 100 * pow(fit / 100, 0.4) * pow(i / 100, 0.6) * (1 - 0.5 * r / 100) as exact from fits cross join (select distinct service_id from signal) s left join sides using (company_id, service_id)),
+scored as (select company_id, service_id, round_even(fit, 1) as fit, round_even(i, 1) as intent, round_even(r, 1) as risk, round_even(exact, 1) as priority, false as disqualified, fit = 0 as outside_icp from whole),
+tiers as (select *, case when priority >= 65 then 'hot' when priority >= 40 then 'warm' else 'cold' end as tier from scored)
 """
 VIEWS = ("company", "question", "signal")
 ICP = {"employees_min": 500, "nice_to_have": [{"kind": "industry", "values": ["machinery", "building"], "weight": 2.0}, {"kind": "country", "values": ["NA"], "weight": 1.0}]}
@@ -66,7 +74,7 @@ def valued(spark, d) -> DataFrame:
 
 
 def points(spark, d) -> DataFrame:
-    return G.question_points(G.question_strength(valued(spark, d)), view(spark, d, "question"))
+    return G.question_points(G.question_strength(G.corroborated(valued(spark, d))), view(spark, d, "question"))
 
 
 def scores(spark, d) -> DataFrame:
@@ -87,7 +95,7 @@ def signal_value(spark, d):
 
 @query("g06_question_strength", SCORED + "select company_id, service_id, question_id, round(s, 6) as s, n_evidence from strengths", VIEWS)
 def question_strength(spark, d):
-    return G.question_strength(valued(spark, d)).select("company_id", "service_id", "question_id", *r6("s"), "n_evidence")
+    return G.question_strength(G.corroborated(valued(spark, d))).select("company_id", "service_id", "question_id", *r6("s"), "n_evidence")
 
 
 @query("g07_question_points", SCORED + "select company_id, service_id, question_key, polarity, round(points, 6) as points from points", VIEWS)
@@ -110,17 +118,17 @@ def fit(spark, d):
     return G.fit(companies(spark, d), ICP).select("company_id", *r6("fit"), F.array_join("failed", ",").alias("failed"), F.array_join("data_gaps", ",").alias("gaps"))
 
 
-@query("g23_score", SCORED + "select company_id, service_id, round(fit, 6) as fit, round(intent, 6) as intent, round(risk, 6) as risk, round(priority, 6) as priority, disqualified, tier from tiers", VIEWS)
+@query("g23_score", SCORED + "select company_id, service_id, round(fit, 6) as fit, round(intent, 6) as intent, round(risk, 6) as risk, round(priority, 6) as priority, disqualified, tier, outside_icp, case when outside_icp then 'Outside ICP: employees' else '' end as hits from tiers", VIEWS)
 def score(spark, d):
-    return scores(spark, d).select("company_id", "service_id", *r6("fit", "intent", "risk", "priority"), "disqualified", "tier")
+    return scores(spark, d).select("company_id", "service_id", *r6("fit", "intent", "risk", "priority"), "disqualified", "tier", "outside_icp", F.array_join("hits", ",").alias("hits"))
 
 
 RULE_SQL = """, hits as (
   select t.company_id, t.service_id, r.name, r.action, r.cap_value from tiers t join company c using (company_id) join rule r on r.service_id = t.service_id
   where (r.kind = 'country' and c.country_code = 'XX') or (r.kind = 'employees_lt' and c.employees < 20000) or (r.kind = 'employees_gt' and c.employees > 60000) or (r.kind = 'industry' and c.industry_id = 'household')),
 each as (select company_id, service_id, bool_or(action = 'exclude') as excluded, min(cap_value) filter (where action = 'cap') as cap, string_agg(distinct name, ',' order by name) as hits from hits group by all)
-select company_id, service_id, coalesce(excluded, false) or disqualified as disqualified, coalesce(hits, '') as hits,
-  round(case when coalesce(excluded, false) or disqualified then 0.0 else least(priority, coalesce(cap, 100)) end, 6) as priority
+select company_id, service_id, coalesce(excluded, false) as disqualified, coalesce(hits, '') as hits,
+  round(case when coalesce(excluded, false) then 0.0 else least(priority, coalesce(cap, 100)) end, 6) as priority
 from tiers left join each using (company_id, service_id)"""
 
 
@@ -136,14 +144,14 @@ def rules(spark, d):
     return G.apply_rules(s, hits).select("company_id", "service_id", "disqualified", F.coalesce(F.array_join("hits", ","), F.lit("")).alias("hits"), *r6("priority"))
 
 
-@query("g22_why_now", SCORED + """, best as (select company_id, service_id, question_id, arg_max(signal_id, (value, -signal_id)) as signal_id from valued group by all),
+@query("g22_why_now", SCORED + """, best as (select company_id, service_id, question_id, arg_max(signal_id, (value, -signal_id)) as signal_id from clusters where value > 0 group by all),
 shown as (select p.company_id, p.service_id, question_key, polarity, signal_id, risk, row_number() over (partition by p.company_id, p.service_id, polarity order by round_even(points, 2) desc, p.question_id) as nth
   from points p join best b using (company_id, service_id, question_id) join sides using (company_id, service_id) where round_even(points, 2) > 0)
 select company_id, service_id, string_agg(question_key || ':' || signal_id, ',' order by polarity = 'negative', nth) as why_now from shown
 where (polarity = 'positive' and nth <= 3) or (polarity = 'negative' and nth = 1 and risk >= 20) group by all""", VIEWS)
 def why_now(spark, d):
     p = points(spark, d)
-    return G.why_now(p, valued(spark, d), G.intent_risk(p)).select("company_id", "service_id", F.array_join("why_now", ",").alias("why_now"))
+    return G.why_now(p, G.corroborated(valued(spark, d)), G.intent_risk(p)).select("company_id", "service_id", F.array_join("why_now", ",").alias("why_now"))
 
 
 @query("g24_tier_changes", SCORED + """, old as (select company_id, service_id, arg_max(case when priority >= 65 then 'hot' when priority >= 40 then 'warm' else 'cold' end, (computed_at, score_id)) as tier_before from score group by all)
@@ -159,13 +167,9 @@ def score_changes(spark, d):
     return G.score_changes(view(spark, d, "score")).select("score_id", F.col("change").cast("double").alias("change"))
 
 
-@query("g27_ranking", SCORED + "select company_id, service_id, tier, row_number() over (order by priority desc, intent desc, fit desc, lower(name), company_id, service_id) as place from tiers join (select company_id, name from company) using (company_id) qualify place <= 100", VIEWS)
+@query("g27_ranking", SCORED + "select company_id, service_id, tier, row_number() over (order by priority desc, intent desc, fit desc, lower(name), company_id, service_id) as place from tiers join (select company_id, name from company) using (company_id)", VIEWS)
 def ranking(spark, d):
-    from pyspark.sql import Window
-
-    top = G.ranking(scores(spark, d), companies(spark, d)).orderBy(F.desc("priority"), F.desc("intent"), F.desc("fit"), F.lower("name"), "company_id", "service_id").limit(100)
-    order = Window.orderBy(F.desc("priority"), F.desc("intent"), F.desc("fit"), F.lower("name"), "company_id", "service_id")  # a hundred rows
-    return top.select("company_id", "service_id", "tier", F.row_number().over(order).cast("bigint").alias("place"))
+    return G.ranking(scores(spark, d), companies(spark, d)).select("company_id", "service_id", "tier", "place")
 
 
 WHAT_IF = {"default": {}, "patient": {"tau_intent": 8.0}, "wary": {"risk_penalty": 0.9, "tau_risk": 1.0}}

