@@ -26,9 +26,11 @@ from __future__ import annotations
 
 from array import array
 from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -257,6 +259,18 @@ def identify(docs: DataFrame, samples: tuple[tuple[str, str], ...], id_col: str
     return map_texts(docs, id_col, text_col, run, "lang_pred string, score double", worker=lambda: parser(samples))
 
 
+def learn_limits(docs: DataFrame, samples: tuple[tuple[str, str], ...]) -> dict[str, float]:
+    """CrossParser.limits() from the rows after those of the samples, in a task: the automata are too large for the driver."""
+    others = dict(learn(docs, skip=SAMPLE_ROWS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            found = parser(samples).limits(others)
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.float64())], ["lang", "most"])
+
+    return {r["lang"]: r["most"] for r in docs.sparkSession.range(0, 1, 1, 1).mapInArrow(run, "lang string, most double").collect()}
+
+
 def keep(docs: DataFrame, samples: tuple[tuple[str, str], ...], limits: dict[str, float], text_col: str = "text") -> DataFrame:
     """The rows whose whole text is in one of the learned languages: determined, at no more bits a letter than the language's limit."""
 

@@ -280,8 +280,8 @@ def frequent(docs: DataFrame, n_docs: int, words: int, id_col: str = "doc_id", t
         return [[np.unique(shingle_hashes(t, words)).view(np.int64) for t in texts]]
 
     each = map_texts(some, id_col, text_col, run, "keys array<long>").select(F.explode("keys").alias("key"))
-    counts = each.groupBy("key").count().where(F.col("count") >= OFTEN).orderBy(F.desc("count"), "key").limit(COUNTED).collect()
-    keys, n = np.array([r["key"] for r in counts], np.int64).view(np.uint64), np.array([r["count"] for r in counts], np.int64)
+    counts = each.groupBy("key").count().where(F.col("count") >= OFTEN).orderBy(F.desc("count"), "key").limit(COUNTED).toArrow()
+    keys, n = counts.column("key").to_numpy().view(np.uint64), counts.column("count").to_numpy()
     order = np.argsort(keys)
     return keys[order], n[order]
 

@@ -142,7 +142,7 @@ def test_language_stage_keeps_the_learned_languages_and_no_other(spark):
     foreign = ["Съешь же ещё этих мягких французских булок да выпей чаю, пожалуйста", "See https://example.org/abc page: Съешь же ещё этих мягких французских булок, выпей чаю", "日本語のテキストはここにあります", "Ταχίστη αλώπηξ βαφής ψημένη γη", "12 34", "", None]
     both = docs.unionByName(spark.createDataFrame([(-i, t, None) for i, t in enumerate(foreign, 1)], "doc_id long, text string, lang string"))
     samples = langid.learn(both)
-    limits = langid.parser(samples).limits(dict(langid.learn(both, skip=langid.SAMPLE_ROWS)))
+    limits = langid.learn_limits(both, samples)
     kept = {r.doc_id for r in langid.keep(both, samples, limits).collect()}
     lettered = {r.doc_id for r in docs.collect() if r.text and any(map(str.isalpha, r.text))}
     assert kept == lettered
