@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .batches import bounded, map_texts
-from .storage import checkpointed, release, written
+from .storage import checkpointed, discard, new_path, release, written
 
 #: Fingerprints in a shard before it is dealt anew by further bands.
 SHARD = 2048
@@ -240,6 +240,8 @@ def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("_rows"))
         small = with_hot(large, low, "a", 2 * before[0]).select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(low.select("a", F.col("m").alias("b")))
         edges = checkpointed(small.where("a <> b").distinct())
+        del both, least, large, low, small
+        release(edges.sparkSession)  # the shuffles and edges of the round before
         now = summary(edges)
         if now == before:
             break
@@ -496,8 +498,10 @@ def similar_links(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], hot:
     running = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     met = flat.withColumn("first", F.first(F.struct("same", "size")).over(running)).withColumn("_next", F.lead("same").over(order))
     met = met.where((F.col("first.same") != F.col("same")) | (F.col("_next") != F.col("same")) | ((F.col("salt") >= 0) & F.col("_next").isNull())).drop("_next")
-    held = written(met, "held")  # the entries of shared keys, with the smallest set under the key
-    release(nodes.sparkSession)  # the shuffle of all entries
+    spark = nodes.sparkSession
+    held_path, named_path = new_path(spark, "held"), None
+    held = written(met, "held", held_path)  # the entries of shared keys, with the smallest set under the key
+    release(spark)  # the shuffle of all entries
     firsts = held.where("salt >= 0 and first.same = same").select("key", "same", "size").distinct()  # ``salts`` a hot key
     low = firsts.groupBy("key").agg(F.min(F.struct("same", "size")).alias("first"))
 
@@ -512,32 +516,41 @@ def similar_links(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], hot:
         return F.least(at(x), at(y)) + F.least(n(x) - at(x), n(y) - at(y)) >= F.ceil((n(x) + n(y)) * F.lit(least / (1 + least)) - F.lit(_TINY))
 
     def alike_of(some: DataFrame) -> DataFrame:
-        return checkpointed(alike(some, sets(some.select(F.explode(F.array("a", "b")).alias("same")).distinct()), least))
+        good = checkpointed(alike(some, sets(some.select(F.explode(F.array("a", "b")).alias("same")).distinct()), least))
+        release(spark)  # the shuffles of whole sets
+        return good
 
-    def named(entries: DataFrame, links: DataFrame) -> DataFrame:
+    def named(entries: DataFrame, links: DataFrame, path: str) -> DataFrame:
         joined = components(links).withColumnRenamed("node", "same")
-        return written(entries.join(joined, "same", "left").withColumn("component", F.coalesce("component", "same")), "named")
+        return written(entries.join(joined, "same", "left").withColumn("component", F.coalesce("component", "same")), "named", path)
 
     marks = nodes.select("same", "n", "mark", "wide").dropDuplicates(["same"])
     stars = held.select("same", "size", "first").unionByName(firsts.join(F.broadcast(low), "key").select("same", "size", "first"))
     stars = stars.where((F.col("same") != F.col("first.same")) & possible(F.col("size"), F.col("first.size")))
     stars = stars.select(F.greatest("same", "first.same").alias("a"), F.least("same", "first.same").alias("b")).distinct()
-    stars = checkpointed(possible_by_marks(checkpointed(stars), marks, least))
+    stars = checkpointed(stars)
+    release(spark)
+    stars = checkpointed(possible_by_marks(stars, marks, least))
+    release(spark)  # the shuffles of marks
     linked = alike_of(stars)
     rejected = stars.join(linked, ["a", "b"], "left_anti")
     entries = held.select("key", "same", "size").distinct()
     tries, entries, grown = 1, entries.withColumn("component", F.col("same")), True
     while True:
         if grown:
-            entries = named(entries.drop("component"), linked)
-        release(nodes.sparkSession)
+            before, named_path = named_path or held_path, new_path(spark, "named")
+            entries = named(entries.drop("component"), linked, named_path)
+            discard(spark, before)  # what the entries were read from until now
+        release(spark)
         found = checkpointed(group_pairs(entries, marks.drop("n"), rejected, least, tries))
+        release(spark)  # the shuffle of marks and rejected pairs
         pairs = found.select("a", "b").distinct()
         good = alike_of(pairs)
         bad = checkpointed(pairs.join(good, ["a", "b"], "left_anti"))
         if grown := bool(good.take(1)):
             linked = linked.unionAll(good)
         if not bad.take(1):
+            discard(spark, named_path)
             return linked
         tries, rejected = TRIES, rejected.unionAll(bad)
         entries = entries.join(found.join(bad, ["a", "b"]).select("key").distinct(), "key", "left_semi")
@@ -553,7 +566,9 @@ def keep_first(docs: DataFrame, words: int = 5, radius: int = 3, least: float =
     n = docs.count()
     often = frequent(docs, n, words, id_col, text_col)
     hot = often[0][often[1] >= HOT_COUNT].view(np.int64)
-    seen = written(describe(docs, words, least, often, id_col, text_col).where(F.col(id_col).isNotNull()).withColumnRenamed(id_col, "node"), "described")
+    spark = docs.sparkSession
+    path = new_path(spark, "described")
+    seen = written(describe(docs, words, least, often, id_col, text_col).where(F.col(id_col).isNotNull()).withColumnRenamed(id_col, "node"), "described", path)
     by_set, by_fp = (seen.groupBy(k).agg(F.min("node").alias("first"), F.count("*").alias("_rows")) for k in ("same", "fp"))
     joined = [with_hot(seen.select("node", k), first, k, n).where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")) for k, first in (("same", by_set), ("fp", by_fp))]
     near = links(by_fp.select(F.col("first").alias("node"), "fp"), radius)
@@ -566,6 +581,7 @@ def keep_first(docs: DataFrame, words: int = 5, radius: int = 3, least: float =
     one, two = (by_set.select(F.col("same").alias(k), F.col("first").alias(v)) for k, v in (("a", "x"), ("b", "y")))
     similar = pairs.join(one, "a").join(two, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     found = components(joined[0].unionAll(joined[1]).unionAll(near).unionAll(similar))
+    discard(spark, path)  # the groups are checkpointed
     drop = found.where("node <> component").select(F.col("node").alias(id_col)).distinct()
     kept = docs.join(drop, id_col, "left_anti")
     alone = F.when(F.col(id_col).isNull(), F.xxhash64(text_col))  # rows without an id need no common task

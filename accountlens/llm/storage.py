@@ -30,13 +30,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The same rows, from Parquet files in the shared folder."""
-    path = new_path(df.sparkSession, name)
+def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """The same rows, from Parquet files in the shared folder: at a new path, or the given one if the caller is to discard them."""
+    path = path or new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Removes a table that new_path() named and that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner remove shuffle files that no table refers to any more: it does so as the driver's JVM collects garbage."""
+    """Lets Spark's cleaner remove shuffle files and checkpoints that no table refers to any more: it does so as the driver's JVM collects garbage."""
     spark.sparkContext._jvm.System.gc()
