@@ -344,14 +344,13 @@ def describe(docs: DataFrame, words: int, least: float, shingles: tuple[np.ndarr
 
 
 def shingle_sets(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(same, shingles): the set of shingles of each of an id's different texts, its hashes ascending in 8 bytes each."""
+    """(same, shingles): the different sets of shingles of the texts, hashes ascending in 8 bytes each. No text is dealt."""
 
     def run(texts: list) -> list:
         sets = [np.unique(shingle_hashes(t, words)) for t in texts]
         return [np.array([set_hash(s) for s in sets], np.uint64).view(np.int64), [s.tobytes() for s in sets]]
 
-    once = docs.select(id_col, text_col, F.xxhash64(text_col).alias("_hash")).dropDuplicates([id_col, "_hash"])
-    return map_texts(once, id_col, text_col, run, "same long, shingles binary").select("same", "shingles")
+    return map_texts(docs, id_col, text_col, run, "same long, shingles binary").select("same", "shingles").dropDuplicates(["same"])
 
 
 def alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
