@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,4 +47,7 @@ def discard(spark: SparkSession, path: str) -> None:
 
 def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner remove shuffle files and checkpoints that no table refers to any more: it does so as the driver's JVM collects garbage."""
-    spark.sparkContext._jvm.System.gc()
+    gc.collect()  # tables that Python's own cycles hold
+    for _ in range(2):  # what the first pass lets go of may hold further tables
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)  # the cleaner works beside it
