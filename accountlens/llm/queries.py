@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, media, mixing, quality, simhash, token_counts, token_store, topk
+from . import alignment, bpe, chat, langid, media, mixing, quality, simhash, token_counts, token_store, topk
 from .storage import new_path
 
 
@@ -116,6 +116,11 @@ def op10_chat_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("conv_id", "turn", "part", held_out.alias("held_out"), "role", "n_lines", F.sha2("rendered", 256).alias("rendered_sha256"), "copies")
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of tokens of two tokenizers in every document, and how often their tokens stand for each other."""
+    return alignment.alignment(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_cnn": op1_quality_cnn,
     "op2_pfair_mix": op2_pfair_mix,
@@ -127,6 +132,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_media": op8_media,
     "op9_simhash": op9_simhash,
     "op10_chat_hmm": op10_chat_hmm,
+    "op11_alignment": op11_alignment,
 }
 
 ORACLE_SQL: dict[str, str] = {"op2_pfair_mix": OP2_SQL, "op6_maxscore": OP6_SQL}
