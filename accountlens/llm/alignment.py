@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .batches import bounded, parts
+from .batches import bounded
 from .bpe import ByteLevelBPE, PieceEncoder, gathered, json_classes, ragged
 from .storage import discard, new_path, written
 
@@ -39,8 +39,10 @@ from .storage import discard, new_path, written
 CHUNK, FAN = 1 << 16, 256
 #: Pairs of documents in a block, and links of a group from which its equal tokens are counted before they are paired.
 BLOCK_PAIRS, LARGE = 1 << 20, 1 << 12
-#: A pair's code is a * RADIX + b.
-RADIX = 1 << 16
+#: A pair's code is a * RADIX + b; tables hold it less CODE_BASE, in four bytes.
+RADIX, CODE_BASE = 1 << 16, 1 << 31
+#: Bytes of texts whose tokens are held at a time, rows of a batch of results, pieces in the cache of the second tokenizer, and bytes of a part of a written file.
+HELD_BYTES, RESULT_ROWS, PIECES, FILE_PART = 1 << 18, 128, 250_000, 16 << 20
 
 
 class SentencePieces(PieceEncoder):
@@ -58,6 +60,11 @@ class SentencePieces(PieceEncoder):
         self.sizes = np.array([*map(len, self.spelled), 0], np.int64)
         self._clear()
 
+    def number(self, data: bytes, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+        if self.known > PIECES:
+            self._clear()
+        return super().number(data, starts, lens)
+
     def _add(self, raw: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> None:
         data, ends = raw[ragged(starts, lens)].tobytes(), np.cumsum(lens).tolist()
         pieces = [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
@@ -251,7 +258,7 @@ def ends_of(ids: list[np.ndarray], sizes: np.ndarray, starts: np.ndarray) -> np.
 
 def spans(texts: list[bytes], worker: Aligner) -> Iterator[tuple[list[int], Tokens, np.ndarray]]:
     """For groups of texts the numbers of those that tokens spell, their tokens one text after the other, and where each text ends."""
-    for group in gathered(texts):
+    for group in gathered(texts, HELD_BYTES):
         numbers, some = [k for k, _ in group], [x for _, x in group]
         a, b = list(worker.one.encode(some)), list(worker.two.encode(some))
         good = [i for i, (x, y) in enumerate(zip(some, b, strict=True)) if len(x) and not (y == worker.two.unfit).any()]
@@ -297,8 +304,8 @@ def range_fragment(a: bytes, a_at: int, b: bytes, b_at: int, worker: Aligner) ->
 _OPEN = "_a array<long>, _a_ends array<long>, _b array<long>, _b_ends array<long>"
 _GROUPS = "n_groups long, n_a long, n_b long, n_links long, written binary, codes array<long>, times array<long>"
 _FRAGMENT = ", ".join(["row long", "k int", "_key {key}", "fits boolean", "joined boolean", _OPEN.replace("_", "p_", 1).replace(" _", " p_"), _GROUPS, _OPEN.replace("_", "s_", 1).replace(" _", " s_")])
-_ALIGNED = "_key {key}, n_groups long, n_a long, n_b long, n_links long, groups_sha256 string, block long, codes array<long>, times array<long>"
-_KINDS = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
+_ALIGNED = "_key {key}, n_groups long, n_a long, n_b long, n_links long, groups_sha256 string, block long, codes array<int>, times array<long>"
+_KINDS = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64())}
 
 
 def _schema(ddl: str, key: pa.DataType) -> pa.Schema:
@@ -363,13 +370,13 @@ def aligned(docs: DataFrame, one: str, two: str, id_col: str = "doc_id", text_co
 
     def rows(keys: list, found: list[Closed], block: int) -> pa.RecordBatch:
         digest = [hashlib.sha256(x.written[:-1]).hexdigest() if x.n_groups else "" for x in found]
-        columns = [keys, *([x[i] for x in found] for i in range(4)), digest, [block] * len(keys), [x.codes for x in found], [x.times for x in found]]
+        columns = [keys, *([x[i] for x in found] for i in range(4)), digest, [block] * len(keys), [(x.codes - CODE_BASE).astype(np.int32) for x in found], [x.times for x in found]]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, shape.types, strict=True)], schema=shape)
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker, block, held = aligner(one, two, classes), TaskContext.get().partitionId() << 32, 0
         for batch in batches:
-            for part in parts(batch):
+            for part in (batch.slice(i, RESULT_ROWS) for i in range(0, batch.num_rows, RESULT_ROWS)):
                 found = align_texts(part.column(1).cast(pa.binary()).to_pylist(), worker)
                 yield rows(part.column(0).to_pylist(), found, block)
                 held += sum(len(x.codes) for x in found)
@@ -400,13 +407,13 @@ def block_pairs(rows: DataFrame) -> DataFrame:
                 found, n = np.unique(flat[owner == b], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), b)), pa.array(found), pa.array(n.astype(np.int64))], ["block", "code", "n"])
 
-    return rows.select("block", "codes").mapInArrow(run, "block long, code long, n long").groupBy("block", "code").agg(F.sum("n").alias("n"))
+    return rows.select("block", "codes").mapInArrow(run, "block long, code int, n long").groupBy("block", "code").agg(F.sum("n").alias("n"))
 
 
 def pair_counts(per_block: DataFrame) -> DataFrame:
     """(code, count, best): documents that hold a pair linked, and whether that is the most of the pairs of its first id."""
     counts = per_block.groupBy("code").agg(F.sum("n").alias("count"))
-    first = F.floor(F.col("code") / RADIX)
+    first = F.floor((F.col("code").cast("long") + CODE_BASE) / RADIX)
     return counts.withColumn("best", F.col("count") == F.max("count").over(Window.partitionBy(first)))
 
 
@@ -414,8 +421,8 @@ def alignment(docs: DataFrame, one: str, two: str, id_col: str = "doc_id", text_
     """(id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) of every row."""
     spark = docs.sparkSession
     paths = [new_path(spark, name) for name in ("aligned", "block-pairs")]
-    rows = written(aligned(docs, one, two, id_col, text_col), "aligned", paths[0])
-    per_block = written(block_pairs(rows), "block-pairs", paths[1])
+    rows = written(aligned(docs, one, two, id_col, text_col), "aligned", paths[0], FILE_PART)
+    per_block = written(block_pairs(rows), "block-pairs", paths[1], FILE_PART)
     facts = per_block.join(pair_counts(per_block), "code").select("block", "code", "count", "best")
     kind = rows.schema["_key"].dataType.simpleString()
 

@@ -32,10 +32,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
-    """The same rows, from Parquet files in the shared folder: at a new path, or the given one if the caller is to discard them."""
+def written(df: DataFrame, name: str, path: str | None = None, part_bytes: int | None = None) -> DataFrame:
+    """The same rows, from Parquet files in the shared folder: at a new path, or the given one if the caller is to discard them. part_bytes: what a task holds of a file before it writes it."""
     path = path or new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    writer = df.write.option("parquet.block.size", part_bytes) if part_bytes else df.write
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
