@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, bpe, chat, langid, media, mixing, quality, simhash, token_counts, token_store, topk
+from . import alignment, bpe, chat, htmltext, langid, media, mixing, quality, simhash, spelling, token_counts, token_store, topk
 from .storage import new_path
 
 
@@ -121,6 +121,16 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.alignment(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words one edit apart in all documents, and the frequent form that each stands for."""
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page, without what its site repeats."""
+    return htmltext.main_text(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_cnn": op1_quality_cnn,
     "op2_pfair_mix": op2_pfair_mix,
@@ -133,6 +143,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash": op9_simhash,
     "op10_chat_hmm": op10_chat_hmm,
     "op11_alignment": op11_alignment,
+    "op12_spelling": op12_spelling,
+    "op13_html": op13_html,
 }
 
 ORACLE_SQL: dict[str, str] = {"op2_pfair_mix": OP2_SQL, "op6_maxscore": OP6_SQL}
