@@ -157,9 +157,10 @@ def novelty_quote(quote: Column) -> Column:
 
 
 def source_key(url: Column, document_id: Column) -> Column:
-    """Host and path without the query, else the document."""
-    h = F.lower(url_part(url, "HOST"))
-    return F.coalesce(F.concat(h, F.rtrim(F.coalesce(url_part(url, "PATH"), F.lit("")), F.lit("/"))), document_id.cast("string"))
+    """Host and path of the address in lower case, without www., query and final slash, else the document."""
+    address = F.lower(F.trim(url))
+    host = F.regexp_replace(url_part(address, "AUTHORITY"), r"^www\.", "")
+    return F.coalesce(F.concat(host, F.rtrim(F.coalesce(url_part(address, "PATH"), F.lit("")), F.lit("/"))), document_id.cast("string"))
 
 
 def numbers(text: Column) -> Column:

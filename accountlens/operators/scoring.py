@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import casefold, source_key
-from .verify import candidate_pairs, cluster_leads, similar_pairs, single_linkage
+from .clusters import event_clusters
+from .verify import cluster_leads
 
 KEYS = ["company_id", "service_id"]
 
@@ -124,8 +125,7 @@ def corroborated(values: DataFrame) -> DataFrame:
     date = evidence_date(F.col("event_date"), F.col("published_at") if "published_at" in values.columns else F.lit(None))
     summary = F.col("summary") if "summary" in values.columns else F.lit(None).cast("string")
     s = values.select(*keys, "signal_id", "value", "confidence", "quote", date.alias("date"), summary.alias("summary"), document.alias("document_id"), source.alias("source_key"))
-    pairs = similar_pairs(candidate_pairs(s, keys))
-    return cluster_leads(single_linkage(s, pairs, keys), keys).select(*keys, F.col("lead").alias("signal_id"), "value")
+    return cluster_leads(event_clusters(s, keys), keys).select(*keys, F.col("lead").alias("signal_id"), "value")
 
 
 def question_strength(values: DataFrame, p: Profile = Profile()) -> DataFrame:

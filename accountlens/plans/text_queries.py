@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import clusters as C
 from ..operators import dedup as D
 from ..operators import retrieval as R
 from ..operators import verify as V
@@ -89,7 +90,7 @@ def evidence_keys(spark, d):
     return signals(spark, d).select("signal_id", T.evidence_key(F.concat(F.lit("q"), F.col("question_id").cast("string")), F.col("quote"), F.lit(None).cast("string")).alias("evidence_key"))
 
 
-@query("c15_source_key", "select page_id, lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)) || rtrim(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/') as source_key from pages")
+@query("c15_source_key", "select page_id, regexp_replace(regexp_extract(lower(url), '^[a-z]+://([^/?#]*)', 1), '^www[.]', '') || rtrim(regexp_extract(lower(url), '^[a-z]+://[^/?#]*([^?#]*)', 1), '/') as source_key from pages")
 def source_key(spark, d):
     return pages(spark, d).select("page_id", T.source_key(F.col("url"), F.col("page_id")).alias("source_key"))
 
@@ -386,11 +387,11 @@ def final_answers(spark, d):
     return V.final_answer(answers, t.where("doc_id % 3 = 0"), ["doc_id"]).select("doc_id", "answer", "reason")
 
 
-def clustered(spark, d):
-    keys = ["company_id", "service_id", "question_id"]
-    s = signals(spark, d).where("status = 'active'").withColumn("date", F.col("event_date")).withColumn("summary", F.lit(None).cast("string"))
-    pairs = V.candidate_pairs(s, keys)
-    return keys, s, pairs
+EVENT_KEYS = ["company_id", "service_id", "question_id"]
+
+
+def dated(spark, d):
+    return signals(spark, d).where("status = 'active'").withColumn("date", F.col("event_date")).withColumn("summary", F.lit(None).cast("string"))
 
 
 PAIRS = "+ s as (select * from signal where status = 'active'), p as (select a.company_id, a.service_id, a.question_id, a.signal_id as a, b.signal_id as b from s a join s b using (company_id, service_id, question_id) where a.signal_id < b.signal_id and (a.event_date is null or b.event_date is null or abs(a.event_date - b.event_date) <= 14) and a.quote[7:] [:3] is not null and regexp_extract(a.quote, '[0-9]+') = regexp_extract(b.quote, '[0-9]+'))\n"
@@ -398,12 +399,22 @@ PAIRS = "+ s as (select * from signal where status = 'active'), p as (select a.c
 
 @query("k01_k02_candidate_pairs", PAIRS + "select a, b from p", ("signal",))
 def candidate_pairs(spark, d):
-    _, _, pairs = clustered(spark, d)
+    pairs = V.candidate_pairs(dated(spark, d), EVENT_KEYS)
     return pairs.select(F.least("a_signal_id", "b_signal_id").alias("a"), F.greatest("a_signal_id", "b_signal_id").alias("b"))
 
 
-@query("k03_k06_clusters")
+CLUSTERS = """+ s as (select * from signal where status = 'active'),
+stepped as (select *, bool_or(event_date is null) over g as loose, lag(event_date) over (partition by company_id, service_id, question_id, quote order by event_date, signal_id) as before
+  from s window g as (partition by company_id, service_id, question_id, quote)),
+islands as (select *, case when loose then 0 else sum(case when event_date - before > 14 then 1 else 0 end) over (partition by company_id, service_id, question_id, quote order by event_date, signal_id rows unbounded preceding) end as island from stepped),
+named as (select *, min(signal_id) over (partition by company_id, service_id, question_id, quote, island) as cluster from islands),
+per_source as (select company_id, service_id, question_id, cluster, source_type, max(cast(confidence as double)) as c from named group by all),
+sure as (select company_id, service_id, question_id, cluster, case when count(*) > 1 then greatest(max(c), least(0.98, 1 - product(1 - c))) else max(c) end as confidence, count(*) as sources from per_source group by all),
+led as (select company_id, service_id, question_id, cluster, arg_max(signal_id, (cast(confidence as double), -signal_id)) as lead, count(*) as n from named group by all)
+select company_id, service_id, question_id, cluster, round(confidence, 6) as confidence, sources, lead, n from led join sure using (company_id, service_id, question_id, cluster)"""
+
+
+@query("k03_k06_clusters", CLUSTERS, ("signal",))
 def clusters(spark, d):
-    keys, s, pairs = clustered(spark, d)
-    members = V.single_linkage(s, V.similar_pairs(pairs), keys).withColumn("source_key", F.col("source_type")).withColumn("value", F.col("confidence"))
-    return V.cluster_leads(members, keys).select(*keys, "cluster", F.round("confidence", 6).alias("confidence"), "sources", "lead", "n")
+    members = C.event_clusters(dated(spark, d).drop("document_id"), EVENT_KEYS).withColumn("source_key", F.col("source_type")).withColumn("confidence", F.col("confidence").cast("double")).withColumn("value", F.col("confidence"))
+    return V.cluster_leads(members, EVENT_KEYS).select(*EVENT_KEYS, "cluster", F.round("confidence", 6).alias("confidence"), "sources", "lead", "n")

@@ -117,7 +117,7 @@ def test_clusters(spark):
     rows = [(1, "2024-01-01", "ACME cuts 400 jobs in Bonn this year", "a", 0.6), (2, "2024-01-05", "In Bonn ACME cuts 400 jobs this year", "b", 0.6), (3, "2024-03-05", "ACME cuts 400 jobs in Bonn this year", "c", 0.6), (4, None, "ACME cuts 400 jobs in Bonn, this year", "a", 0.5), (5, "2024-01-02", "ACME cuts 500 jobs in Bonn this year", "d", 0.9)]
     s = spark.createDataFrame([(1, *r, r[4]) for r in rows], "question_id int, signal_id int, date string, quote string, source_key string, confidence double, value double").withColumn("date", F.col("date").cast("date")).withColumn("summary", F.lit(None).cast("string"))
     keys = ["question_id"]
-    members = V.single_linkage(s, V.similar_pairs(V.candidate_pairs(s, keys)), keys)
+    members = V.single_linkage(s, V.similar_pairs(V.candidate_pairs(s, keys)))
     assert {r.signal_id: r.cluster for r in members.collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5}  # the undated one links both dates
     two = members.where("signal_id in (1, 2)")
     assert abs(V.cluster_confidence(two, keys).first().confidence - 0.84) < 1e-9
@@ -323,7 +323,7 @@ def test_rank_fusion_is_the_formula(spark):
 def test_same_quote_of_a_source_is_one_event(spark):
     rows = [(1, 1, "2024-01-01", "ACME opens", None, "d", "s"), (1, 2, "2024-06-01", "ACME opens", None, "d", "s"), (1, 3, "2024-01-01", "plant costs 4,000 jobs", "also 5.0 in all", "e", "t"), (1, 4, "2024-01-03", "plant costs 4000 jobs", "50 in all too", "f", "u"), (1, 5, "2024-01-03", "plant costs 400 jobs", None, "g", "v")]
     s = spark.createDataFrame(rows, "q int, signal_id int, date string, quote string, summary string, document_id string, source_key string").withColumn("date", F.col("date").cast("date"))
-    members = V.single_linkage(s, V.similar_pairs(V.candidate_pairs(s, ["q"])), ["q"])
+    members = V.single_linkage(s, V.similar_pairs(V.candidate_pairs(s, ["q"])))
     assert {r.signal_id: r.cluster for r in members.collect()} == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5}
 
 
