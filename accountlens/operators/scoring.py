@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import casefold, source_key
+from ..storage import checkpointed
 from .clusters import event_clusters
 from .verify import cluster_leads
 
@@ -297,6 +298,31 @@ def why_now(points: DataFrame, values: DataFrame, scores: DataFrame, least_risk:
     return kept.groupBy(*KEYS).agg(rows.alias("_rows")).select(*KEYS, F.transform("_rows", lambda r: F.concat_ws(":", r["question_key"], r["signal_id"].cast("string"))).alias("why_now"))
 
 
+def ranked_pairs(companies: DataFrame, services: DataFrame, sides: DataFrame, p: Profile, hits: DataFrame | None) -> DataFrame:
+    """Figures, tier and hits of every company and service, unrounded."""
+    failed = F.col("failed") if "failed" in companies.columns else F.array().cast("array<string>")
+    pairs = companies.select("company_id", "fit", failed.alias("_failed")).crossJoin(services.select("service_id").distinct())  # every service for each company: the result itself
+    both = pairs.join(sides, KEYS, "left").fillna(0.0, ["intent", "risk"])
+    return _ruled(both.withColumn("priority", priority(F.col("fit"), F.col("intent"), F.col("risk"), p)), hits, p)
+
+
+def _ruled(ranked: DataFrame, hits: DataFrame | None, p: Profile | None, levels: tuple[Column, Column] | None = None) -> DataFrame:
+    """Rules and failed must-haves over priorities, and the tiers that follow."""
+    if hits is None:
+        ruled = ranked.withColumn("disqualified", F.lit(False)).withColumn("hits", F.array().cast("array<string>"))
+    else:
+        ruled = apply_rules(ranked, hits).withColumn("hits", F.coalesce("hits", F.array().cast("array<string>")))
+    outside = F.size("_failed") > 0
+    icp = F.when(outside, F.array(F.concat(F.lit("Outside ICP: "), F.array_join("_failed", "; ")))).otherwise(F.array().cast("array<string>"))
+    shown = F.bround("priority", 1)
+    hot, warm = levels or (F.lit(p.hot), F.lit(p.warm))
+    level = F.when(F.col("disqualified"), "disqualified").when(shown >= hot, "hot").when(shown >= warm, "warm").otherwise("cold")
+    return ruled.withColumn("hits", F.concat("hits", icp)).withColumn("outside_icp", outside).withColumn("tier", level)
+
+
+FIGURES = ("fit", "intent", "risk", "priority")
+
+
 def score(companies: DataFrame, signals: DataFrame, questions: DataFrame, now: Column, p: Profile = Profile(), *, hits: DataFrame | None = None, services: DataFrame | None = None) -> DataFrame:
     """(company, service, fit, intent, risk, priority, disqualified, tier, hits, outside_icp) of every company and service, figures to one digit.
 
@@ -305,31 +331,70 @@ def score(companies: DataFrame, signals: DataFrame, questions: DataFrame, now: C
     that excludes disqualifies; a failed must-have is listed as a hit.
     """
     points = question_points(question_strength(corroborated(valued(scorable(signals, p), now, p)), p), questions, p)
-    services = signals.select("service_id").distinct() if services is None else services.select("service_id").distinct()
-    failed = F.col("failed") if "failed" in companies.columns else F.array().cast("array<string>")
-    pairs = companies.select("company_id", "fit", failed.alias("_failed")).crossJoin(services)  # every service for each company: the result itself
-    both = pairs.join(intent_risk(points, p), KEYS, "left").fillna(0.0, ["intent", "risk"])
-    ranked = both.withColumn("priority", priority(F.col("fit"), F.col("intent"), F.col("risk"), p))
-    if hits is None:
-        ruled = ranked.withColumn("disqualified", F.lit(False)).withColumn("hits", F.array().cast("array<string>"))
-    else:
-        ruled = apply_rules(ranked, hits).withColumn("hits", F.coalesce("hits", F.array().cast("array<string>")))
-    outside = F.size("_failed") > 0
-    icp = F.when(outside, F.array(F.concat(F.lit("Outside ICP: "), F.array_join("_failed", "; ")))).otherwise(F.array().cast("array<string>"))
-    out = ruled.withColumn("hits", F.concat("hits", icp)).withColumn("outside_icp", outside).withColumn("tier", tier(F.col("priority"), F.col("disqualified"), p))
-    return out.select(*KEYS, *[F.bround(c, 1).alias(c) for c in ("fit", "intent", "risk", "priority")], "disqualified", "tier", "hits", "outside_icp")
+    out = ranked_pairs(companies, signals if services is None else services, intent_risk(points, p), p, hits)
+    return out.select(*KEYS, *[F.bround(c, 1).alias(c) for c in FIGURES], "disqualified", "tier", "hits", "outside_icp")
+
+
+def with_derived(signals: DataFrame, companies: DataFrame, questions: DataFrame, now: Column) -> DataFrame:
+    """Stored signals, with those that follow from today's master data in place of the derived ones stored before. Numeric ids stay numeric."""
+    fresh = derived_signals(companies, questions, now)
+    if signals.schema["signal_id"].dataType.typeName() != "string":
+        fresh = fresh.withColumn("signal_id", F.conv(F.substring("signal_id", 1, 15), 16, 10).cast(signals.schema["signal_id"].dataType))
+    stored = signals if "source_name" in signals.columns else signals.withColumn("source_name", F.lit(None).cast("string"))
+    return refresh_derived(stored, fresh)
+
 
+def score_rows(companies: DataFrame, signals: DataFrame, questions: DataFrame, now: Column, p: Profile = Profile(), *, hits: DataFrame | None = None, services: DataFrame | None = None) -> DataFrame:
+    """G23, whole rows: score() over stored and derived signals, with breakdown (G11), why_now (G22), reasons and data_gaps of the fit.
 
-def what_if(companies: DataFrame, signals: DataFrame, questions: DataFrame, now: Column, variants: dict[str, dict], p: Profile = Profile()) -> DataFrame:
-    """Scores under several profiles at once; only weights, taus and penalties differ, so evidence is valued once."""
-    strengths = question_strength(corroborated(valued(scorable(signals, p), now, p)), p)
+    companies: from fit(), with country_code, industry_ids, employees and revenue_eur;
+    questions: with service_id and category, which derived signals go by. The clusters
+    are found once and read for the strengths and for the reasons.
+    """
+    values = checkpointed(corroborated(valued(scorable(with_derived(signals, companies, questions, now), p), now, p)))
+    asked = questions.select("question_id", "question_key", "polarity", "weight", "is_active").distinct()
+    points = question_points(question_strength(values, p), asked, p)
+    sides = intent_risk(points, p)
+    out = ranked_pairs(companies, signals if services is None else services, sides, p, hits).join(breakdown(points), KEYS, "left").join(why_now(points, values, sides), KEYS, "left")
+    out = out.join(fit_reasons(companies).join(companies.select("company_id", "data_gaps"), "company_id"), "company_id")
+    nothing = F.array().cast("array<string>")
+    more = [F.coalesce("breakdown", F.array().cast(breakdown(points).schema["breakdown"].dataType)).alias("breakdown"), F.coalesce("why_now", nothing).alias("why_now"), "reasons", "data_gaps"]
+    return out.select(*KEYS, *[F.bround(c, 1).alias(c) for c in FIGURES], "disqualified", "tier", "hits", "outside_icp", *more)
+
+
+#: Parameters that change how a signal is valued or chosen; profiles that share them share their strengths.
+EVIDENCE = ("strengths", "reliability", "half_life_days", "min_confidence", "max_evidence", "undated_age_days")
+
+
+def what_if(companies: DataFrame, signals: DataFrame, questions: DataFrame, now: Column, variants: dict[str, dict], p: Profile = Profile(), *, hits: DataFrame | None = None, services: DataFrame | None = None) -> DataFrame:
+    """score() under several profiles at once, with profile.
+
+    Strengths are summed once for each polarity and weight of a company and service; the
+    profiles are rows of a table of parameters that meets these sums in one pass, so
+    more profiles are more rows, not more plans. Profiles that value evidence otherwise
+    have strengths of their own, one set for each different way.
+    """
+    profiles = {name: replace(p, **change) for name, change in variants.items()}
+    ways: dict = {}
+    for name, q in profiles.items():
+        ways.setdefault(repr([getattr(q, c) for c in EVIDENCE]), []).append(name)
+    kinds = sorted({w for q in profiles.values() for w in q.weights})
+    parts = [(polarity, w) for polarity in ("positive", "negative") for w in kinds]
+    active = F.broadcast(questions.where("is_active").select("question_id", "polarity", "weight").distinct())
+    pairs = companies.select("company_id", "fit", (F.col("failed") if "failed" in companies.columns else F.array().cast("array<string>")).alias("_failed")).crossJoin((signals if services is None else services).select("service_id").distinct())
     out = None
-    for name, change in variants.items():
-        q = replace(p, **change)
-        both = intent_risk(question_points(strengths, questions, q), q).join(companies.select("company_id", "fit"), "company_id")
-        one = both.withColumn("priority", priority(F.col("fit"), F.col("intent"), F.col("risk"), q)).withColumn("profile", F.lit(name))
-        one = one.withColumn("tier", tier(F.col("priority"), F.lit(False), q))
-        out = one if out is None else out.unionByName(one)
+    for names in ways.values():
+        one = profiles[names[0]]
+        strengths = question_strength(corroborated(valued(scorable(signals, one), now, one)), one).join(active, "question_id")
+        sums = strengths.groupBy(*KEYS).agg(*[F.sum(F.when((F.col("polarity") == polarity) & (F.col("weight") == w), F.col("s"))).alias(f"_{polarity}_{w}") for polarity, w in parts])
+        rows = F.array(*[F.struct(F.lit(n).alias("profile"), *[F.lit(float(profiles[n].weights.get(w, 0.0))).alias(f"_w_{w}") for w in kinds], *[F.lit(float(getattr(profiles[n], c))).alias(f"_{c}") for c in ("tau_intent", "tau_risk", "fit_exponent", "intent_exponent", "risk_penalty", "hot", "warm")]) for n in names])
+        both = pairs.join(sums, KEYS, "left").withColumn("_p", F.explode(rows)).select("*", "_p.*").drop("_p")
+        side = lambda polarity: sum((F.coalesce(F.col(f"_{polarity}_{w}"), F.lit(0.0)) * F.col(f"_w_{w}") for w in kinds), F.lit(0.0))
+        both = both.withColumn("intent", saturate(side("positive"), F.col("_tau_intent"))).withColumn("risk", saturate(side("negative"), F.col("_tau_risk")))
+        worth = 100 * F.pow(F.col("fit") / 100, F.col("_fit_exponent")) * F.pow(F.col("intent") / 100, F.col("_intent_exponent")) * (1 - F.col("_risk_penalty") * F.col("risk") / 100)
+        done = _ruled(both.withColumn("priority", worth), hits, None, (F.col("_hot"), F.col("_warm")))
+        done = done.select("profile", *KEYS, *[F.bround(c, 1).alias(c) for c in FIGURES], "disqualified", "tier", "hits", "outside_icp")
+        out = done if out is None else out.unionByName(done)
     return out
 
 

@@ -172,24 +172,63 @@ def ranking(spark, d):
     return G.ranking(scores(spark, d), companies(spark, d)).select("company_id", "service_id", "tier", "place")
 
 
-WHAT_IF = {"default": {}, "patient": {"tau_intent": 8.0}, "wary": {"risk_penalty": 0.9, "tau_risk": 1.0}}
-
-
-@query("a12_what_if", SCORED + """, v(profile, ti, tr, rp) as (values ('default', 5.0, 2.0, 0.5), ('patient', 8.0, 2.0, 0.5), ('wary', 5.0, 1.0, 0.9))
-select company_id, service_id, profile, round(100 * pow(fit / 100, 0.4) * pow(1 - exp(-pos / ti), 0.6) * (1 - rp * (1 - exp(-neg / tr))), 6) as priority from sums join fits using (company_id), v""", VIEWS)
+WHAT_IF = {"default": {}, "patient": {"tau_intent": 8.0}, "wary": {"risk_penalty": 0.9, "tau_risk": 1.0}, "level": {"weights": {"high": 1.0, "medium": 1.0, "low": 1.0}, "hot": 50.0}}
+MADE_HITS = "select company_id, service_id, case when employees > 60000 then 'large' else 'small' end as name, case when employees > 60000 then 'cap' else 'exclude' end as action, case when employees > 60000 then 10.0 end as cap_value from company, (select distinct service_id from signal) s where employees > 60000 or employees < 3000"
+
+
+@query("a12_what_if", SCORED + f""", hits as ({MADE_HITS}),
+v(profile, wh, wm, wl, ti, tr, rp, hot) as (values ('default', 3.0, 2.0, 1.0, 5.0, 2.0, 0.5, 65.0), ('patient', 3.0, 2.0, 1.0, 8.0, 2.0, 0.5, 65.0), ('wary', 3.0, 2.0, 1.0, 5.0, 1.0, 0.9, 65.0), ('level', 1.0, 1.0, 1.0, 5.0, 2.0, 0.5, 50.0)),
+each as (select profile, company_id, service_id, ti, tr, rp, hot, sum(case when polarity = 'positive' then s * case weight when 'high' then wh when 'medium' then wm else wl end else 0 end) as pos, sum(case when polarity = 'negative' then s * case weight when 'high' then wh when 'medium' then wm else wl end else 0 end) as neg from points, v group by all),
+every as (select v.profile, f.company_id, s.service_id, v.hot, fit, v.rp, coalesce(100 * (1 - exp(-pos / v.ti)), 0) as i, coalesce(100 * (1 - exp(-neg / v.tr)), 0) as r from v cross join fits f cross join (select distinct service_id from signal) s left join each e on e.profile = v.profile and e.company_id = f.company_id and e.service_id = s.service_id),
+worth as (select *, 100 * pow(fit / 100, 0.4) * pow(i / 100, 0.6) * (1 - rp * r / 100) as exact from every),
+held as (select w.*, h.name, coalesce(h.action = 'exclude', false) as out, case when coalesce(h.action = 'exclude', false) then 0.0 else least(exact, coalesce(h.cap_value, 100)) end as p from worth w left join hits h using (company_id, service_id))
+select profile, company_id, service_id, round_even(i, 1) as intent, round_even(r, 1) as risk, round_even(p, 1) as priority, out as disqualified, case when out then 'disqualified' when round_even(p, 1) >= hot then 'hot' when round_even(p, 1) >= 40 then 'warm' else 'cold' end as tier,
+  concat_ws(',', name, case when fit = 0 then 'Outside ICP: employees' end) as hits from held""", VIEWS)
 def what_if(spark, d):
-    return G.what_if(G.fit(companies(spark, d), ICP), signals(spark, d), view(spark, d, "question"), now(), WHAT_IF).select("company_id", "service_id", "profile", *r6("priority"))
+    c, s = G.fit(companies(spark, d), ICP), signals(spark, d)
+    hits = spark.sql(MADE_HITS.replace("from company", "from {c}").replace("from signal", "from {s}"), c=c, s=s).withColumn("cap_value", F.col("cap_value").cast("double"))
+    found = G.what_if(c, s, view(spark, d, "question"), now(), WHAT_IF, hits=hits)
+    return found.select("profile", "company_id", "service_id", "intent", "risk", "priority", "disqualified", "tier", F.array_join("hits", ",").alias("hits"))
 
 
 @query("g20_derived_signals", """select company_id, cast(s as bigint) as service_id, 'NIS2 annex II' as quote from company, range(2) t(s) where country_code = 'NA' and industry_id in ('machinery', 'automobile') and employees >= 50""", ("company",))
 def derived(spark, d):
-    c = companies(spark, d).withColumn("country_code", F.when(F.col("country_code") == "NA", "NL").otherwise(F.col("country_code"))).withColumn("revenue_eur", F.lit(None).cast("bigint"))
-    sector = F.when(F.col("industry_id") == "machinery", "manufacturing").when(F.col("industry_id") == "automobile", "automotive").otherwise(F.col("industry_id"))
-    c = c.withColumn("industry_ids", F.array(sector))
+    c = with_sectors(companies(spark, d))
     q = spark.range(2).select(F.col("id").alias("service_id"), F.lit(1).cast("bigint").alias("question_id"), F.lit(True).alias("is_active"), F.lit("positive").alias("polarity"), F.lit("compliance").alias("category"))
     return G.derived_signals(c, q, now()).select("company_id", "service_id", "quote")
 
 
+def with_sectors(c: DataFrame) -> DataFrame:
+    """Companies whose country and industries are named as the scopes of G20 name them."""
+    sector = F.when(F.col("industry_id") == "machinery", "manufacturing").when(F.col("industry_id") == "automobile", "automotive").otherwise(F.col("industry_id"))
+    return c.withColumn("country_code", F.when(F.col("country_code") == "NA", "NL").otherwise(F.col("country_code"))).withColumn("revenue_eur", F.lit(None).cast("bigint")).withColumn("industry_ids", F.array(sector))
+
+
+ROWS = SCORED.replace("+ valued as", """+ whole_signals as (select signal_id, company_id, service_id, question_id, strength, confidence, source_type, event_date, detected_at, status, quote, document_id from signal
+  union all select cast('0x' || substr(sha256(company_id || ':1:nis2'), 1, 15) as bigint), company_id, s, 1, 'weak', 0.8, 'derived', date '2024-01-31', null, 'active', 'NIS2 annex II', null
+  from company, range(2) t(s) where country_code = 'NA' and industry_id in ('machinery', 'automobile') and employees >= 50),
+valued as""").replace("from signal where", "from whole_signals where").replace("when 'news' then 0.8 else", "when 'news' then 0.8 when 'derived' then 0.7 else")
+
+
+@query("g23_score_rows", ROWS + """, best as (select company_id, service_id, question_id, arg_max(signal_id, (value, -signal_id)) as signal_id from clusters where value > 0 group by all),
+shown as (select p.company_id, p.service_id, question_key, polarity, signal_id, risk, row_number() over (partition by p.company_id, p.service_id, polarity order by round_even(points, 2) desc, p.question_id) as nth
+  from points p join best b using (company_id, service_id, question_id) join sides using (company_id, service_id) where round_even(points, 2) > 0),
+why as (select company_id, service_id, string_agg(question_key || ':' || signal_id, ',' order by polarity = 'negative', nth) as why_now from shown where (polarity = 'positive' and nth <= 3) or (polarity = 'negative' and nth = 1 and risk >= 20) group by all),
+broken as (select company_id, service_id, string_agg(question_key, ',' order by round_even(points, 2) desc, question_id) as breakdown, max(round_even(points, 2)) as top_points from points group by all)
+select company_id, service_id, round(intent, 6) as intent, round(priority, 6) as priority, tier, coalesce(breakdown, '') as breakdown, top_points, coalesce(why_now, '') as why_now, case when employees is null then 'employees' else '' end as data_gaps,
+  concat_ws('|', case when outside_icp then 'Outside ICP: employees' end, case when employees is null then 'Unknown: employees' end) as reasons
+from tiers left join broken using (company_id, service_id) left join why using (company_id, service_id) join (select company_id, employees from company) using (company_id)""", VIEWS)
+def score_rows(spark, d):
+    # The fit goes by the names of the table, the derived signals by those of G20.
+    fits = G.fit(companies(spark, d), ICP).select("company_id", "fit", "failed", "data_gaps")
+    asked = view(spark, d, "question").crossJoin(spark.range(2).select(F.col("id").alias("service_id"))).withColumn("category", F.when(F.col("question_id") <= 3, "compliance").otherwise("growth"))
+    found = G.score_rows(with_sectors(companies(spark, d)).join(fits, "company_id"), signals(spark, d), asked, now())
+    joined = lambda c, by=",": F.array_join(c, by).alias(c)
+    keys = F.array_join(F.transform("breakdown", lambda r: r["question_key"]), ",").alias("breakdown")
+    top = F.array_max(F.transform("breakdown", lambda r: r["points"])).alias("top_points")
+    return found.select("company_id", "service_id", *r6("intent", "priority"), "tier", keys, top, joined("why_now"), joined("data_gaps"), joined("reasons", "|"))
+
+
 # Leads ---------------------------------------------------------------------------------------------------------
 STATS = """select company_id, service_id, count(*) as n_signals, count(*) filter (where detected_at >= timestamp '2024-01-24') as n_new, max(coalesce(event_date, cast(detected_at as date))) as latest
 from signal join question using (question_id) where status = 'active' and is_active group by all"""

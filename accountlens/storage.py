@@ -19,6 +19,14 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The same rows, computed once and read from the shared folder."""
+    folder = shared_dir(df.sparkSession)
+    if df.sparkSession.sparkContext.getCheckpointDir() is None:
+        df.sparkSession.sparkContext.setCheckpointDir(folder)
+    return df.checkpoint()
+
+
 class Rounds:
     """Tables of a job that goes in rounds. keep() writes one; done() deletes all but those named."""
 
