@@ -9,7 +9,7 @@ bits, in which the same holds, again and again. Every shard builds a BK-tree, ch
 keyed by the Hamming distance to their parent, and a lookup follows only edges
 within the radius of its own distance. What a shard sends on is a spanning forest
 of its links, never its pairs. Components come from alternating large-star and
-small-star rounds, checkpointed.
+small-star rounds, each a table of its own.
 
 The trees stand where their shard's rows are: all trees together are as large as
 the corpus' fingerprints, so they are neither broadcast nor brought to the driver.
@@ -34,8 +34,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import Rounds
 from .batches import bounded, map_texts
-from .storage import checkpointed, discard, new_path, release, written
+from .storage import discard, new_path, shuffles_removed, written
 
 #: Fingerprints in a shard before it is dealt anew by further bands.
 SHARD = 2048
@@ -157,20 +158,21 @@ def shard_forest(values: list[int], radius: int) -> Iterator[tuple[int, int]]:
             yield i, r
 
 
-def links(nodes: DataFrame, radius: int = 3) -> DataFrame:
-    """(a, b) pairs of node ids, a > b, whose components are those of all pairs within the radius. nodes: (node, fp), fp distinct.
+def links(nodes: DataFrame, radius: int = 3, path: str | None = None) -> DataFrame:
+    """(a, b), written: pairs of node ids, a > b, whose components are those of all pairs within the radius. nodes: (node, fp), fp distinct.
 
     A shard is a mask of bits and their values. Shards of more than ``SHARD`` rows
     are dealt anew by bands of their free bits, all of them in one exchange a level,
     so that no task gets a crowded one.
     """
     masks, keyed, settled = _wider(0, radius), None, []
+    rounds = Rounds(nodes.sparkSession, "shards")
     at = nodes.select("node", "fp", F.explode(F.array(*(F.lit(_signed(m)) for m in masks))).alias("mask"))
     while True:
         keyed = at.withColumn("bits", F.col("fp").bitwiseAND(F.col("mask")))
         splits = {m: _wider(m, radius) for m in masks}
         open_masks = [_signed(m) for m, w in splits.items() if w != [m]]
-        crowded = checkpointed(keyed.groupBy("mask", "bits").count().where((F.col("count") > SHARD) & F.col("mask").isin(open_masks)).select("mask", "bits"))
+        crowded = rounds.keep(keyed.groupBy("mask", "bits").count().where((F.col("count") > SHARD) & F.col("mask").isin(open_masks)).select("mask", "bits"), f"crowded-{len(settled)}")
         if not crowded.take(1):
             settled.append(keyed)
             break
@@ -205,7 +207,9 @@ def links(nodes: DataFrame, radius: int = 3) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["a", "b"])
 
     dealt = reduce(DataFrame.unionByName, settled).repartition("mask", "bits").sortWithinPartitions("mask", "bits", "node")
-    return dealt.select("mask", "bits", "node", "fp").mapInArrow(run, "a long, b long").distinct()
+    out = written(dealt.select("mask", "bits", "node", "fp").mapInArrow(run, "a long, b long").distinct(), "links", path)
+    rounds.done()
+    return out
 
 
 def with_hot(rows: DataFrame, facts: DataFrame, key: str, n_rows: int) -> DataFrame:
@@ -220,28 +224,29 @@ def with_hot(rows: DataFrame, facts: DataFrame, key: str, n_rows: int) -> DataFr
     return rows.join(few, key).unionByName(rows.join(few.select(key), key, "left_anti").join(rest, key))
 
 
-def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """(node, component) for every node of the edges (a, b): the smallest node it is joined with.
+def components(edges: DataFrame, max_rounds: int = 64, path: str | None = None) -> DataFrame:
+    """(node, component), written, for every node of the edges (a, b): the smallest node it is joined with.
 
     Large-star joins a node's larger neighbours to its smallest one, small-star its
-    smaller neighbours; rounds alternate until nothing changes, and each is checkpointed.
+    smaller neighbours; rounds alternate until nothing changes. Each is a table, and the
+    one before goes when it stands.
     """
-    edges = checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    rounds = Rounds(edges.sparkSession, "rounds")
+    edges = rounds.keep(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "0")
 
     def summary(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long")), F.sum(F.col("b").cast("decimal(38,0)"))).first())
 
     before = summary(edges)
-    for _ in range(max_rounds if before[0] else 0):
+    for k in range(max_rounds if before[0] else 0):
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("_rows"))
         large = with_hot(both, least, "a", 2 * before[0]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        large = checkpointed(large)
+        large = rounds.keep(large, f"large-{k}")
         low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("_rows"))
         small = with_hot(large, low, "a", 2 * before[0]).select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(low.select("a", F.col("m").alias("b")))
-        edges = checkpointed(small.where("a <> b").distinct())
-        del both, least, large, low, small
-        release(edges.sparkSession)  # the shuffles and edges of the round before
+        edges = rounds.keep(small.where("a <> b").distinct(), f"small-{k}")
+        rounds.done(f"small-{k}")
         now = summary(edges)
         if now == before:
             break
@@ -249,16 +254,27 @@ def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     else:
         if before[0]:
             raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return edges.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node").unionAll(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    named = edges.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node").unionAll(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    out = written(named, "components", path)
+    rounds.done()
+    return out
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp, component) of every row; component is the smallest id reachable over links of at most ``radius`` bits."""
-    marked = checkpointed(fingerprints(docs, words, seed, id_col, text_col))
-    nodes = checkpointed(marked.groupBy("fp").agg(F.min(f"`{id_col}`").alias("node"), F.count("*").alias("_rows")))
-    joined = components(links(nodes.where("node is not null").select("node", "fp"), radius))
-    named = checkpointed(nodes.join(joined, "node", "left").select("fp", F.coalesce("component", "node").alias("component"), "_rows"))
-    return with_hot(marked, named, "fp", marked.count()).select(id_col, "fp", "component")
+    spark = docs.sparkSession
+    with shuffles_removed(spark):
+        rounds = Rounds(spark, "near")
+        marked = rounds.keep(fingerprints(docs, words, seed, id_col, text_col), "marked")
+        nodes = rounds.keep(marked.groupBy("fp").agg(F.min(f"`{id_col}`").alias("node"), F.count("*").alias("_rows")), "nodes")
+        paths = [new_path(spark, "links"), new_path(spark, "components")]
+        joined = components(links(nodes.where("node is not null").select("node", "fp"), radius, paths[0]), path=paths[1])
+        named = rounds.keep(nodes.join(joined, "node", "left").select("fp", F.coalesce("component", "node").alias("component"), "_rows"), "named")
+        out = written(with_hot(marked, named, "fp", marked.count()).select(id_col, "fp", "component"), "near")
+        rounds.done()
+        for path in paths:
+            discard(spark, path)
+    return out
 
 
 #: Documents whose shingles are counted for the order of shingles, the least count that matters there, and shingles with a count at most. All three
@@ -369,7 +385,7 @@ def alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return bounded(pairs.join(one, "a").join(two, "b")).select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def possible_by_marks(pairs: DataFrame, marks: DataFrame, least: float) -> DataFrame:
+def possible_by_marks(pairs: DataFrame, marks: DataFrame, least: float, rounds: Rounds) -> DataFrame:
     """The pairs (a, b) without those that differ in too many bits to be of that similarity. marks: (same, n, mark, wide).
 
     First by the marks of MARK bits, which tell small sets apart; what is left, by
@@ -394,7 +410,7 @@ def possible_by_marks(pairs: DataFrame, marks: DataFrame, least: float) -> DataF
         one, two = (marks.select(F.col("same").alias(k), F.col("n").alias(n), what.alias(v)) for k, n, v in (("a", "n", "x"), ("b", "m", "y")))
         return bounded(some.join(one, "a").join(two, "b")).select("a", "b", "n", "m", "x", "y").mapInArrow(check, "a long, b long")
 
-    left = checkpointed(meet(pairs, F.col("mark"), narrow))
+    left = rounds.keep(meet(pairs, F.col("mark"), narrow), "by-mark")
     return meet(left, F.when(F.octet_length("wide") > 0, F.col("wide")).otherwise(F.col("mark")), wide)
 
 
@@ -469,8 +485,8 @@ def group_pairs(entries: DataFrame, marks: DataFrame, rejected: DataFrame, least
     return dealt.mapInArrow(run, "key long, a long, b long")
 
 
-def similar_links(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], hot: np.ndarray, salts: int, least: float) -> DataFrame:
-    """(a, b) links whose components are those of all pairs of at least that similarity. nodes: (same, n, keys, mark, wide), equal sets may repeat; sets: (same, shingles) of sets (same).
+def similar_links(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], hot: np.ndarray, salts: int, least: float, path: str | None = None) -> DataFrame:
+    """(a, b), written: links whose components are those of all pairs of at least that similarity. nodes: (same, n, keys, mark, wide), equal sets may repeat; sets: (same, shingles) of sets (same).
 
     Two such sets share a key, since the keys are prefixes in one order, and each
     pair is decided by its shingles. First every set meets the smallest one under
@@ -500,7 +516,7 @@ def similar_links(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], hot:
     spark = nodes.sparkSession
     held_path, named_path = new_path(spark, "held"), None
     held = written(met, "held", held_path)  # the entries of shared keys, with the smallest set under the key
-    release(spark)  # the shuffle of all entries
+    rounds = Rounds(spark, "similar")
     firsts = held.where("salt >= 0 and first.same = same").select("key", "same", "size").distinct()  # ``salts`` a hot key
     low = firsts.groupBy("key").agg(F.min(F.struct("same", "size")).alias("first"))
 
@@ -514,73 +530,85 @@ def similar_links(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], hot:
         """Whether sets that share shingles at these places can have enough in common: before the places and from them on."""
         return F.least(at(x), at(y)) + F.least(n(x) - at(x), n(y) - at(y)) >= F.ceil((n(x) + n(y)) * F.lit(least / (1 + least)) - F.lit(_TINY))
 
-    def alike_of(some: DataFrame) -> DataFrame:
-        good = checkpointed(alike(some, sets(some.select(F.explode(F.array("a", "b")).alias("same")).distinct()), least))
-        release(spark)  # the shuffles of whole sets
-        return good
+    def alike_of(some: DataFrame, k: int) -> DataFrame:
+        return rounds.keep(alike(some, sets(some.select(F.explode(F.array("a", "b")).alias("same")).distinct()), least), f"good-{k}")
 
     def named(entries: DataFrame, links: DataFrame, path: str) -> DataFrame:
-        joined = components(links).withColumnRenamed("node", "same")
-        return written(entries.join(joined, "same", "left").withColumn("component", F.coalesce("component", "same")), "named", path)
+        at = new_path(spark, "components")
+        joined = components(links, path=at).withColumnRenamed("node", "same")
+        out = written(entries.join(joined, "same", "left").withColumn("component", F.coalesce("component", "same")), "named", path)
+        discard(spark, at)
+        return out
 
     marks = nodes.select("same", "n", "mark", "wide").dropDuplicates(["same"])
     stars = held.select("same", "size", "first").unionByName(firsts.join(F.broadcast(low), "key").select("same", "size", "first"))
     stars = stars.where((F.col("same") != F.col("first.same")) & possible(F.col("size"), F.col("first.size")))
     stars = stars.select(F.greatest("same", "first.same").alias("a"), F.least("same", "first.same").alias("b")).distinct()
-    stars = checkpointed(stars)
-    release(spark)
-    stars = checkpointed(possible_by_marks(stars, marks, least))
-    release(spark)  # the shuffles of marks
-    linked = alike_of(stars)
-    rejected = stars.join(linked, ["a", "b"], "left_anti")
+    stars = rounds.keep(stars, "stars")
+    stars = rounds.keep(possible_by_marks(stars, marks, least, rounds), "stars-left")
+    linked = alike_of(stars, 0)
+    rejected = rounds.keep(stars.join(linked, ["a", "b"], "left_anti"), "bad-0")
     entries = held.select("key", "same", "size").distinct()
-    tries, entries, grown = 1, entries.withColumn("component", F.col("same")), True
+    tries, entries, grown, k = 1, entries.withColumn("component", F.col("same")), True, 0
+    lasting = ["good-0", "bad-0"]
     while True:
+        k += 1
         if grown:
             before, named_path = named_path or held_path, new_path(spark, "named")
             entries = named(entries.drop("component"), linked, named_path)
             discard(spark, before)  # what the entries were read from until now
-        release(spark)
-        found = checkpointed(group_pairs(entries, marks.drop("n"), rejected, least, tries))
-        release(spark)  # the shuffle of marks and rejected pairs
-        pairs = found.select("a", "b").distinct()
-        good = alike_of(pairs)
-        bad = checkpointed(pairs.join(good, ["a", "b"], "left_anti"))
+            rounds.done(*lasting)
+        found = rounds.keep(group_pairs(entries, marks.drop("n"), rejected, least, tries), f"found-{k}")
+        pairs = rounds.keep(found.select("a", "b").distinct(), f"pairs-{k}")
+        good = alike_of(pairs, k)
+        bad = rounds.keep(pairs.join(good, ["a", "b"], "left_anti"), f"bad-{k}")
+        lasting += [f"good-{k}", f"bad-{k}"]
         if grown := bool(good.take(1)):
             linked = linked.unionAll(good)
         if not bad.take(1):
+            out = written(linked, "similar", path)
             discard(spark, named_path)
-            return linked
+            rounds.done()
+            return out
         tries, rejected = TRIES, rejected.unionAll(bad)
         entries = entries.join(found.join(bad, ["a", "b"]).select("key").distinct(), "key", "left_semi")
 
 
-def keep_first(docs: DataFrame, words: int = 5, radius: int = 3, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each group: that with the smallest id, or of rows that repeat it one. Rows without an id stay.
-
-    Groups are joined by fingerprints within the radius, and by a similarity of at
-    least ``least`` between the sets of shingles, which at 0.8 leaves ten bits between
-    fingerprints or more. Texts of sets that share a key are read twice.
-    """
+def _groups(docs: DataFrame, words: int, radius: int, least: float, id_col: str, text_col: str) -> DataFrame:
+    """(node, component), written, of the ids that are grouped with others."""
     n = docs.count()
     often = frequent(docs, n, words, id_col, text_col)
     hot = often[0][often[1] >= HOT_COUNT].view(np.int64)
     spark = docs.sparkSession
-    path = new_path(spark, "described")
-    seen = written(describe(docs, words, least, often, id_col, text_col).where(F.col(id_col).isNotNull()).withColumnRenamed(id_col, "node"), "described", path)
+    paths = [new_path(spark, x) for x in ("described", "links", "similar")]
+    seen = written(describe(docs, words, least, often, id_col, text_col).where(F.col(id_col).isNotNull()).withColumnRenamed(id_col, "node"), "described", paths[0])
     by_set, by_fp = (seen.groupBy(k).agg(F.min("node").alias("first"), F.count("*").alias("_rows")) for k in ("same", "fp"))
     joined = [with_hot(seen.select("node", k), first, k, n).where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")) for k, first in (("same", by_set), ("fp", by_fp))]
-    near = links(by_fp.select(F.col("first").alias("node"), "fp"), radius)
+    near = links(by_fp.select(F.col("first").alias("node"), "fp"), radius, paths[1])
 
     def sets(some: DataFrame) -> DataFrame:
         ids = by_set.join(some, "same").select(F.col("first").alias(id_col)).distinct()
         return shingle_sets(docs.join(ids, id_col, "left_semi"), words, id_col, text_col)
 
-    pairs = similar_links(seen.select("same", "n", "keys", "mark", "wide"), sets, hot, max(16, -(-n // PART_DOCS)), least)
+    pairs = similar_links(seen.select("same", "n", "keys", "mark", "wide"), sets, hot, max(16, -(-n // PART_DOCS)), least, paths[2])
     one, two = (by_set.select(F.col("same").alias(k), F.col("first").alias(v)) for k, v in (("a", "x"), ("b", "y")))
     similar = pairs.join(one, "a").join(two, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    found = components(joined[0].unionAll(joined[1]).unionAll(near).unionAll(similar))
-    discard(spark, path)  # the groups are checkpointed
+    out = components(joined[0].unionAll(joined[1]).unionAll(near).unionAll(similar))
+    for path in paths:
+        discard(spark, path)
+    return out
+
+
+def keep_first(docs: DataFrame, words: int = 5, radius: int = 3, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each group: that with the smallest id, or of rows that repeat it one. Rows without an id stay.
+
+    Groups are joined by fingerprints within the radius, and by a similarity of at
+    least ``least`` between the sets of shingles, which at 0.8 leaves ten bits between
+    fingerprints or more. Texts of sets that share a key are read twice.
+    """
+    spark = docs.sparkSession
+    with shuffles_removed(spark):
+        found = _groups(docs, words, radius, least, id_col, text_col)
     drop = found.where("node <> component").select(F.col("node").alias(id_col)).distinct()
     kept = docs.join(drop, id_col, "left_anti")
     alone = F.when(F.col(id_col).isNull(), F.xxhash64(text_col))  # rows without an id need no common task

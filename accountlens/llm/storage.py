@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,9 +46,13 @@ def discard(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner remove shuffle files and checkpoints that no table refers to any more: it does so as the driver's JVM collects garbage."""
-    gc.collect()  # tables that Python's own cycles hold
-    for _ in range(2):  # what the first pass lets go of may hold further tables
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)  # the cleaner works beside it
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Inside, Spark removes the shuffle files of a query as it ends, rather than when the driver happens to collect its garbage. The session's own setting comes back."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
