@@ -6,29 +6,42 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import Rounds
+
 
 def collection_dedup(docs: DataFrame, group: str = "company_id", order: str = "ord", url: str = "canonical_url", digest: str = "content_hash") -> DataFrame:
-    """In order, a row goes if its URL or hash has been kept. A row that went blocks none after it.
+    """In order, a row goes if its URL or hash has been kept. A row that went blocks none after it; of rows equal in all four one stays.
 
-    Rows whose URL and hash are both unique in their group stay without more ado; only
-    the others of a group, its repeats, are folded in order.
+    Rows are settled in rounds over tables: kept is a row before which no undecided one
+    has its URL or hash, and then those that share either with it go. A round looks for
+    the first of each URL and hash by partial aggregates, so neither a company nor a
+    repeated URL is held by a task; there are as many rounds as the longest chain of rows
+    that wait for each other. Whole rows are dealt once, at the end.
     """
-    alone = lambda c: F.col(c).isNull() | (F.count("*").over(Window.partitionBy(group, c)) == 1)
-    marked = docs.withColumn("_alone", alone(url) & alone(digest))
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        urls, digests, keep = set(), set(), []
-        rows = rows.sort_values(order, kind="stable")
-        for u, h in zip(rows[url], rows[digest], strict=True):
-            fresh = u not in urls and h not in digests
-            keep.append(fresh)
-            if fresh:
-                urls |= {u} - {None}
-                digests |= {h} - {None}
-        return rows[keep]
-
-    repeats = marked.where(~F.col("_alone")).drop("_alone")
-    return marked.where("_alone").drop("_alone").unionByName(repeats.groupBy(group).applyInPandas(fold, repeats.schema))
+    rounds = Rounds(docs.sparkSession, "dedup")
+    bare = docs.where(F.col(url).isNull() & F.col(digest).isNull())
+    some = docs.where(F.col(url).isNotNull() | F.col(digest).isNotNull())
+    rank = F.struct(F.col(order).isNull().alias("last"), F.col(order).alias("at"), F.col(url).alias("u"), F.col(digest).alias("h"))
+    open_ = rounds.keep(some.select(F.col(group).alias("g"), rank.alias("rank"), F.col(url).alias("u"), F.col(digest).alias("h")).distinct(), "open-0")
+    kept, n = None, 0
+    while kept is None or not open_.isEmpty():
+        n += 1
+        firsts = [open_.where(F.col(c).isNotNull()).groupBy("g", c).agg(F.min("rank").alias(f"first_{c}")) for c in ("u", "h")]
+        known = open_.where("g is not null").join(firsts[0], ["g", "u"], "left").join(firsts[1], ["g", "h"], "left")
+        first = F.lit(True)
+        for c in ("u", "h"):
+            first = first & (F.col(c).isNull() | F.col("rank").eqNullSafe(F.col(f"first_{c}")))
+        settled = rounds.keep(known.where(first).select("g", "rank", "u", "h"), f"kept-{n}")
+        left = open_
+        for c in ("u", "h"):
+            left = left.join(settled.select("g", c).where(F.col(c).isNotNull()), ["g", c], "left_anti")
+        open_ = rounds.keep(left, f"open-{n}")
+        kept = settled if kept is None else kept.unionByName(settled)
+        rounds.done(f"open-{n}", *(f"kept-{k}" for k in range(1, n + 1)))
+    names = {"g": group, "u": url, "h": digest}
+    same = [F.col(f"k.{a}").eqNullSafe(F.col(f"d.{b}")) for a, b in names.items()] + [F.col("k.rank.at").eqNullSafe(F.col(f"d.{order}"))]
+    whole = some.alias("d").join(kept.alias("k"), same, "left_semi").dropDuplicates([group, order, url, digest])
+    return whole.unionByName(bare)
 
 
 def without_chunks(docs: DataFrame, chunks: DataFrame) -> DataFrame:

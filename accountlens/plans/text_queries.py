@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import clusters as C
 from ..operators import dedup as D
+from ..operators import impact as I
 from ..operators import retrieval as R
 from ..operators import verify as V
 from ..sources import landing as S
@@ -123,7 +124,16 @@ def index_text(spark, d):
     return docs.select("doc_id", F.length(T.index_text(title, F.col("text"), F.col("source_type"))).cast("bigint").alias("n"))
 
 
-@query("d01_collection_dedup")
+FOLDED = """+ recursive_docs as (select doc_id, source_name as g, 'u' || doc_id % 700 as u, sha256(lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))) as h, row_number() over (partition by source_name order by doc_id) as n from document),
+fold(g, n, doc_id, keep, us, hs) as (
+  select g, n, doc_id, true, [u], [h] from recursive_docs where n = 1
+  union all
+  select d.g, d.n, d.doc_id, fresh, case when fresh then list_append(us, d.u) else us end, case when fresh then list_append(hs, d.h) else hs end
+  from (select d.*, us, hs, not (list_contains(us, d.u) or list_contains(hs, d.h)) as fresh from fold f join recursive_docs d on d.g is not distinct from f.g and d.n = f.n + 1) d)
+select doc_id from fold where keep"""
+
+
+@query("d01_collection_dedup", with_views(FOLDED, "document").replace("with ", "with recursive ", 1))
 def collection_dedup(spark, d):
     docs = view(spark, d, "document").select("doc_id", F.col("source_name").alias("company_id"), F.col("doc_id").alias("ord"), F.concat(F.lit("u"), (F.col("doc_id") % 700).cast("string")).alias("canonical_url"), T.content_hash(F.col("text")).alias("content_hash"))
     return D.collection_dedup(docs).select("doc_id")
@@ -171,9 +181,15 @@ def select_pages(spark, d):
     return W.select_pages(p, 12).select("company_id", "url", "nth")
 
 
-@query("s22_article_links")
+#: The table's links are rooted; here those of every page lie below it, as on a page that lists articles.
+BELOW = "with l as (select page_id % 50 as company_id, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) as path, unnest(regexp_extract_all(html, '<a href=\"/([^\"#]+)\">', 1)) as h from pages)"
+
+
+@query("s22_article_links", BELOW + " select company_id, count(*) as n from l where not regexp_matches(lower(path || '/' || h), '[?&/](page|seite|p)[=/][0-9]+') group by all")
 def article_links(spark, d):
-    return W.article_links(pages(spark, d)).groupBy("company_id").agg(F.count("*").alias("n"))
+    p = pages(spark, d)
+    below = p.withColumn("html", F.replace("html", F.lit('href="/'), F.concat(F.lit('href="'), F.rtrim(T.url_part(F.col("url"), "PATH"), F.lit("/")), F.lit("/"))))
+    return W.article_links(below).groupBy("company_id").agg(F.count("*").alias("n"))
 
 
 @query("s11_careers_links")
@@ -181,10 +197,13 @@ def careers_links(spark, d):
     return W.careers_links(pages(spark, d).withColumn("html", F.regexp_replace("html", 'href="/', 'href="/jobs/')), least=3).select("company_id", "canonical_url", "title", "headline_only")
 
 
-@query("s25_detect_ats")
+@query("s25_detect_ats", """select page_id % 50 as company_id, url, case page_id % 4 when 0 then 'greenhouse' when 1 then 'workday' else 'lever' end as ats, 'acme' || page_id % 9 as token,
+  case page_id % 4 when 1 then 'acme' || page_id % 9 || '.wd3.myworkdayjobs.com' when 2 then 'jobs.eu.lever.co' end as host, case page_id % 4 when 1 then 'careers' end as site from pages where page_id % 4 <> 3""")
 def detect_ats(spark, d):
-    marked = pages(spark, d).withColumn("html", F.when(F.col("page_id") % 4 == 0, F.concat("html", F.lit('<iframe src="https://boards.greenhouse.io/embed/job_board?for=acme">'))).otherwise(F.col("html")))
-    return W.detect_ats(marked)
+    token = F.concat(F.lit("acme"), (F.col("page_id") % 9).cast("string"))
+    board = F.when(F.col("page_id") % 4 == 0, F.concat(F.lit('<iframe src="https://boards.greenhouse.io/embed/job_board?for='), token, F.lit('">')))
+    board = board.when(F.col("page_id") % 4 == 1, F.concat(F.lit('<a href="https://'), token, F.lit('.wd3.myworkdayjobs.com/en-us/careers">'))).when(F.col("page_id") % 4 == 2, F.concat(F.lit('<a href="https://jobs.eu.lever.co/'), token, F.lit('">')))
+    return W.detect_ats(pages(spark, d).withColumn("html", F.concat("html", F.coalesce(board, F.lit("")))))
 
 
 @query("s23_rank_report_links", """with l as (select c_custkey % 40 as company_id, 'https://x.example/' || case c_custkey % 4 when 0 then 'annual-report-' when 1 then 'privacy-report-' when 2 then 'bericht-' else 'files-' end || (2019 + c_custkey % 6) || '-' || c_custkey % 9 || '.pdf' as url from customer),
@@ -299,31 +318,59 @@ def cosine(spark, d):
     return cosines(spark, d).select("chunk_id", "question_id", *r6("cos"))
 
 
-FUSED = BM.rstrip() + f""", c as {COS}, s as (select coalesce(bm.question_id, c.question_id) as question_id, coalesce(bm.chunk_id, c.chunk_id) as chunk_id, bm25, cos from (select chunk_id, question_id, bm25 from bm) bm full join c on bm.chunk_id = c.chunk_id and bm.question_id = c.question_id),
-rk as (select *, row_number() over (partition by question_id order by round(bm25, 9) desc nulls last, chunk_id) as rb, row_number() over (partition by question_id order by round(cos, 9) desc nulls last, chunk_id) as rc from s),
-f as (select question_id, chunk_id, case when bm25 > 0 and rb <= 20 then 1.0 / (60 + rb) else 0 end + case when cos is not null and rc <= 20 then 1.0 / (60 + rc) else 0 end as rrf from rk where ((bm25 > 0 and rb <= 20) or (cos is not null and rc <= 20)) and (coalesce(bm25, 0) > 0 or cos >= 0.78))
+#: Companies of the demo: every fifth text and vector is one's. Counts and ranks are a company's own.
+COMPANIES = 5
+BMC = BM.replace("select source, doc_id as chunk_id", f"select doc_id % {COMPANIES} as company_id, doc_id as chunk_id").replace("source", "company_id")
+COSC = f"(select * from {COS} where true)".replace("select v.vec_id as chunk_id", f"select v.vec_id % {COMPANIES} as company_id, v.vec_id as chunk_id")
+FUSED = BMC.rstrip() + f""", c as {COSC}, s as (select coalesce(bm.company_id, c.company_id) as company_id, coalesce(bm.question_id, c.question_id) as question_id, coalesce(bm.chunk_id, c.chunk_id) as chunk_id, bm25, cos from bm full join c on bm.company_id = c.company_id and bm.chunk_id = c.chunk_id and bm.question_id = c.question_id),
+rk as (select *, row_number() over (partition by company_id, question_id order by round(bm25, 9) desc nulls last, chunk_id) as rb, row_number() over (partition by company_id, question_id order by round(cos, 9) desc nulls last, chunk_id) as rc from s),
+f as (select company_id, question_id, chunk_id, case when bm25 > 0 and rb <= 20 then 1.0 / (60 + rb) else 0 end + case when cos is not null and rc <= 20 then 1.0 / (60 + rc) else 0 end as rrf from rk where ((bm25 > 0 and rb <= 20) or (cos is not null and rc <= 20)) and (coalesce(bm25, 0) > 0 or cos >= 0.78))
 """
 
 
+def company_chunks(spark, d):
+    return documents(spark, d).select((F.col("doc_id") % COMPANIES).alias("company_id"), F.col("doc_id").alias("chunk_id"), "text")
+
+
+@query("r05_bm25_top", BMC + "select company_id, question_id, chunk_id, cast(row_number() over (partition by company_id, question_id order by round(bm25, 9) desc, chunk_id) as int) as rank, round(bm25, 6) as bm25 from bm qualify rank <= 20")
+def bm25_top(spark, d):
+    found = I.bm25_top(I.postings(company_chunks(spark, d), queries_of(spark, d), ["company_id"]), queries_of(spark, d), ["company_id"])
+    return found.select("company_id", "question_id", "chunk_id", "rank", *r6("bm25"))
+
+
+@query("r06_cosine_top", f"select company_id, question_id, chunk_id, cast(row_number() over (partition by company_id, question_id order by round(cos, 9) desc, chunk_id) as int) as rank, round(cos, 6) as cos from {COSC} qualify rank <= 20")
+def cosine_top(spark, d):
+    return best_cosines(spark, d).select("company_id", "question_id", "chunk_id", "rank", *r6("cos"))
+
+
+def best_cosines(spark, d):
+    e = spark.read.parquet(f"{d}/embeddings.parquet")
+    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("question_id"), "embedding")
+    return I.cosine_top(e.select((F.col("vec_id") % COMPANIES).alias("company_id"), F.col("vec_id").alias("chunk_id"), "embedding"), q, ["company_id"])
+
+
 def fused(spark, d):
-    return R.rank_fusion(bm(spark, d).select("chunk_id", "question_id", "bm25"), cosines(spark, d), [])
+    by, questions = ["company_id"], queries_of(spark, d)
+    index = I.postings(company_chunks(spark, d), questions, by)
+    return I.fused(I.bm25_top(index, questions, by), best_cosines(spark, d), index, questions, by)
 
 
-@query("r12_rank_fusion", FUSED + "select question_id, chunk_id, round(rrf, 6) as rrf from f")
+@query("r12_rank_fusion", FUSED + "select company_id, question_id, chunk_id, round(rrf, 6) as rrf from f")
 def rank_fusion(spark, d):
-    return fused(spark, d).select("question_id", "chunk_id", *r6("rrf"))
+    return fused(spark, d).select("company_id", "question_id", "chunk_id", *r6("rrf"))
 
 
-@query("r13_top_diverse", FUSED + ", a as (select *, chunk_id % 10 as doc_id, row_number() over (partition by question_id, chunk_id % 10 order by rrf desc, chunk_id) as dn from f) select question_id, chunk_id, cast(row_number() over (partition by question_id order by rrf desc, chunk_id) as int) as nth from a where dn <= 2 qualify nth <= 5")
+@query("r13_top_diverse", FUSED + ", a as (select *, chunk_id % 7 as doc_id, row_number() over (partition by company_id, question_id, chunk_id % 7 order by rrf desc, chunk_id) as dn from f) select company_id, question_id, chunk_id, cast(row_number() over (partition by company_id, question_id order by rrf desc, chunk_id) as int) as nth from a where dn <= 2 qualify nth <= 5")
 def top_diverse(spark, d):
-    return R.top_diverse(fused(spark, d).withColumn("doc_id", F.col("chunk_id") % 10), []).select("question_id", "chunk_id", "nth")
+    return R.top_diverse(fused(spark, d).withColumn("doc_id", F.col("chunk_id") % 7), ["company_id"]).select("company_id", "question_id", "chunk_id", "nth")
 
 
 @query("r14_r15_budget")
 def budget(spark, d):
-    chosen = R.top_diverse(fused(spark, d).withColumn("doc_id", F.col("chunk_id") % 10), []).withColumn("company_id", F.col("question_id") % 2).withColumn("weight", F.lit("high")).withColumn("tokens", F.lit(900))
-    kept = R.apply_budget(chosen, ["company_id"], most=15, tokens=9000)
-    return R.label_snippets(kept.withColumn("source_type", F.lit("news")).withColumn("doc_id", F.col("chunk_id") % 10).withColumn("char_start", F.lit(0)), ["company_id"]).select("company_id", "chunk_id", "guarded")
+    chosen = R.top_diverse(fused(spark, d).withColumn("doc_id", F.col("chunk_id") % 7), ["company_id"]).withColumn("weight", F.lit("high"))
+    tokens = documents(spark, d).select(F.col("doc_id").alias("chunk_id"), T.estimate_tokens(F.col("text")).cast("long").alias("tokens"))
+    kept = R.apply_budget(chosen.join(tokens, "chunk_id"), ["company_id"], most=15, tokens=9000)
+    return R.label_snippets(kept.withColumn("source_type", F.lit("news")).withColumn("doc_id", F.col("chunk_id") % 7).withColumn("char_start", F.lit(0)), ["company_id"]).select("company_id", "chunk_id", "guarded")
 
 
 @query("r11_d03_question_pool", """+ q(question_id, source_type, days, neg) as (values (1, 'news', 20, 'license'), (2, 'jobs', 40, 'zzz'))

@@ -14,10 +14,11 @@ from ..functions import text as T
 DOCUMENT = ["company_id", "source_type", "source_name", "url", "canonical_url", "title", "text", "published_at", "language", "content_hash", "headline_only"]
 
 
-def to_documents(raw: DataFrame, source_type: str, source_name: str, max_chars: int = 50_000) -> DataFrame:
-    """Rows with company_id, url, title, body, date (text or timestamp) as documents. A missing body is the title's."""
+def to_documents(raw: DataFrame, source_type: str, source_name: str, max_chars: int = 50_000, cleaned: bool = False) -> DataFrame:
+    """Rows with company_id, url, title, body, date (text or timestamp) as documents. A missing body is the title's. cleaned: bodies have their lines cleaned."""
     title = T.clean_title(F.col("title"))
-    body = T.clean_text(F.coalesce("body", F.lit("")), max_chars)
+    whole = F.coalesce("body", F.lit(""))
+    body = F.regexp_replace(F.left(whole, F.lit(max_chars)), r"(?U)\s+$", "") if cleaned else T.clean_text(whole, max_chars)
     date = F.col("date") if dict(raw.dtypes)["date"] == "timestamp" else T.utc_datetime(F.col("date"))
     out = raw.withColumn("_body", body).withColumn("title", title).withColumn("text", F.when(F.col("_body") != "", F.col("_body")).otherwise(F.col("title")))
     language = F.coalesce(F.col("language"), T.guess_language(F.col("text"))) if "language" in raw.columns else T.guess_language(F.col("text"))
