@@ -100,15 +100,15 @@ class CrossParser:
         self.roots = np.array(roots, np.intp)
         self.log_size = np.array(self.log_size)
 
-    def compact(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Symbols of all texts, runs of gaps as one and none at the start, and how many each text has."""
+    def compact(self, texts: list[str], last: int = GAP) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols of all texts, runs of gaps as one and none at the start, and how many each text has. last: the symbol before each text, where it goes on."""
         cp = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
         symbol = self.symbols.take(cp)
         lens = np.fromiter(map(len, texts), np.int64, len(texts))
         before = np.zeros(len(symbol), np.uint8)
         before[1:] = symbol[:-1]
         starts = np.cumsum(lens) - lens
-        before[starts[lens > 0]] = GAP
+        before[starts[lens > 0]] = last
         keep = (symbol != GAP) | (before != GAP)
         rare = symbol == ESCAPE
         total = np.concatenate([[0], np.cumsum(keep + rare * DIGITS)])
@@ -120,8 +120,20 @@ class CrossParser:
         return out, n
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(languages, texts) phrases, and symbols of each text."""
-        symbol, n = self.compact(texts)
+        """(languages, texts) phrases, and symbols of each text. A text alone is read in windows, so that what it takes is bounded."""
+        if len(texts) > 1 or not texts or len(texts[0]) <= BLOCK:
+            return self._phrases(texts, GAP, None)[:2]
+        counts, n, last, state = np.zeros((len(self.languages), 1), np.int64), np.zeros(1, np.int64), GAP, None
+        for a in range(0, len(texts[0]), BLOCK):
+            more, m, last, state = self._phrases([texts[0][a : a + BLOCK]], last, state)
+            counts, n = counts + more, n + m
+        return counts, n
+
+    def _phrases(self, texts: list[str], last: int, before: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, int, np.ndarray | None]:
+        """phrases(), the last symbol and the states after it. before: the states in which the only text goes on, whose phrases so far are counted."""
+        symbol, n = self.compact(texts, last)
+        if not len(symbol):
+            return np.zeros((len(self.languages), len(texts)), np.int64), n, last, before
         pieces = -(-n // STRETCH)
         owner = np.repeat(np.arange(len(texts)), pieces)
         nth = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
@@ -130,6 +142,8 @@ class CrossParser:
         order = np.argsort(-lens, kind="stable")
         starts, ordered = starts[order], lens[order]
         state = np.repeat(self.roots[:, None], len(order), axis=1)
+        if before is not None:
+            state[:, np.flatnonzero(order == 0)[0]] = before
         trace = np.zeros((len(self.languages), len(symbol)), np.int32)  # what each step gave
         active = np.searchsorted(-ordered, -np.arange(int(ordered.max(initial=0))), side="left")
         for j, a in enumerate(active.tolist()):
@@ -139,7 +153,8 @@ class CrossParser:
         self._join(trace, symbol, np.cumsum(n) - n, n)
         total = np.concatenate([np.zeros((len(self.languages), 1), np.int64), np.cumsum(trace & 1, axis=1, dtype=np.int64)], axis=1)
         ends = np.cumsum(n)
-        return np.where(n > 0, total[:, ends] - total[:, ends - n] + 1, 0), n
+        found = np.where(n > 0, total[:, ends] - total[:, ends - n] + (before is None), 0)
+        return found, n, int(symbol[-1]), (trace[:, -1] >> 1).astype(np.intp)
 
     def _join(self, trace: np.ndarray, symbol: np.ndarray, first: np.ndarray, n: np.ndarray) -> None:
         """Reads each stretch but a text's first again from the state before it, until it is in the state that it was in; as long as any end changes."""

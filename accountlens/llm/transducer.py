@@ -12,15 +12,16 @@ join. A word's last symbol leads back to the start, so texts are read as one wor
 after the other.
 
 Transitions are compiled as they occur, and stay; beyond ``STATES`` states the
-machine starts anew, which changes no result. Words run side by side.
+machine starts anew, which changes no result. Words run side by side, and so do the
+stretches of a long word.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: States held at most, and bytes from which on a word runs by itself.
-STATES, LONG_WORD = 200_000, 96
+#: States held at most, bytes from which on a word runs by itself, and then bytes of it that are read together and in a stretch.
+STATES, LONG_WORD, PART, STRETCH = 200_000, 96, 1 << 18, 128
 LAST = 256  # what the last symbol of a word has on top of its byte
 
 
@@ -103,22 +104,62 @@ class Machine:
         slot = self._find(keys)
         self.to[slot], self.emits[slot] = np.array([self.known[k] for k in keys.tolist()], np.int32).reshape(-1, 2).T
 
+    def _steps(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Next states and emitted tokens of (state, symbol) keys, compiled where they are new."""
+        slot = self._find(keys)
+        missing = self.keys.take(slot) != keys
+        if missing.any():
+            self._compile(np.unique(keys[missing]))
+            slot = self._find(keys)
+        return self.to.take(slot), self.emits.take(slot)
+
     def _run(self, symbols: np.ndarray) -> int:
         """Tokens of one long word."""
         state = total = 0
-        for symbol in symbols.tolist():
-            if len(self.states) > STATES + 1:  # only between words would the start be the state again: go on from a new copy
+        for a in range(0, len(symbols), PART):
+            if a and len(self.states) > STATES:  # go on from a new copy
                 held = self.states[state]
                 self._clear()
                 state = self.number.setdefault(held, 1)
                 self.states.append(held)
-            key = state << 9 | symbol
-            if key not in self.known:
-                self._compile(np.array([key]))
-            state, emitted = self.known[key]
+            emitted, state = self._part(symbols[a : a + PART], state)
             total += emitted
         return total
 
+    def _part(self, symbols: np.ndarray, state: int) -> tuple[int, int]:
+        """(emitted, state after) of a part of a word that is read from a state.
+
+        Stretches of the part run side by side, each as if a word began there; then each
+        is read again from the state before it until it is in the state that it was in,
+        as long as the end of any changes. So the states are those of one run.
+        """
+        n = len(symbols)
+        starts = np.arange(0, n, STRETCH)
+        lens = np.minimum(STRETCH, n - starts)
+        states, emits = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        now = np.zeros(len(starts), np.int64)
+        now[0] = state
+        for j in range(int(lens.max())):
+            k = len(starts) - (lens[-1] <= j)  # only the last one is shorter
+            now[:k], emits[starts[:k] + j] = self._steps(now[:k] << 9 | symbols[starts[:k] + j])
+            states[starts[:k] + j] = now[:k]
+        todo = np.arange(1, len(starts))
+        while len(todo):
+            at, stop, now = starts[todo], starts[todo] + lens[todo], states[starts[todo] - 1]
+            changed = []
+            while len(todo):
+                now, emitted = self._steps(now << 9 | symbols[at])
+                same = states[at] == now
+                states[at], emits[at] = now, emitted
+                at = at + 1
+                over = at == stop
+                changed.append(todo[~same & over])
+                go = ~same & ~over
+                todo, at, stop, now = todo[go], at[go], stop[go], now[go]
+            follow = np.concatenate(changed) + 1
+            todo = np.sort(follow[follow < len(starts)])
+        return int(emits.sum()), int(states[-1])
+
     def counts(self, data: bytes, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
         """Tokens of each word (at least a byte) of the data. Equal words run once."""
         if len(self.states) > STATES:
@@ -132,14 +173,8 @@ class Machine:
         state, total = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
         active = np.searchsorted(-n, -np.arange(int(n.max(initial=0))), side="left")
         for j, k in enumerate(active.tolist()):
-            keys = state[:k] << 9 | symbols.take(at[:k] + j)
-            slot = self._find(keys)
-            missing = self.keys.take(slot) != keys
-            if missing.any():
-                self._compile(np.unique(keys[missing]))
-                slot = self._find(keys)
-            total[:k] += self.emits.take(slot)
-            state[:k] = self.to.take(slot)
+            state[:k], emitted = self._steps(state[:k] << 9 | symbols.take(at[:k] + j))
+            total[:k] += emitted
         out[order] = total
         for i in np.flatnonzero(lens > LONG_WORD).tolist():
             out[i] = self._run(symbols[starts[i] : starts[i] + lens[i]])

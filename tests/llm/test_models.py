@@ -257,3 +257,14 @@ def test_markers_are_learned(spark):
     rows += [(99, 0, "assistant", "User: word 0"), (99, 1, None, "Bot: word")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     assert chat.format_chats(df).where("conv_id = 99 and turn = 1").first().role == "user"
+
+
+def test_long_texts_are_read_in_windows(monkeypatch):
+    samples = {"aa": "der und die das " * 40, "bb": "the and of to " * 40}
+    text = "der the und! 12 of  éü die das to and " * 60 + "... " * 50 + "the end"
+    whole = langid.CrossParser(samples).phrases([text])
+    for block in (7, 100, 513):
+        monkeypatch.setattr(langid, "BLOCK", block)
+        counts, n = langid.CrossParser(samples).phrases([text])
+        assert counts.tolist() == whole[0].tolist()
+        assert n.tolist() == whole[1].tolist()

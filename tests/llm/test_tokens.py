@@ -181,3 +181,15 @@ def test_counts_when_the_machine_starts_anew(monkeypatch):
     want = Tokenizer.from_file(path).encode_batch(some, add_special_tokens=False)
     counter = token_counts.TokenCounter(path)
     assert [int(counter.count([t.encode()])[0]) for t in some] == [len(e.ids) for e in want]
+
+
+@pytest.mark.parametrize(("part", "stretch", "states"), [(1 << 18, 128, 200_000), (1000, 7, 200_000), (500, 50, 300)])
+def test_long_words_are_read_in_stretches(monkeypatch, part, stretch, states):
+    monkeypatch.setattr(transducer, "PART", part)
+    monkeypatch.setattr(transducer, "STRETCH", stretch)
+    monkeypatch.setattr(transducer, "STATES", states)
+    rng = random.Random(8)
+    some = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=3000)), "a" * 2500, "the" * 900, "ab" * 700 + "q", "".join(rng.choices("etaoin", k=97)), "日本語" * 300]
+    counter = token_counts.TokenCounter(P.path("word_bpe_49k.json"), bpe.json_classes(P.path("word_bpe_49k.json")))
+    want = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    assert counter.count([t.encode() for t in some]).tolist() == [len(want.encode(t, add_special_tokens=False).ids) for t in some]
