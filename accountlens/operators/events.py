@@ -81,10 +81,14 @@ def delivery_state(frequency: Column, has_email: Column) -> Column:
     return F.when(~has_email, "skipped").when(frequency == "instant", "instant").otherwise("queued")
 
 
-def preview(events: DataFrame, rules: DataFrame, since: Column, newest: int = 5000) -> DataFrame:
-    """Matches by rule among the newest events of a window."""
+def preview(events: DataFrame, rules: DataFrame, since: Column, newest: int = 5000, shown: int = 10) -> DataFrame:
+    """Of each rule the matches among the newest events of a window: how many, and the first ``shown``, newest first."""
     some = events.where(F.col("detected_at") >= since).orderBy(F.desc("detected_at"), F.desc("signal_id")).limit(newest)
-    return matches(some, rules).groupBy("rule_id").agg(F.count("*").alias("n"))
+    met = matches(some, rules)
+    order = Window.partitionBy("rule_id").orderBy(F.desc("detected_at"), F.desc("signal_id"))
+    first = met.withColumn("_nth", F.row_number().over(order))
+    listed = F.array_sort(F.collect_list(F.when(F.col("_nth") <= shown, F.struct("_nth", "signal_id"))))
+    return first.groupBy("rule_id").agg(F.count("*").alias("n"), F.transform(listed, lambda r: r["signal_id"]).alias("first"))
 
 
 def jobs_threshold(posts: DataFrame, now: Column, hours: int, least: int) -> DataFrame:
@@ -162,10 +166,17 @@ def pending_deliveries(events: DataFrame, consumers: list[str], ledger: DataFram
     return pairs.join(done, ["event_id", "consumer"], "left_anti")
 
 
-def replay(events: DataFrame, after_id, run_id=None) -> DataFrame:
-    """Events after an id, once each."""
+def replay(events: DataFrame, after_id, run_id=None, runs: DataFrame | None = None) -> DataFrame:
+    """Events after an id, once each. runs (run_id, status): where a run is over and the last of its events is not its end, its end is told once more, without an id; stage is then run."""
     rows = events.where(F.col("id") > after_id)
-    return (rows if run_id is None else rows.where(F.col("run_id") == run_id)).dropDuplicates(["id"])
+    rows = (rows if run_id is None else rows.where(F.col("run_id") == run_id)).dropDuplicates(["id"])
+    if runs is None:
+        return rows
+    ended = (F.col("stage") == "run") & F.col("status").isin(TERMINAL)
+    last = rows.groupBy("run_id").agg(F.max_by(ended, "id").alias("_told"))
+    over = runs.where(F.col("status").isin(TERMINAL)) if run_id is None else runs.where((F.col("run_id") == run_id) & F.col("status").isin(TERMINAL))
+    untold = over.join(last, "run_id", "left").where(~F.coalesce("_told", F.lit(False))).select("run_id", "status", F.lit("run").alias("stage"))
+    return rows.unionByName(untold, allowMissingColumns=True)
 
 
 TERMINAL = ["succeeded", "partial", "failed", "cancelled"]
@@ -197,8 +208,17 @@ def to_resume(events: DataFrame) -> DataFrame:
 
 
 def run_stats(events: DataFrame) -> DataFrame:
-    """Events, failures and sizes by run and stage."""
-    return events.groupBy("run_id", "stage").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "failed").alias("failures"), F.sum("n_chars").alias("chars"))
+    """Events, failures and sizes by run and stage; the milliseconds between the first and the last event of a stage, where events have created_at; of each adapter its events and of each kind of error its failures, where they have these columns."""
+    more = []
+    if "created_at" in events.columns:
+        more.append((F.unix_millis(F.max("created_at")) - F.unix_millis(F.min("created_at"))).alias("duration_ms"))
+    out = events.groupBy("run_id", "stage").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "failed").alias("failures"), F.sum("n_chars").alias("chars"), *more)
+    for column, name, what in (("adapter", "by_adapter", F.lit(True)), ("error_kind", "by_error", F.col("status") == "failed")):
+        if column in events.columns:
+            each = events.where(what & F.col(column).isNotNull()).groupBy("run_id", "stage", column).agg(F.count("*").alias("_n"))
+            counts = each.groupBy("run_id", "stage").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(column, "_n")))).alias(name))
+            out = out.join(counts, ["run_id", "stage"], "left")
+    return out
 
 
 def run_list(events: DataFrame, n: int = 20) -> DataFrame:

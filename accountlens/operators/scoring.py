@@ -434,12 +434,26 @@ def ranking(scores: DataFrame, companies: DataFrame) -> DataFrame:
 
 
 def resolve_params(profiles: DataFrame, column: str = "params", p: Profile = Profile()) -> DataFrame:
-    """Known parameters of a JSON object over the defaults; all defaults if one is out of range."""
-    names = {"tau_intent": p.tau_intent, "tau_risk": p.tau_risk, "risk_penalty": p.risk_penalty, "min_confidence": p.min_confidence}
-    read = F.from_json(column, ", ".join(f"{n} double" for n in names))
-    given = {n: F.coalesce(read[n], F.lit(v)) for n, v in names.items()}
-    valid = (given["tau_intent"] > 0) & (given["tau_risk"] > 0) & given["risk_penalty"].between(0, 1) & given["min_confidence"].between(0, 1)
-    return profiles.select("*", valid.alias("valid"), *[F.when(valid, c).otherwise(F.lit(names[n])).alias(n) for n, c in given.items()])
+    """All parameters of a profile, those of a JSON object over the defaults; all defaults if one is out of range.
+
+    Weights, strengths and tiers are whole or not there at all; reliability and
+    half-lives hold what is given, and defaults where nothing is (a half-life of null is
+    none). Numbers are columns of their names, the rest maps.
+    """
+    names = {"tau_intent": p.tau_intent, "tau_risk": p.tau_risk, "fit_exponent": p.fit_exponent, "intent_exponent": p.intent_exponent, "risk_penalty": p.risk_penalty, "min_confidence": p.min_confidence, "max_evidence_per_question": p.max_evidence, "fit_floor": p.fit_floor, "undated_age_days": p.undated_age_days}
+    maps = {"weights": p.weights, "strength_values": p.strengths, "reliability": p.reliability, "half_life_days": p.half_life_days, "tiers": {"hot": p.hot, "warm": p.warm}}
+    read = F.from_json(column, ", ".join([f"{n} double" for n in names] + [f"{n} map<string,double>" for n in maps]))
+    given = {n: F.coalesce(read[n], F.lit(float(v))) for n, v in names.items()}
+    fixed = {n: F.create_map(*[F.lit(x) for k, v in m.items() for x in (k, float(v))]) for n, m in maps.items()}
+    held = {n: F.coalesce(read[n], fixed[n]) for n in maps}
+    whole = [F.sort_array(F.map_keys(held[n])) == F.array(*map(F.lit, sorted(maps[n]))) for n in ("weights", "strength_values", "tiers")]
+    ranges = [given["tau_intent"] > 0, given["tau_risk"] > 0, given["fit_exponent"] >= 0, given["intent_exponent"] >= 0, given["risk_penalty"].between(0, 1), given["min_confidence"].between(0, 1), given["max_evidence_per_question"] >= 1, given["fit_floor"] >= 0, given["fit_floor"] < 100, given["undated_age_days"] >= 0]
+    ranges += [F.coalesce(held["tiers"]["hot"] >= held["tiers"]["warm"], F.lit(False)), F.forall(F.map_values(held["half_life_days"]), lambda v: v.isNull() | (v > 0))]
+    valid = F.lit(True)
+    for test in (*whole, *ranges):
+        valid = valid & test
+    default = {**{n: F.lit(float(v)) for n, v in names.items()}, **fixed}
+    return profiles.select("*", valid.alias("valid"), *[F.when(valid, c).otherwise(default[n]).alias(n) for n, c in {**given, **held}.items()])
 
 
 def temperature_guide(questions: DataFrame, defaults: DataFrame, generic: dict) -> DataFrame:

@@ -192,9 +192,9 @@ def undelivered(spark, d):
     return E.undelivered(drafts, sent).agg(F.count("*").alias("n"))
 
 
-@query("e11_preview", "+ newest as (select * from signal where detected_at >= timestamp '2024-01-05' order by detected_at desc, signal_id desc limit 5000), k as (select *, " + KIND + " as kind, " + RANK + " as r from newest) select rule_id, count(*) as n from k join alert_rule on is_active and (only_company is null or only_company = company_id) and r >= case min_strength when 'weak' then 1 when 'moderate' then 2 else 3 end where kind is not null group by all", ("signal", "alert_rule"))
+@query("e11_preview", "+ newest as (select * from signal where detected_at >= timestamp '2024-01-05' order by detected_at desc, signal_id desc limit 5000), k as (select *, " + KIND + " as kind, " + RANK + " as r from newest) select rule_id, count(*) as n, array_to_string(list(signal_id order by detected_at desc, signal_id desc)[1:10], ',') as first from k join alert_rule on is_active and (only_company is null or only_company = company_id) and r >= case min_strength when 'weak' then 1 when 'moderate' then 2 else 3 end where kind is not null group by all", ("signal", "alert_rule"))
 def preview(spark, d):
-    return E.preview(signals(spark, d), view(spark, d, "alert_rule"), F.lit("2024-01-05").cast("timestamp"))
+    return E.preview(signals(spark, d), view(spark, d, "alert_rule"), F.lit("2024-01-05").cast("timestamp")).withColumn("first", F.array_join(F.col("first").cast("array<string>"), ","))
 
 
 @query("e12_jobs_threshold", "select company_id, count(*) as n from signal where source_type = 'jobs' and detected_at > timestamp '2024-01-28' and detected_at <= timestamp '2024-01-31' group by all having count(*) >= 2", ("signal",))
@@ -255,6 +255,18 @@ def replay(spark, d):
     return E.replay(r.unionByName(r), 5000).select("id", "run_id")
 
 
+@query("e20_run_ends", """+ ev as (select id, run_id, case when stage = 'system' then 'run' else stage end as stage, case when stage = 'system' and id % 2 = 0 then 'succeeded' else status end as status from run_event where run_id >= 20),
+runs as (select run_id, case when run_id % 3 = 0 then 'running' when run_id % 3 = 1 then 'failed' else 'succeeded' end as status from run_event group by run_id),
+rows_ as (select * from ev where id > 5000), told as (select run_id, arg_max(stage = 'run' and status in ('succeeded', 'partial', 'failed', 'cancelled'), id) as told from rows_ group by run_id)
+select id, run_id, stage, status from rows_ union all select null, run_id, 'run', status from runs left join told using (run_id) where status <> 'running' and not coalesce(told, false)""", ("run_event",))
+def run_ends(spark, d):
+    r = view(spark, d, "run_event")
+    status = F.when((F.col("stage") == "system") & (F.col("id") % 2 == 0), "succeeded").otherwise(F.col("status"))
+    events = r.where("run_id >= 20").select("id", "run_id", F.when(F.col("stage") == "system", "run").otherwise(F.col("stage")).alias("stage"), status.alias("status"))
+    state = F.when(F.col("run_id") % 3 == 0, "running").when(F.col("run_id") % 3 == 1, "failed").otherwise("succeeded")
+    return E.replay(events.unionByName(events), 5000, runs=r.select("run_id").distinct().withColumn("status", state)).select("id", "run_id", "stage", "status")
+
+
 @query("e21_event_names", "select case when stage = 'system' and status = 'failed' then 'run.finished' when stage = 'system' then 'run.progress' when stage = 'user' then 'company.done' else 'company.stage' end as name, count(*) as n from run_event group by all", ("run_event",))
 def event_names(spark, d):
     stage = F.when(F.col("stage") == "system", "run").when(F.col("stage") == "user", "company").otherwise("verify")
@@ -278,9 +290,16 @@ def to_resume(spark, d):
     return E.to_resume(runs(spark, d))
 
 
-@query("e24_run_stats", "select run_id, stage, count(*) as n, count(*) filter (where status = 'failed') as failures, cast(sum(n_chars) as bigint) as chars from run_event group by all", ("run_event",))
+@query("e24_run_stats", """+ ev as (select *, timestamp '2024-01-01' + interval 1 second * (id * 7 % 1000) as created_at, 'a' || id % 3 as adapter, case when id % 2 = 0 then 'timeout' else 'blocked' end as error_kind from run_event),
+a as (select run_id, stage, string_agg(adapter || '=' || n, ',' order by adapter) as by_adapter from (select run_id, stage, adapter, count(*) as n from ev group by all) group by all),
+b as (select run_id, stage, string_agg(error_kind || '=' || n, ',' order by error_kind) as by_error from (select run_id, stage, error_kind, count(*) as n from ev where status = 'failed' group by all) group by all)
+select run_id, stage, count(*) as n, count(*) filter (where status = 'failed') as failures, cast(sum(n_chars) as bigint) as chars, cast(epoch_ms(max(created_at)) - epoch_ms(min(created_at)) as bigint) as duration_ms, any_value(by_adapter) as by_adapter, coalesce(any_value(by_error), '') as by_error
+from ev left join a using (run_id, stage) left join b using (run_id, stage) group by all""", ("run_event",))
 def run_stats(spark, d):
-    return E.run_stats(view(spark, d, "run_event"))
+    r = view(spark, d, "run_event").withColumn("created_at", F.timestamp_seconds(F.lit(1704067200) + F.col("id") * 7 % 1000)).withColumn("adapter", F.concat(F.lit("a"), (F.col("id") % 3).cast("string")))
+    found = E.run_stats(r.withColumn("error_kind", F.when(F.col("id") % 2 == 0, "timeout").otherwise("blocked")))
+    shown = lambda c: F.coalesce(F.array_join(F.transform(F.map_entries(c), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ","), F.lit("")).alias(c)
+    return found.select("run_id", "stage", "n", "failures", "chars", "duration_ms", shown("by_adapter"), shown("by_error"))
 
 
 @query("e25_run_list", "select run_id, max(id) as last_id, count(*) as n from run_event group by all order by last_id desc limit 20", ("run_event",))

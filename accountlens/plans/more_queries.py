@@ -287,11 +287,18 @@ def rescore_company(spark, d):
     return done.groupBy((F.col("score_id") % 3).alias("is_three")).agg(F.count("*").alias("n"))
 
 
-@query("g28_parameters", "select c_custkey, case when c_custkey % 3 = 0 then 5.0 else c_custkey + 1.0 end as tau_intent, c_custkey % 3 <> 0 as valid from customer")
+@query("g28_parameters", """with p as (select c_custkey, c_custkey % 3 <> 0 and c_custkey % 5 <> 0 and c_custkey % 7 <> 0 as valid from customer)
+select c_custkey, valid, cast(case when valid then c_custkey + 1 else 5 end as double) as tau_intent, cast(case when valid then 2 * (c_custkey % 4 + 1) else 3 end as double) as high, cast(case when valid and c_custkey % 2 = 1 then 0.1 else 0.4 end as double) as fit_exponent,
+  cast(case when valid and c_custkey % 2 = 0 then 30 else 45 end as double) as jobs, cast(case when valid then 50 + c_custkey % 7 else 65 end as double) as hot, cast(3 as double) as max_evidence_per_question from p""")
 def parameters(spark, d):
-    tau = F.when(F.col("c_custkey") % 3 == 0, F.lit(-1.0)).otherwise(F.col("c_custkey") + 1.0)
-    p = customers(spark, d).select("c_custkey", F.to_json(F.struct(tau.alias("tau_intent"))).alias("params"))
-    return G.resolve_params(p).select("c_custkey", "tau_intent", "valid")
+    k = F.col("c_custkey")
+    tau = F.when(k % 3 == 0, F.lit(-1.0)).otherwise(k + 1.0)
+    weights = F.create_map(F.lit("high"), 2.0 * (k % 4 + 1), F.lit("medium"), F.lit(1.0), F.lit("low"), F.lit(0.5))
+    tiers = F.when(k % 5 == 0, F.create_map(F.lit("hot"), F.lit(10.0), F.lit("warm"), F.lit(40.0))).otherwise(F.create_map(F.lit("hot"), 50.0 + k % 7, F.lit("warm"), F.lit(40.0)))
+    halves = F.when(k % 7 == 0, F.create_map(F.lit("jobs"), F.lit(0.0))).when(k % 2 == 0, F.create_map(F.lit("jobs"), F.lit(30.0)))
+    params = F.to_json(F.struct(tau.alias("tau_intent"), weights.alias("weights"), tiers.alias("tiers"), halves.alias("half_life_days"), F.when(k % 2 == 1, F.lit(0.1)).alias("fit_exponent")))
+    found = G.resolve_params(customers(spark, d).select("c_custkey", params.alias("params")))
+    return found.select("c_custkey", "valid", "tau_intent", F.col("weights")["high"].alias("high"), "fit_exponent", F.col("half_life_days")["jobs"].alias("jobs"), F.col("tiers")["hot"].alias("hot"), "max_evidence_per_question")
 
 
 @query("g29_guides", "select question_id, case when question_id % 2 = 0 then 'own' when question_id % 3 = 0 then 'category' else 'generic' end as guide from question", ("question",))

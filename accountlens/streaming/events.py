@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.text import novelty_quote
 from ..operators.events import matches
 
 WATERMARK = "7 days"
@@ -21,15 +20,6 @@ def read_events(spark: SparkSession, path: str, schema, files_per_trigger: int |
     return (reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader).parquet(path)
 
 
-def new_signals(stream: DataFrame, seen: DataFrame | None = None, delay: str = WATERMARK) -> DataFrame:
-    """The first row of a company, service, question and quote within the watermark; rows seen before by a static anti join."""
-    key = ["company_id", "service_id", "question_id", "_quote"]
-    rows = stream.withColumn("_quote", novelty_quote(F.col("quote"))).withWatermark("detected_at", delay)
-    if seen is not None:
-        rows = rows.join(seen.withColumn("_quote", novelty_quote(F.col("quote"))).select(*key).distinct(), key, "left_anti")
-    return rows.dropDuplicatesWithinWatermark(key).where("status <> 'rejected_by_user'").drop("_quote")
-
-
 def tier_changes(stream: DataFrame) -> DataFrame:
     """Keyed state holds each pair's last tier; scores of a batch are read in order of time."""
 

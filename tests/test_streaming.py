@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
+import time
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from accountlens.operators import events as E
 from accountlens.plans.demo import view
 from accountlens.streaming import events as X
+from accountlens.streaming import stateful as K
 
 
 def run(stream, name, mode="append"):
@@ -31,13 +35,54 @@ def signals(spark, sf_dir):
     return view(spark, sf_dir, "signal").withColumn("detected_at", F.col("detected_at").cast("timestamp")).where("signal_id < 600")
 
 
-def test_new_signals(spark, sf_dir, tmp_path):
-    s = signals(spark, sf_dir)
-    stream = X.new_signals(files(spark, s, tmp_path / "a"), s.where("signal_id < 0"), delay="60 days")
-    got = {(r.company_id, r.service_id, r.question_id, r.quote) for r in run(stream, "novel")}
-    want = E.new_signals(s).select("company_id", "service_id", "question_id", "quote").collect()
-    # of equal signals the stream takes one of the first file, the batch the earliest; a rejected first one hides the rest in both
-    assert len(got ^ {tuple(r) for r in want}) <= 3
+@pytest.fixture
+def rocksdb(spark):
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, K.ROCKSDB)
+    yield
+    spark.conf.set(name, before)
+
+
+def test_new_signals_are_those_of_the_batch(spark, tmp_path, rocksdb):
+    """Late rows that are earlier than those before them, equal times, rejected first rows, and what was seen before."""
+    rng, start = random.Random(6), dt.datetime(2024, 1, 1)
+    rows = [(i, rng.randrange(3), 0, rng.randrange(2), f"Quote {rng.randrange(9)} ", start + dt.timedelta(hours=rng.randrange(60)), rng.choice(["active", "active", "rejected_by_user"])) for i in range(300)]
+    schema = "signal_id long, company_id long, service_id long, question_id long, quote string, detected_at timestamp, status string"
+    end = [(10_000, 99, 0, 0, "end", dt.datetime(2025, 1, 1), "active")]  # moves the watermark past all others
+    s, seen = spark.createDataFrame(rows, schema), spark.createDataFrame([(-1, 1, 0, 1, "quote 3", start, "rejected_by_user")], schema)
+    folder = tmp_path / "exact"
+    for part in (rows[:100], rows[100:200], rows[200:], end, [(10_001, *end[0][1:])]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(folder))
+        time.sleep(1.1)  # files are read in the order of their times
+    got = run(K.new_signals(X.read_events(spark, str(folder), s.schema, 1), seen, "10 days"), "exact")
+    want = E.new_signals(s, seen)
+    assert sorted(tuple(r) for r in got if r.company_id != 99) == sorted(tuple(r) for r in want.select(*s.columns).collect())
+    assert len(got) > 10
+
+
+def test_once_per_window(spark, tmp_path, rocksdb):
+    rng, start = random.Random(7), dt.datetime(2024, 1, 10)
+    rows = [(i, rng.randrange(2), rng.randrange(2), start + dt.timedelta(hours=i)) for i in range(80)]
+    schema = "notification_id long, rule_id long, company_id long, notified_at timestamp"
+    before = [(-1, 0, 0, start - dt.timedelta(hours=3))]
+    stream = files(spark, spark.createDataFrame(rows, schema), tmp_path / "once", order="notified_at")
+    got = run(K.once_per_window(stream, spark.createDataFrame(before, schema), 24 * 3600, "30 days"), "once")
+    last, want = {(0, 0): before[0][3]}, []
+    for i, r, c, at in rows:
+        if (r, c) not in last or at - last[r, c] >= dt.timedelta(hours=24):
+            want.append(i)
+            last[r, c] = at
+    assert sorted(r.notification_id for r in got) == want
+
+
+def test_tail_ends_with_the_run(spark, tmp_path, rocksdb):
+    rows = [(i, i % 3, "run" if i in (20, 31) else "company", "succeeded" if i in (20, 31) else "done") for i in range(60)]
+    rows += rows[:10]
+    stream = files(spark, spark.createDataFrame(rows, "id long, run_id long, stage string, status string"), tmp_path / "ends", order="id")
+    got = run(K.run_tail(stream, 4), "ends")
+    want = [i for i in range(5, 60) if not (i % 3 == 2 and i > 20) and not (i % 3 == 1 and i > 31)]
+    assert sorted(r.id for r in got) == want
 
 
 def test_tier_changes(spark, tmp_path):
