@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .letters import casefolds, marked_letters
+
 # Query parameters that only track, and lines of cookie banners.
 TRACKING = ["gclid", "fbclid", "mc_cid", "mc_eid"]
 COOKIE_LINE = "(?i)^(accept (all )?cookies|cookie settings|manage cookies|privacy settings|alle cookies akzeptieren)$"
@@ -12,17 +17,20 @@ COOKIE_LINE = "(?i)^(accept (all )?cookies|cookie settings|manage cookies|privac
 CAPS = {"website": 50_000, "jobs": 8_000, "report": 40_000}
 
 SPACES = r"(?U)\s+"
-#: Letters with marks of Latin-1 and Latin Extended-A, and what they fold to.
-_MARKED = "àáâãäåāăąçćĉċčďđèéêëēĕėęěĝğġģĥħìíîïĩīĭįıĵķĺļľŀłñńņňòóôõöøōŏőŕŗřśŝşšţťŧùúûüũūŭůűųŵýÿŷźżž"
-_PLAIN = "aaaaaaaaacccccddeeeeeeeeegggghhiiiiiiiiijklllllnnnnoooooooooorrrsssstttuuuuuuuuuuwyyyzzz"[: len(_MARKED)]
+# Characters that count as one in quotes.
+SAME_MARKS = str.maketrans({**dict.fromkeys("“”„‟«»", '"'), **dict.fromkeys("‘’‚‛`´‹›", "'"), **dict.fromkeys("‐‑‒–—―−", "-"), "…": "..."})
+
+
+def _written(text: Column, pairs: tuple[tuple[str, str], ...]) -> Column:
+    """Letters written as several, looked for only in texts that have one of them."""
+    rules = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in pairs])
+    return F.when(text.rlike("[" + "".join(a for a, _ in pairs) + "]"), F.aggregate(rules, text, lambda s, r: F.replace(s, r["a"], r["b"]))).otherwise(text)
 
 
 def casefold(text: Column) -> Column:
-    """Lower case in which letters of one kind are one: sharp s, final sigma, long s and the ligatures of f."""
-    out = F.translate(F.lower(text), "ςſ", "σs")
-    for a, b in (("ß", "ss"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"), ("ﬃ", "ffi"), ("ﬄ", "ffl")):
-        out = F.replace(out, F.lit(a), F.lit(b))
-    return out
+    """Lower case in which letters of one kind are one, as case folding has it: sharp s, final sigma, ligatures and the rest."""
+    letters, plain, pairs = casefolds()
+    return _written(F.translate(F.lower(text), letters, plain), pairs)
 
 
 def collapse(text: Column) -> Column:
@@ -124,11 +132,9 @@ def own_host(h: Column, domain: Column) -> Column:
 
 
 def fold(text: Column) -> Column:
-    """Lower case without marks, for Latin letters."""
-    out = F.translate(F.lower(text), _MARKED, _PLAIN)
-    for a, b in (("ß", "ss"), ("æ", "ae"), ("œ", "oe"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("þ", "th"), ("ð", "d")):
-        out = F.replace(out, F.lit(a), F.lit(b))
-    return out
+    """Lower case without marks, in Latin letters: Greek and Cyrillic are written in them."""
+    letters, plain, pairs = marked_letters()
+    return _written(F.translate(F.lower(text), letters, plain), pairs)
 
 
 #: Words that carry no topic. A parameter of tokenize; these are the shortest and most frequent of three languages.
@@ -140,10 +146,16 @@ def tokenize(text: Column, stop_words: list[str] = STOP_WORDS) -> Column:
     return F.filter(F.regexp_extract_all(fold(text), F.lit("([a-z0-9]+)"), F.lit(1)), lambda w: ~w.isin(stop_words))
 
 
+def _normal_quotes(quotes: pd.Series) -> pd.Series:
+    def normal(x: str | None) -> str | None:
+        return None if x is None else " ".join(unicodedata.normalize("NFKC", x).translate(SAME_MARKS).casefold().split())
+
+    return quotes.map(normal, na_action="ignore")
+
+
 def normal_quote(text: Column) -> Column:
-    """One kind of quotes, dashes and ellipses; lower case; white space collapsed."""
-    out = F.translate(text, "“”„‟«»‘’‚‛`´–—−‐‑", "\"\"\"\"\"\"''''''-----")
-    return F.lower(collapse(F.replace(out, F.lit("…"), F.lit("..."))))
+    """Compatible forms of a character as one, one kind of quotes, dashes and ellipses; case folded; white space collapsed."""
+    return F.pandas_udf(_normal_quotes, "string")(text)
 
 
 def evidence_key(question_key: Column, quote: Column, url: Column) -> Column:
