@@ -514,7 +514,7 @@ def similar_links(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], hot:
     met = flat.withColumn("first", F.first(F.struct("same", "size")).over(running)).withColumn("_next", F.lead("same").over(order))
     met = met.where((F.col("first.same") != F.col("same")) | (F.col("_next") != F.col("same")) | ((F.col("salt") >= 0) & F.col("_next").isNull())).drop("_next")
     spark = nodes.sparkSession
-    held_path, named_path = new_path(spark, "held"), None
+    held_path = now_path = new_path(spark, "held")
     held = written(met, "held", held_path)  # the entries of shared keys, with the smallest set under the key
     rounds = Rounds(spark, "similar")
     firsts = held.where("salt >= 0 and first.same = same").select("key", "same", "size").distinct()  # ``salts`` a hot key
@@ -554,8 +554,8 @@ def similar_links(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], hot:
     while True:
         k += 1
         if grown:
-            before, named_path = named_path or held_path, new_path(spark, "named")
-            entries = named(entries.drop("component"), linked, named_path)
+            before, now_path = now_path, new_path(spark, "named")
+            entries = named(entries.drop("component"), linked, now_path)
             discard(spark, before)  # what the entries were read from until now
             rounds.done(*lasting)
         found = rounds.keep(group_pairs(entries, marks.drop("n"), rejected, least, tries), f"found-{k}")
@@ -567,11 +567,13 @@ def similar_links(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], hot:
             linked = linked.unionAll(good)
         if not bad.take(1):
             out = written(linked, "similar", path)
-            discard(spark, named_path)
+            discard(spark, now_path)
             rounds.done()
             return out
         tries, rejected = TRIES, rejected.unionAll(bad)
-        entries = entries.join(found.join(bad, ["a", "b"]).select("key").distinct(), "key", "left_semi")
+        before, now_path = now_path, new_path(spark, "entries")
+        entries = written(entries.join(found.join(bad, ["a", "b"]).select("key").distinct(), "key", "left_semi"), "entries", now_path)
+        discard(spark, before)
 
 
 def _groups(docs: DataFrame, words: int, radius: int, least: float, id_col: str, text_col: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -269,3 +270,35 @@ def test_stage_decides_short_texts_and_close_pairs_like_brute_force(spark):
     assert close > 20
     kept = {r.doc_id for r in simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert kept == set(label.values())
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_groups_of_crowded_keys_are_those_of_brute_force(spark, monkeypatch, seed):
+    """Small blocks, salts and tries, so that all of them come into play."""
+    for name, value in (("GROUP", 3), ("HOT_COUNT", 3), ("TRIES", 2), ("SHARD", 8)):
+        monkeypatch.setattr(simhash, name, value)
+    rng = random.Random(seed)
+    base = [" ".join(rng.choices([f"w{i}" for i in range(400)], k=rng.choice((30, 60)))) for _ in range(12)]
+    shared = " ".join(f"s{i}" for i in range(12))
+    texts = []
+    for _ in range(140):
+        words = rng.choice(base).split()
+        for _ in range(rng.choice((0, 0, 1, 2, 6))):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(50)}"
+        texts.append(" ".join(words) + (" " + shared if rng.random() < 0.5 else ""))
+    sets = [set(simhash.shingle_hashes(t.encode(), 5).tolist()) for t in texts]
+    prints = [simhash.fingerprint(t.encode(), 5) for t in texts]
+    parent = list(range(len(texts)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= 3 or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9:
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.keep_first(df).collect()) == sorted({root(i) for i in range(len(texts))})
