@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -12,6 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators.events import matches
 
 WATERMARK = "7 days"
+LOG = logging.getLogger(__name__)
 
 
 def read_events(spark: SparkSession, path: str, schema, files_per_trigger: int | None = None) -> DataFrame:
@@ -61,30 +63,39 @@ def run_tail(stream: DataFrame, after_id: int, delay: str = WATERMARK) -> DataFr
 
 
 def fan_out(consumers: dict[str, Callable[[DataFrame], None]], ledger_path: str, attempts: int = 5) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function: at least once to each consumer; a ledger of files keeps what is delivered or given up."""
+    """A foreachBatch function: at least once to each consumer, tried once in a micro-batch.
+
+    What a consumer failed on is tried again in the micro-batches that follow, with what
+    is new there, until its ``attempts`` are used up; then it is given up. The ledger has
+    a folder for each micro-batch, with the events that are still owed and those that
+    were given up; the one before stays in case the batch is run again, older ones go, so
+    its files stay as few. Repeats within the watermark are for the stream to drop.
+    """
 
     def deliver(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        kind = "event_id string, consumer string, delivered boolean, attempts int"
+        fs_path = spark._jvm.org.apache.hadoop.fs.Path
+        fs = fs_path(ledger_path).getFileSystem(spark._jsc.hadoopConfiguration())
+        known = sorted(int(x.getPath().getName()[2:]) for x in fs.listStatus(fs_path(ledger_path)) if x.getPath().getName().startswith("v=")) if fs.exists(fs_path(ledger_path)) else []
+        before = [v for v in known if v < batch_id]
+        fresh = batch.withColumn("consumer", F.explode(F.array(*map(F.lit, consumers)))).withColumn("attempts", F.lit(0)).withColumn("given_up", F.lit(False))
+        owed = fresh
+        if before:
+            held = spark.read.schema(fresh.schema).parquet(f"{ledger_path}/v={before[-1]}")
+            owed = held.unionByName(fresh.join(held.select("event_id", "consumer"), ["event_id", "consumer"], "left_anti"))
+        failed = []
         for name, consume in consumers.items():
             try:
-                ledger = spark.read.schema(kind).parquet(ledger_path)
-            except Exception as e:  # the first batch finds no ledger
-                if "PATH_NOT_FOUND" not in str(e):
-                    raise
-                ledger = spark.createDataFrame([], kind)
-            mine = ledger.where(F.col("consumer") == name).groupBy("event_id").agg(F.max("delivered").alias("done"), F.max("attempts").alias("tried"))
-            todo = batch.join(mine, "event_id", "left").where(~F.coalesce("done", F.lit(False)) & (F.coalesce("tried", F.lit(0)) < attempts))
-            error = None
-            for _ in range(attempts):
-                try:
-                    consume(todo.drop("done", "tried"))
-                    error = None
-                    break
-                except Exception as e:  # tried again, then given up, as the ledger shows
-                    error = e
-            row = todo.select("event_id", F.lit(name).alias("consumer"), F.lit(error is None).alias("delivered"), F.lit(attempts if error else 1).alias("attempts"))
-            row.write.mode("append").parquet(ledger_path)
+                consume(owed.where((F.col("consumer") == name) & ~F.col("given_up")).select(*batch.columns))
+            except Exception as e:  # tried again in the next micro-batch, as the ledger says
+                failed.append(name)
+                LOG.warning("consumer %s failed: %s", name, e)
+        kept = owed.where(F.col("given_up") | F.col("consumer").isin(failed))
+        tried = F.when(F.col("given_up"), F.col("attempts")).otherwise(F.col("attempts") + 1)
+        kept = kept.withColumn("attempts", tried).withColumn("given_up", F.col("attempts") >= attempts)
+        kept.coalesce(1).write.mode("overwrite").parquet(f"{ledger_path}/v={batch_id}")
+        for v in before[:-1]:
+            fs.delete(fs_path(f"{ledger_path}/v={v}"), True)
 
     return deliver
 

@@ -121,25 +121,31 @@ def test_run_tail(spark, sf_dir, tmp_path):
 
 
 def test_fan_out(spark, tmp_path):
-    ledger, seen, tries = str(tmp_path / "ledger"), {"a": [], "b": []}, []
+    """A consumer that fails three batches is tried in each, one that always fails is given up; the ledger's folders stay few."""
+    ledger, seen, tries = tmp_path / "ledger", {"a": [], "b": []}, []
 
     def broken(df):
-        tries.append(1)
-        if len(tries) < 3:
+        tries.append(sorted(r.event_id for r in df.collect()))
+        if len(tries) <= 3:
             raise OSError("down")
-        seen["b"] += [r.event_id for r in df.collect()]
+        seen["b"] += tries[-1]
 
     def dead(df):
         df.count()
         raise OSError("gone")
 
-    f = X.fan_out({"a": lambda df: seen["a"].extend(r.event_id for r in df.collect()), "b": broken, "c": dead}, ledger)
-    batch = spark.createDataFrame([("e1",), ("e2",)], "event_id string")
-    f(batch, 0)
-    f(batch.unionByName(spark.createDataFrame([("e3",)], "event_id string")), 1)
-    assert sorted(seen["a"]) == sorted(seen["b"]) == ["e1", "e2", "e3"]
-    given_up = spark.read.parquet(ledger).where("consumer = 'c' and not delivered and attempts = 5").count()
-    assert given_up == 3
+    f = X.fan_out({"a": lambda df: seen["a"].extend(r.event_id for r in df.collect()), "b": broken, "c": dead}, str(ledger))
+    for k in range(8):
+        f(spark.createDataFrame([(f"e{k}", k)], "event_id string, n int"), k)
+        assert len(list(ledger.glob("v=*"))) <= 2
+        assert len(list(ledger.glob("v=*/*.parquet"))) <= 2
+    assert tries[:4] == [[f"e{i}" for i in range(k + 1)] for k in range(4)]
+    assert tries[4:] == [["e4"], ["e5"], ["e6"], ["e7"]]
+    assert sorted(seen["a"]) == sorted(seen["b"]) == [f"e{k}" for k in range(8)]
+    rows = {(r.event_id, r.attempts, r.given_up) for r in spark.read.parquet(f"{ledger}/v=7").where("consumer = 'c'").collect()}
+    assert rows == {(f"e{k}", min(5, 8 - k), k <= 3) for k in range(8)}
+    f(spark.createDataFrame([("e7", 7)], "event_id string, n int"), 7)  # the batch is run again: from the state before it
+    assert {(r.event_id, r.attempts, r.given_up) for r in spark.read.parquet(f"{ledger}/v=7").where("consumer = 'c'").collect()} == rows
 
 
 def test_late_rows(spark):
