@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .batches import bounded
-from .bpe import ByteLevelBPE, PieceEncoder, gathered, json_classes, ragged
+from .bpe import ByteLevelBPE, LibraryPieces, PieceEncoder, gathered, json_classes, ragged
 from .storage import discard, new_path, written
 
 #: Bytes of a text above which it is cut into ranges of as many bytes, and fragments composed in a task. Two rounds of FAN cover any text that a column holds.
@@ -41,8 +41,17 @@ CHUNK, FAN = 1 << 16, 256
 BLOCK_PAIRS, LARGE = 1 << 20, 1 << 12
 #: A pair's code is a * RADIX + b; tables hold it less CODE_BASE, in four bytes.
 RADIX, CODE_BASE = 1 << 16, 1 << 31
-#: Bytes of texts whose tokens are held at a time, rows of a batch of results, pieces in the cache of the second tokenizer, and bytes of a part of a written file.
-HELD_BYTES, RESULT_ROWS, PIECES, FILE_PART = 1 << 18, 128, 250_000, 16 << 20
+#: Bytes of texts whose tokens are held at a time, rows of a batch of results, pieces in the cache of each tokenizer, and bytes of a part of a written file.
+HELD_BYTES, RESULT_ROWS, PIECES, FILE_PART = 1 << 17, 64, 200_000, 8 << 20
+
+
+class FewPieces(LibraryPieces):
+    """The first tokenizer's pieces, with a smaller cache: a task holds two of them."""
+
+    def number(self, data: bytes, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+        if self.known > PIECES:
+            self._clear()
+        return super().number(data, starts, lens)
 
 
 class SentencePieces(PieceEncoder):
@@ -104,7 +113,7 @@ class Aligner(NamedTuple):
 @lru_cache(maxsize=1)
 def aligner(one: str, two: str, classes: bytes) -> Aligner:
     codec = ByteLevelBPE.from_json(one, classes)
-    codec.specials = {}
+    codec.specials, codec.encoder = {}, FewPieces(codec.encoder.model)
     pieces = SentencePieces(two)
     return Aligner(codec, pieces, np.array([*map(len, codec.tokens)], np.int64), [f"{i}{mark}" for i in range(max(len(codec.tokens), pieces.unfit)) for mark in ",|;"])
 
