@@ -10,7 +10,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from accountlens.llm import bpe, langid, mixing, quality, simhash
@@ -42,8 +43,26 @@ def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every document, and checksums of ids and decoded bytes."""
-    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    """The encoded corpus in the order of docs, that of the mixture: ids of every document, checksums of ids and decoded bytes, position (documents before it) and start (ids before it).
+
+    The order is read from the files that the stage before wrote: their names, then the
+    rows of each. Encoded rows are kept once; sums over the files say where each begins.
+    """
+    placed = [F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row")]
+    try:
+        docs.select(*placed).schema  # noqa: B018
+    except AnalysisException:  # no files: the rows as they come
+        placed = [F.format_string("%010d", F.spark_partition_id()).alias("file"), F.monotonically_increasing_id().alias("row")]
+    marked = docs.select(F.struct("doc_id", *placed).alias("_at"), "text")
+    encoded = written(bpe.round_trip(marked, public_tokenizers.path("byte_bpe_50k.tiktoken"), id_col="_at"), "encoded").select("_at.*", "n_tokens", "ids_sha256", "decoded_sha256")
+    sums = encoded.groupBy("file").agg(F.count("*").alias("_docs"), F.sum("n_tokens").alias("_ids"))
+    earlier = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
+    files = sums.select("file", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(c) for c in ("_docs", "_ids")])
+    inside = Window.partitionBy("file").orderBy("row")
+    before = F.coalesce(F.sum("n_tokens").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = encoded.select("*", (F.row_number().over(inside) - 1).alias("_n"), before.alias("_before"))
+    out = own.join(F.broadcast(files), "file")
+    return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", (F.col("_docs") + F.col("_n")).alias("position"), (F.col("_ids") + F.col("_before")).alias("start")).orderBy("position")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
