@@ -53,7 +53,7 @@ def compare(spark, sf_dir, tmp_path, name: str, rows: list[tuple]) -> None:
     assert want and plain(map(tuple, df.collect())) == plain(want)
 
 
-@pytest.mark.parametrize("name", ["g22_why_now"])
+@pytest.mark.parametrize("name", ["g22_why_now", "g23_score_rows"])
 def test_lead_of_clusters_of_the_same_value(spark, sf_dir, tmp_path, name):
     """Two clusters of strong leads of one day, each with many weak sources, so that both have the highest confidence."""
     rows = []
