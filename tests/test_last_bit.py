@@ -1,4 +1,4 @@
-"""Clusters of the same value, whose order the last bit of a figure would decide, against the SQL."""
+"""Clusters of the same value, whose order the last bit of a figure would decide, and scores of quotes told anew, against the SQL."""
 
 from __future__ import annotations
 
@@ -62,3 +62,13 @@ def test_lead_of_clusters_of_the_same_value(spark, sf_dir, tmp_path, name):
             day = datetime.datetime(2024, 1, 24, 1)
             rows += [(lead + 2954 * k, day, company, "view", 10.0 if k else 90.0, "") for k in range(16) if k == 0 or (lead + 2954 * k) % 6]
     compare(spark, sf_dir, tmp_path, name, rows)
+
+
+@pytest.mark.parametrize("name", ["g07_question_points"])
+def test_quotes_told_anew_in_every_score(spark, sf_dir, tmp_path, name):
+    """Quotes of one company, question and document, seventeen days apart: two events each."""
+    rows = []
+    for company in range(60):
+        first = 488173 + company
+        rows += [(first, datetime.datetime(2024, 1, 27), company, "view", 40.0 + company, ""), (first + 6 * 590800, datetime.datetime(2024, 1, 10), company, "view", 50.0, "")]
+    compare(spark, sf_dir, tmp_path, name, rows)
