@@ -64,7 +64,7 @@ def test_lead_of_clusters_of_the_same_value(spark, sf_dir, tmp_path, name):
     compare(spark, sf_dir, tmp_path, name, rows)
 
 
-@pytest.mark.parametrize("name", ["g07_question_points", "g08_intent_risk", "g23_score", "g27_ranking", "l04_leads", "l13_best_service"])
+@pytest.mark.parametrize("name", ["g07_question_points", "g08_intent_risk", "g23_score", "g27_ranking", "l04_leads", "l13_best_service", "l14_lead_card"])
 def test_quotes_told_anew_in_every_score(spark, sf_dir, tmp_path, name):
     """Quotes of one company, question and document, seventeen days apart: two events each."""
     rows = []
