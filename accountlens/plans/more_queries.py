@@ -15,7 +15,7 @@ from ..operators import verify as V
 from ..sources import landing as S
 from ..sources import web as W
 from .demo import view, with_views
-from .scoring_queries import ICP, companies, signals
+from .scoring_queries import ICP, companies, rounded, signals
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -256,7 +256,7 @@ def keep_clusters(spark, d):
 @query("g09_g10_priority_tiers", "select score_id, round(100 * pow(fit / 100, 0.4) * pow(intent / 100, 0.6) * (1 - 0.5 * (priority / 100)), 6) as p, case when round_even(100 * pow(fit / 100, 0.4) * pow(intent / 100, 0.6) * (1 - 0.5 * (priority / 100)), 1) >= 65 then 'hot' when round_even(100 * pow(fit / 100, 0.4) * pow(intent / 100, 0.6) * (1 - 0.5 * (priority / 100)), 1) >= 40 then 'warm' else 'cold' end as tier from score", ("score",))
 def priority_tiers(spark, d):
     p = G.priority(F.col("fit").cast("double"), F.col("intent").cast("double"), F.col("priority").cast("double"))
-    return view(spark, d, "score").select("score_id", F.round(p, 6).alias("p"), G.tier(p, F.lit(False)).alias("tier"))
+    return view(spark, d, "score").select("score_id", rounded(p).alias("p"), G.tier(p, F.lit(False)).alias("tier"))
 
 
 @query("g17_list_rules", "select company_id, company_id in (3, 5) as listed from company", ("company",))
